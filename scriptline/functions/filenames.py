@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: how a file name carries its date.
 DATED_NAME = r"^\w+_(\d{4}-\d{2}-\d{2})_"
-DATED_PATH = r"/\w+_(\d{4}-\d{2}-\d{2})_[^/]*"
+DATED_PATH = r"[/=]\w+_(\d{4}-\d{2}-\d{2})_[^/]*"
 
 
 def is_hidden(name: Column) -> Column:
