@@ -24,7 +24,7 @@ SHARED = {
                    JOIN m_form_route f ON o.formcd = f.cd GROUP BY 1) f ON f.vpid = p.vmp_id
         LEFT JOIN (SELECT vpid, list(isid ORDER BY isid) AS ing FROM m_vpi GROUP BY 1) i ON i.vpid = p.vmp_id""",
     "presentations": "SELECT bnf_code, snomed_code, max(date) AS last FROM m_source GROUP BY 1, 2",
-    "recent": "SELECT DISTINCT bnf_code FROM presentations WHERE last > DATE '1998-06-01'",
+    "recent": "SELECT DISTINCT bnf_code FROM presentations WHERE last > DATE '2001-09-01'",
     "prescribed": """
         SELECT * FROM meds WHERE bnf_code IN (SELECT bnf_code FROM recent)
            OR (NOT is_amp AND id IN (SELECT vmp_id FROM meds WHERE is_amp AND bnf_code IN (SELECT bnf_code FROM recent)))""",

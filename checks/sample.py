@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,32 @@ from scriptline.operators import medications as med
 from scriptline.operators import orgs, star
 from scriptline.operators.medicine_filter import Catalogue
 from scriptline.plans.model import Model
+from scriptline.session import written
 from scriptline.sources import catalogues, monthly
 
 AS_OF = "2020-01-01"
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
 
 class Sample:
+    """Domain tables as lazy plans (``codes``, ``medications``, ``orgs`` ...), and as an analysis reads them.
+
+    ``catalogue`` and ``model`` hold the dimensions as an ingest leaves them: written once per session to the
+    shared folder. Facts are always the line items themselves.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self._tables: dict[str, DataFrame] = {}
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = written(build(), name)
+        return _STORED[key]
+
     def table(self, name: str) -> DataFrame:
         """A driver table or a derived one."""
         if name not in self._tables:
@@ -53,12 +69,14 @@ class Sample:
 
     @cached_property
     def prescribed(self) -> DataFrame:
-        recent = med.presentations_recent(star.presentations(self.source), "1998-06-01")
-        return med.medications_prescribed(self.medications, recent)
+        recent = med.presentations_recent(star.presentations(self.source), "2001-09-01")
+        return med.medications_prescribed(self.catalogue.medications, recent)
 
     @cached_property
     def catalogue(self) -> Catalogue:
-        return Catalogue(self.codes, self.medications, self.table("form_route"), self.table("ing"), self.table("vtm"))
+        form_routes, ingredients, vtms = (self.stored(n, lambda n=n: self.table(n)) for n in ("form_route", "ing", "vtm"))
+        codes = self.stored("codes", lambda: self.codes)
+        return Catalogue(codes, self.stored("medications", lambda: self.medications), form_routes, ingredients, vtms)
 
     @cached_property
     def ods(self) -> DataFrame:
@@ -104,23 +122,25 @@ class Sample:
     def model(self) -> Model:
         """Facts keyed by part; medicines under their current code."""
         facts = self.table("facts")
-        current = (
-            self.table("part_code")
-            .join(self.table("bnf_changes"), F.col("bnf_code") == F.col("old_code"), "left")
-            .select(F.col("p_partkey").alias("id"), F.coalesce("new_code", "bnf_code").alias("bnf_code"))
-        )
-        practices = star.latest_by_practice(facts)
-        dates = facts.select("date").distinct()
-        known = self.list_sizes.join(practices.select(F.col("code").alias("practice_code")), "practice_code", "left_semi")
+        practices = self.stored("practices", lambda: star.latest_by_practice(facts))
+        presentation = self.stored("presentation", self._current_codes)
         return Model(
             facts.where(F.col("practice_code") != star.NO_PRACTICE),
-            current,
-            known,
-            dates,
+            presentation,
+            self.stored("list_sizes", lambda: self._known_list_sizes(practices)),
+            self.stored("dates", lambda: facts.select("date").distinct()),
             practices,
-            self.orgs,
-            self.org_edges,
+            self.stored("orgs", lambda: self.orgs),
+            self.stored("org_edges", lambda: self.org_edges),
             self.catalogue,
-            presentation_rows=self.table("part").count(),
-            practice_rows=self.table("supplier").count(),
+            presentation_rows=presentation.count(),
+            practice_rows=practices.count(),
         )
+
+    def _current_codes(self) -> DataFrame:
+        changes = self.table("bnf_changes")
+        codes = self.table("part_code").join(changes, F.col("bnf_code") == F.col("old_code"), "left")
+        return codes.select(F.col("p_partkey").alias("id"), F.coalesce("new_code", "bnf_code").alias("bnf_code"))
+
+    def _known_list_sizes(self, practices: DataFrame) -> DataFrame:
+        return self.list_sizes.join(practices.select(F.col("code").alias("practice_code")), "practice_code", "left_semi")

@@ -171,7 +171,7 @@ def _(s):
 
 @query("presentations_recent", sql("SELECT bnf_code FROM recent"))
 def _(s):
-    return med.presentations_recent(star.presentations(s.source), "1998-06-01")
+    return med.presentations_recent(star.presentations(s.source), "2001-09-01")
 
 
 @query("medications_prescribed", sql(f"SELECT {MED_COLUMNS} FROM prescribed"))

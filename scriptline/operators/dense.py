@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptline.operators.ids import dense_ids
+from scriptline.session import written
+
 # Fixed value: the month key is one byte wide, so more months must fail loudly.
 MAX_MONTHS = 256
 CENTILES = (10, 20, 30, 40, 50, 60, 70, 80, 90)
@@ -129,15 +132,15 @@ def drop_zero_rows(matrix: DataFrame, row: str) -> DataFrame:
     return matrix.join(kept, row, "left_semi")
 
 
-def centiles(matrix: DataFrame, rows_per_month: int | None = None) -> DataFrame:
-    """(centile, date, value): p10 .. p90 per month, linear interpolation, missing values ignored.
+def centiles(matrix: DataFrame, rows_per_group: int | None = None, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """(centile, *by, value): p10 .. p90 per month, linear interpolation, missing values ignored.
 
-    ``rows_per_month`` is an upper bound of the rows in one month. Up to ``MAX_IN_TASK_ROWS`` Spark's exact
-    ``percentile`` keeps a month in one aggregation buffer; without a bound, or beyond it, ranks come from a
+    ``rows_per_group`` is an upper bound of the rows in one group. Up to ``MAX_IN_TASK_ROWS`` Spark's exact
+    ``percentile`` keeps a group in one aggregation buffer; without a bound, or beyond it, ranks come from a
     global sort.
     """
-    if rows_per_month is None or rows_per_month > MAX_IN_TASK_ROWS:
-        return _sorted_centiles(matrix)
+    if rows_per_group is None or rows_per_group > MAX_IN_TASK_ROWS:
+        return _sorted_centiles(matrix, by)
     wanted = F.array(*(F.lit(c / 100) for c in CENTILES))
     cells = F.array(
         *(
@@ -146,37 +149,26 @@ def centiles(matrix: DataFrame, rows_per_month: int | None = None) -> DataFrame:
         )
     )
     return (
-        matrix.groupBy("date")
-        .agg(F.percentile("value", wanted).alias("p"))
-        .select("date", F.inline(cells))
-        .select("centile", "date", "value")
+        matrix.groupBy(*by).agg(F.percentile("value", wanted).alias("p")).select(*by, F.inline(cells)).select("centile", *by, "value")
     )
 
 
-def _sorted_centiles(matrix: DataFrame) -> DataFrame:
-    from scriptline.operators.ids import dense_ids
-
-    present = matrix.where(F.col("value").isNotNull()).select("date", F.col("value").cast("double").alias("value"))
-    ranked = dense_ids(present, [F.col("date"), F.col("value")], "_rank")
-    # First global rank and size of each month: at most 256 rows, so safe to broadcast.
-    spans = ranked.groupBy("date").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    wanted = spans.select("*", F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile")).select(
-        "*", ((F.col("_n") - 1) * F.col("centile") / F.lit(100.0)).alias("_at")
-    )
-    ends = wanted.select(
-        "date",
-        "centile",
-        "_at",
-        F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_place"),
-        "_first",
-    ).withColumn("_rank", F.col("_first") + F.col("_place"))
-    share = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_at") - F.col("_place")))
+def _sorted_centiles(matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Centiles from the global ranks of the sorted values: no group is ever in one task."""
+    matrix = written(matrix.select(*by, F.col("value").cast("double").alias("value")), "centiles")
+    every = F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile")
+    groups = matrix.groupBy(*by).agg(F.count("value").alias("_n")).select(*by, "_n", every)
+    present = matrix.where(F.col("value").isNotNull())
+    ranked = dense_ids(present, [*(F.col(c) for c in by), F.col("value")], "_rank")
+    first = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"))
+    wanted = groups.join(first, [*by]).withColumn("_at", (F.col("_n") - 1) * F.col("centile") / F.lit(100.0))
+    ends = F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
+    places = wanted.select(*by, "centile", "_at", "_first", ends.alias("_place")).withColumn("_rank", F.col("_first") + F.col("_place"))
+    share = 1 - F.abs(F.col("_at") - F.col("_place"))
     found = (
-        ranked.select("_rank", "value")
-        .join(F.broadcast(ends), "_rank")
-        .groupBy("date", "centile")
-        .agg(F.sum(F.col("value") * share).alias("value"))
+        places.select(*by, "centile", "_rank", share.alias("_share"))
+        .join(ranked.select("_rank", "value"), "_rank")
+        .groupBy(*by, "centile")
+        .agg(F.sum(F.col("value") * F.col("_share")).alias("value"))
     )
-    months = matrix.select("date").distinct()
-    cells = months.select("date", F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile"))
-    return cells.join(found, ["date", "centile"], "left").select("centile", "date", "value")
+    return groups.drop("_n").join(found, [*by, "centile"], "left").select("centile", *by, "value")

@@ -128,7 +128,7 @@ def facet_index(medications: DataFrame, lookup: DataFrame) -> DataFrame:
     whole = F.col("bnf_code")
     starts = F.transform(F.sequence(F.lit(1), F.length(whole)), lambda n: F.substring(whole, F.lit(1), n))
     entries = [
-        medications.select(F.lit(INGREDIENT).alias("facet"), F.explode("ingredient_ids").cast("string").alias("value"), "id"),
+        medications.select(F.lit(INGREDIENT).alias("facet"), F.explode(F.col("ingredient_ids").cast("array<string>")).alias("value"), "id"),
         medications.where(F.col("vtm_id").isNotNull()).select(F.lit(VTM).alias("facet"), F.col("vtm_id").cast("string").alias("value"), "id"),
         medications.select(F.lit(FORM_ROUTE).alias("facet"), F.explode("form_routes").alias("value"), "id"),
         medications.where(whole.isNotNull())

@@ -96,7 +96,7 @@ def measure_code_bridge(values: DataFrame, catalogue: Catalogue) -> DataFrame:
     meds = catalogue.medications.where(F.col("bnf_code").isNotNull())
     med_keys = [
         meds.select(F.col("bnf_code").alias("code"), F.lit("form_routes").alias("kind"), F.explode("form_routes").alias("value")),
-        meds.select(F.col("bnf_code").alias("code"), F.lit("ingredient_ids").alias("kind"), F.explode("ingredient_ids").cast("string").alias("value")),
+        meds.select(F.col("bnf_code").alias("code"), F.lit("ingredient_ids").alias("kind"), F.explode(F.col("ingredient_ids").cast("array<string>")).alias("value")),
         meds.select(F.col("bnf_code").alias("code"), F.lit("vtm_ids").alias("kind"), F.col("vtm_id").cast("string").alias("value")),
     ]
     keys = code_keys

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators import dense, orgs
-from scriptline.operators.measures import DENOMINATOR, NUMERATOR, Measure, filter_values, measure_code_bridge
+from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, filter_values, measure_code_bridge
 from scriptline.operators.medicine_filter import MedicineFilter, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
 
@@ -138,8 +138,8 @@ def org_date_ratio(model: Model, analysis: Analysis, date_count: int | None = DA
     """
     months = dense.recent_dates(model.dates, date_count)
     org_type = _org_type(model, analysis.org_id)
-    members = _members(model, org_type)
-    placed = _sides(model, analysis, months, value).join(dense.single_group(members, "practice_code", "org_id"), "practice_code")
+    members = checked_broadcast(dense.single_group(_members(model, org_type), "practice_code", "org_id"), model.practice_rows)
+    placed = _sides(model, analysis, months, value).join(members, "practice_code")
     rows = model.orgs.where(F.col("org_type") == org_type).select(F.col("id").alias("org_id"))
     sums = dense.filled_sum(dense.zero_cells(rows, months), placed, ["org_id", "date"], ["num", "den"])
     return sums.select("org_id", "date", (dense.ratio(F.col("num"), F.col("den")) * analysis.multiplier).alias("value"))
@@ -253,10 +253,13 @@ def measure_panel(
     return sums.withColumn("value", dense.ratio(F.col("num"), F.col("den")) * times)
 
 
-def measure_deciles(panel: DataFrame) -> DataFrame:
-    """(measure, date, p): exact p10 .. p90 of each measure and month over the organisations of a panel."""
-    wanted = F.array(*(F.lit(c / 100) for c in dense.CENTILES))
-    return panel.groupBy("measure", "date").agg(F.percentile("value", wanted).alias("p"))
+def measure_deciles(
+    model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT
+) -> DataFrame:
+    """(measure, centile, date, value) of every measure over the organisations of a type."""
+    per_month = model.orgs.where(F.col("org_type") == org_type).count()
+    panel = measure_panel(model, measures, org_type, date_count)
+    return dense.centiles(panel, per_month, ("measure", "date")).select("measure", "centile", "date", "value")
 
 
 def measure_flags(measures: list[Measure]) -> dict[str, list[str]]:
