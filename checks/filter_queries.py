@@ -8,7 +8,7 @@ from checks.oracle import codes_where, of_medications, sql
 from checks.registry import query
 from scriptline.functions import bnf
 from scriptline.operators import hierarchy, medicine_filter
-from scriptline.operators.measures import Measure, filter_values, measure_code_bridge
+from scriptline.operators.measures import Measure, measure_code_bridge
 from scriptline.operators.medicine_filter import MedicineFilter, matching_codes
 
 # Each filter with the condition on presentations it stands for.
@@ -183,7 +183,7 @@ BRIDGE = " UNION ALL ".join(
 
 @query("measure_code_bridge", sql(BRIDGE))
 def _(s):
-    return measure_code_bridge(filter_values(s.spark, MEASURES), s.catalogue)
+    return measure_code_bridge(MEASURES, s.catalogue)
 
 
 # Code algebra ---------------------------------------------------------------------------------------------

@@ -69,8 +69,8 @@ class Sample:
 
     @cached_property
     def prescribed(self) -> DataFrame:
-        recent = med.presentations_recent(star.presentations(self.source), "2001-09-01")
-        return med.medications_prescribed(self.catalogue.medications, recent)
+        presentations = self.stored("presentations", lambda: star.presentations(self.source))
+        return med.medications_prescribed(self.catalogue.medications, med.presentations_recent(presentations, "2001-09-01"))
 
     @cached_property
     def catalogue(self) -> Catalogue:

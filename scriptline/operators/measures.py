@@ -1,14 +1,13 @@
-"""Many medicine filters at once: every measure resolved to codes by equi-joins."""
+"""Stored analyses, and the codes of all of them at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.functions import bnf
-from scriptline.operators.medicine_filter import EXCLUDED, GENERIC, ID_FIELDS, LIST_FIELDS, Catalogue, MedicineFilter
+from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_flags
 
 NUMERATOR, DENOMINATOR = "numerator", "denominator"
 OUTPUT_VALUES = {"items": "items", "quantity": "quantity", "cost": "actual_cost"}
@@ -48,80 +47,12 @@ class Measure:
         return [(NUMERATOR, self.numerator), *below]
 
 
-def filter_values(spark: SparkSession, measures: list[Measure]) -> DataFrame:
-    """(measure, side, field, value): all values of all filters. A side without code values gets the empty prefix."""
-    rows = []
-    for measure in measures:
-        for side, query in measure.sides():
-            rows.append((measure.name, side, "product_type", query.product_type))
-            if not query.bnf_codes:
-                rows.append((measure.name, side, "bnf_codes", ""))
-            rows += [(measure.name, side, name, str(v)) for name in LIST_FIELDS for v in getattr(query, name)]
-    return spark.createDataFrame(rows, "measure string, side string, field string, value string")
-
-
-def _expanded(values: DataFrame, form_routes: DataFrame, suffix: str) -> DataFrame:
-    """Form/route values of each side: those listed, and the catalogued ones fitting all forms and routes."""
-    dots = F.transform(
-        F.filter(F.sequence(F.lit(1), F.length("descr")), lambda i: F.substring(F.col("descr"), i, F.lit(1)) == "."),
-        lambda i: F.array(
-            F.struct(F.lit("forms" + suffix).alias("field"), F.substring(F.col("descr"), F.lit(1), i - 1).alias("value")),
-            F.struct(F.lit("routes" + suffix).alias("field"), F.substring(F.col("descr"), i + 1, F.length("descr")).alias("value")),
-        ),
-    )
-    halves = form_routes.select("descr", F.explode(F.flatten(dots)).alias("half")).select("descr", "half.field", "half.value").distinct()
-    given = values.where(F.col("field").isin("forms" + suffix, "routes" + suffix)).distinct()
-    needed = given.groupBy("measure", "side").agg(F.count(F.lit(1)).alias("_needed"))
-    fitting = (
-        given.join(halves, ["field", "value"])
-        .groupBy("measure", "side", "descr")
-        .agg(F.count(F.lit(1)).alias("_met"))
-        .join(needed, ["measure", "side"])
-        .where(F.col("_met") == F.col("_needed"))
-        .select("measure", "side", F.lit("form_routes" + suffix).alias("field"), F.col("descr").alias("value"))
-    )
-    listed = values.where(F.col("field") == "form_routes" + suffix).select("measure", "side", "field", "value")
-    return listed.unionByName(fitting)
-
-
-def measure_code_bridge(values: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """(measure, side, bnf_code) for every filter in ``values`` (see ``filter_values``).
-
-    A code has a set of keys per field: its prefixes and strength code, and the form/routes, ingredients and
-    moieties of its medications. A filter value selects the codes with that key, so all filters resolve in one
-    equi-join. A code is kept when every active field matched and no exclusion did.
-    """
-    codes = catalogue.presentations().select("code")
-    code_keys = codes.select("code", F.lit("bnf_codes").alias("kind"), F.explode(bnf.match_keys(F.col("code"))).alias("value"))
-    meds = catalogue.medications.where(F.col("bnf_code").isNotNull())
-    med_keys = [
-        meds.select(F.col("bnf_code").alias("code"), F.lit("form_routes").alias("kind"), F.explode("form_routes").alias("value")),
-        meds.select(F.col("bnf_code").alias("code"), F.lit("ingredient_ids").alias("kind"), F.explode(F.col("ingredient_ids").cast("array<string>")).alias("value")),
-        meds.select(F.col("bnf_code").alias("code"), F.lit("vtm_ids").alias("kind"), F.col("vtm_id").cast("string").alias("value")),
+def measure_code_bridge(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
+    """(measure, side, bnf_code) of all filters of all measures, from one pass over codes and medications."""
+    sides = {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
+    flags = filter_flags({key: query for key, (_, _, query) in sides.items()}, catalogue)
+    hits = [
+        F.when(F.col(f"`{key}`"), F.struct(F.lit(name).alias("measure"), F.lit(side).alias("side")))
+        for key, (name, side, _) in sides.items()
     ]
-    keys = code_keys
-    for more in med_keys:
-        keys = keys.unionByName(more)
-
-    plain = values.where(F.col("field").isin(*(n + s for n in ("bnf_codes", *ID_FIELDS) for s in ("", EXCLUDED))))
-    wanted = plain.select("measure", "side", "field", "value")
-    for suffix in ("", EXCLUDED):
-        wanted = wanted.unionByName(_expanded(values, catalogue.form_routes, suffix))
-    wanted = wanted.distinct().withColumn("kind", F.regexp_replace("field", f"{EXCLUDED}$", ""))
-
-    active = wanted.where(~F.col("field").endswith(EXCLUDED)).groupBy("measure", "side").agg(F.count_distinct("field").alias("_active"))
-    types = values.where(F.col("field") == "product_type").select("measure", "side", F.col("value").alias("_type"))
-    excluded = F.col("field").endswith(EXCLUDED)
-    hits = (
-        wanted.join(keys, ["kind", "value"])
-        .groupBy("measure", "side", "code")
-        .agg(F.count_distinct(F.when(~excluded, F.col("field"))).alias("_met"), F.bool_or(excluded).alias("_out"))
-    )
-    generic = bnf.is_generic(F.col("code"))
-    return (
-        hits.join(active, ["measure", "side"])
-        .join(types, ["measure", "side"], "left")
-        .where((F.col("_met") == F.col("_active")) & ~F.col("_out"))
-        .where(F.coalesce("_type", F.lit("all")).isin("all") | (generic == (F.col("_type") == GENERIC)))
-        .select("measure", "side", F.col("code").alias("bnf_code"))
-    )
+    return flags.select(F.inline(F.array_compact(F.array(*hits))), F.col("code").alias("bnf_code"))

@@ -109,11 +109,6 @@ def _form_route_condition(listed: tuple, forms: tuple, routes: tuple) -> Column:
     return reduce(or_, conditions)
 
 
-def codes_of(medications: DataFrame, condition: Column) -> DataFrame:
-    """Distinct codes of the medications that meet a condition."""
-    return medications.where(condition & F.col("bnf_code").isNotNull()).select(F.col("bnf_code").alias("code")).distinct()
-
-
 def _medication_conditions(query: MedicineFilter, suffix: str) -> dict[str, Column]:
     """Condition on medications per active field (form/routes, ingredients, moieties)."""
 
@@ -127,27 +122,60 @@ def _medication_conditions(query: MedicineFilter, suffix: str) -> dict[str, Colu
         conditions["ingredient_ids"] = _overlaps("ingredient_ids", values("ingredient_ids"))
     if values("vtm_ids"):
         conditions["vtm_ids"] = F.col("vtm_id").isin(*values("vtm_ids"))
-    return conditions
+    return {name + suffix: condition for name, condition in conditions.items()}
+
+
+def _known_forms_and_routes(queries: dict[str, MedicineFilter], form_routes: DataFrame) -> dict[str, Column]:
+    """Per filter with only forms and routes: whether any catalogued form/route fits them (one look for all)."""
+    wanted = {n: q for n, q in queries.items() if (q.forms or q.routes) and not q.form_routes}
+    if not wanted:
+        return {}
+    fits = [
+        F.coalesce(F.bool_or(fits_forms_and_routes(F.col("descr"), q.forms, q.routes)), F.lit(False)).alias(n)
+        for n, q in wanted.items()
+    ]
+    known = form_routes.agg(F.struct(*fits).alias("known")).scalar()
+    return {n: known[n] for n in wanted}
+
+
+def filter_flags(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> DataFrame:
+    """(code, name, *one flag per filter*): which filters select each catalogued presentation.
+
+    What depends on medications is reduced to flags per code in one pass over them, whatever the number of
+    filters; the rest are predicates on the code.
+    """
+    on_medications = {
+        f"{n}:{field}": condition
+        for n, q in queries.items()
+        for suffix in ("", EXCLUDED)
+        for field, condition in _medication_conditions(q, suffix).items()
+    }
+    codes = catalogue.presentations().select("code", "name")
+    if on_medications:
+        held = (
+            catalogue.medications.where(F.col("bnf_code").isNotNull())
+            .groupBy(F.col("bnf_code").alias("code"))
+            .agg(*(F.bool_or(condition).alias(key) for key, condition in on_medications.items()))
+        )
+        codes = codes.join(held, "code", "left")
+    known = _known_forms_and_routes(queries, catalogue.form_routes)
+
+    def selected(n: str, query: MedicineFilter) -> Column:
+        result = code_predicate(query, F.col("code"))
+        for field in _medication_conditions(query, ""):
+            met = F.coalesce(F.col(f"`{n}:{field}`"), F.lit(False))
+            # Forms and routes that fit no catalogued form/route leave the filter out instead of emptying it.
+            result &= (met | ~known[n]) if field == "form_routes" and n in known else met
+        for field in _medication_conditions(query, EXCLUDED):
+            result &= ~F.coalesce(F.col(f"`{n}:{field}`"), F.lit(False))
+        return result
+
+    return codes.select("code", "name", *(selected(n, q).alias(n) for n, q in queries.items()))
 
 
 def matching_codes(query: MedicineFilter, catalogue: Catalogue) -> DataFrame:
     """(code): the catalogued presentations a filter selects. Sort by code where the order is shown."""
-    codes = catalogue.presentations().where(code_predicate(query, F.col("code"))).select("code")
-    for name, condition in _medication_conditions(query, "").items():
-        wanted = codes_of(catalogue.medications, condition)
-        if name == "form_routes" and not query.form_routes:
-            # Forms and routes that fit no catalogued form/route leave the filter out instead of emptying it.
-            unknown = expand_forms_routes(catalogue.form_routes, query.forms, query.routes).agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
-            codes = (
-                codes.join(wanted.withColumn("_hit", F.lit(True)), "code", "left")
-                .where(F.col("_hit").isNotNull() | unknown)
-                .select("code")
-            )
-        else:
-            codes = codes.join(wanted, "code", "left_semi")
-    for condition in _medication_conditions(query, EXCLUDED).values():
-        codes = codes.join(codes_of(catalogue.medications, condition), "code", "left_anti")
-    return codes
+    return filter_flags({"selected": query}, catalogue).where("selected").select("code")
 
 
 def prescribing_items(prescribing: DataFrame, codes: DataFrame, value: str = "items") -> DataFrame:

@@ -43,7 +43,7 @@ def _classified(ods: DataFrame) -> DataFrame:
 def org_classify(ods: DataFrame) -> DataFrame:
     """(id, org_type, name, inactive) of every organisation of a known type, and the nation."""
     spark = ods.sparkSession
-    nation = spark.range(1).select(
+    nation = spark.range(0, 1, 1, 1).select(
         F.lit(NATION_ID).alias("id"), F.lit(NATION).alias("org_type"), F.lit(NATION_NAME).alias("name"), F.lit(False).alias("inactive")
     )
     return nation.unionByName(_classified(ods).select("id", "org_type", "name", "inactive"))
@@ -100,7 +100,7 @@ def org_parents(ods: DataFrame, as_of: str) -> DataFrame:
 def org_verify(orgs: DataFrame) -> DataFrame:
     """(org_type, n) for every type; fails when a type has no organisation."""
     expected = F.explode(F.array(*(F.lit(t) for t in ORG_TYPES)))
-    types = orgs.sparkSession.range(1).select(expected.alias("org_type"))
+    types = orgs.sparkSession.range(0, 1, 1, 1).select(expected.alias("org_type"))
     counts = orgs.groupBy("org_type").agg(F.count(F.lit(1)).alias("found"))
     missing = F.raise_error(F.concat(F.lit("No orgs of type "), F.col("org_type"))).cast("bigint")
     return types.join(counts, "org_type", "left").select("org_type", F.coalesce("found", missing).alias("n"))

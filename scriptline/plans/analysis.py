@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators import dense, orgs
-from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, filter_values, measure_code_bridge
-from scriptline.operators.medicine_filter import MedicineFilter, list_size_items, matching_codes
+from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, measure_code_bridge
+from scriptline.operators.medicine_filter import MedicineFilter, filter_flags, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
 
 # Months queried, medicines shown by name, and the scale of the two kinds of ratio.
@@ -97,17 +97,15 @@ def medication_date_matrix(model: Model, query: MedicineFilter, date_count: int
 def _sides(model: Model, analysis: Analysis, months: DataFrame, value: str) -> DataFrame:
     """(practice_code, date, num, den): both sides summed per practice and month, prescribing in one scan."""
     zero = F.lit(0).cast("bigint")
-    num = matching_codes(analysis.numerator, model.catalogue).select("code", F.lit(True).alias("in_num"), F.lit(False).alias("in_den"))
     if analysis.denominator is None:
-        facts = _of_codes(model, num, months)
+        facts = _of_codes(model, matching_codes(analysis.numerator, model.catalogue), months)
         num_sums = facts.groupBy("practice_code", "date").agg(F.sum(value).alias("num")).select("practice_code", "date", "num", zero.alias("den"))
         active = dense.active_practices(model.practices, months).select(F.col("code").alias("practice_code"))
         patients = _in_window(list_size_items(model.list_size), months).join(active, "practice_code", "left_semi")
         return num_sums.unionByName(patients.select("practice_code", "date", zero.alias("num"), F.col("value").alias("den")))
-    den = matching_codes(analysis.denominator, model.catalogue).select("code", F.lit(False).alias("in_num"), F.lit(True).alias("in_den"))
-    codes = num.unionByName(den).groupBy("code").agg(F.max("in_num").alias("in_num"), F.max("in_den").alias("in_den"))
+    codes = filter_flags({"in_num": analysis.numerator, "in_den": analysis.denominator}, model.catalogue)
     return (
-        _of_codes(model, codes, months)
+        _of_codes(model, codes.where("in_num OR in_den").drop("name"), months)
         .groupBy("practice_code", "date")
         .agg(
             F.sum(F.when(F.col("in_num"), F.col(value)).otherwise(0)).alias("num"),
@@ -215,9 +213,8 @@ def measure_panel(
     bridge, so overlapping measures multiply sums and not prescribing rows. Measures without a denominator use
     the patients of the organisation.
     """
-    spark = model.facts.sparkSession
     months = dense.recent_dates(model.dates, date_count)
-    bridge = measure_code_bridge(filter_values(spark, measures), model.catalogue)
+    bridge = measure_code_bridge(measures, model.catalogue)
     members = dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id")
     used = bridge.select(F.col("bnf_code").alias("code")).distinct()
     by_org = (
@@ -272,10 +269,7 @@ def measure_flags(measures: list[Measure]) -> dict[str, list[str]]:
 
 def ntr_dtr_intersection(model: Model, numerator: MedicineFilter, denominator: MedicineFilter | None) -> DataFrame:
     """(code, name, ntr, dtr): codes of either side with their membership; dtr is NULL without a denominator."""
-    codes = matching_codes(numerator, model.catalogue).withColumn("_n", F.lit(True))
-    dtr = F.lit(None).cast("boolean")
-    if denominator is not None:
-        codes = codes.join(matching_codes(denominator, model.catalogue).withColumn("_d", F.lit(True)), "code", "full")
-        dtr = F.col("_d").isNotNull()
-    names = model.catalogue.codes.select("code", "name")
-    return codes.join(names, "code").select("code", "name", F.col("_n").isNotNull().alias("ntr"), dtr.alias("dtr")).orderBy("code")
+    if denominator is None:
+        found = filter_flags({"ntr": numerator}, model.catalogue).where("ntr")
+        return found.select("code", "name", "ntr", F.lit(None).cast("boolean").alias("dtr")).orderBy("code")
+    return filter_flags({"ntr": numerator, "dtr": denominator}, model.catalogue).where("ntr OR dtr").orderBy("code")
