@@ -131,7 +131,7 @@ class Sample:
             self.stored("dates", lambda: facts.select("date").distinct()),
             practices,
             self.stored("orgs", lambda: self.orgs),
-            self.stored("org_edges", lambda: self.org_edges),
+            self.stored("members", lambda: orgs.org_practices(self.orgs, self.org_edges)),
             self.catalogue,
             presentation_rows=presentation.count(),
             practice_rows=practices.count(),

@@ -11,6 +11,7 @@ from scriptline.operators import dense, orgs
 from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, measure_code_bridge
 from scriptline.operators.medicine_filter import MedicineFilter, filter_flags, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
+from scriptline.session import written
 
 # Months queried, medicines shown by name, and the scale of the two kinds of ratio.
 DATE_COUNT = 96
@@ -54,23 +55,27 @@ class Analysis:
         return PER_THOUSAND_PATIENTS if self.denominator is None else PER_HUNDRED_ITEMS
 
 
-def _in_window(facts: DataFrame, months: DataFrame) -> DataFrame:
-    """Prescribing of the given months: the newest ones, so a lower bound that reaches the scan is enough."""
-    return facts.where(F.col("date") >= F.array_min(dense.month_array(months)))
+def _in_window(model: Model, rows: DataFrame, date_count: int | None) -> DataFrame:
+    """Rows of the newest months. The star numbers months from the newest, so there a literal bound does."""
+    if date_count is None:
+        return rows
+    if model.clustered:
+        return rows.where(F.col("date_id") < date_count)
+    return rows.where(F.col("date") >= F.array_min(dense.month_array(dense.recent_dates(model.dates, date_count))))
 
 
-def _of_codes(model: Model, codes: DataFrame, months: DataFrame) -> DataFrame:
-    """Facts of the given codes in the given months, with ``bnf_code`` and the other columns of ``codes``.
+def _of_codes(model: Model, codes: DataFrame, date_count: int | None) -> DataFrame:
+    """Facts of the given codes in the window, with ``bnf_code`` and the other columns of ``codes``.
 
-    Codes meet the presentations first, so the facts see one small table of ids. On a fact clustered by id the
-    span of these ids also bounds the scan, which then skips row groups.
+    Codes meet the presentations first, so the facts see one small table of ids. On the star the span of these
+    ids (two numbers) is looked up beforehand: as literals they let the scan skip row groups of other medicines.
     """
     named = codes.withColumnRenamed("code", "bnf_code")
     ids = model.presentation.select(F.col("id").alias("presentation_id"), "bnf_code").join(named, "bnf_code")
-    facts = _in_window(model.facts, months)
+    facts = _in_window(model, model.facts, date_count)
     if model.clustered:
-        span = ids.agg(F.struct(F.min("presentation_id").alias("low"), F.max("presentation_id").alias("high")).alias("span")).scalar()
-        facts = facts.where(F.col("presentation_id").between(span["low"], span["high"]))
+        low, high = ids.agg(F.min("presentation_id"), F.max("presentation_id")).first()
+        facts = facts.where(F.lit(False) if low is None else F.col("presentation_id").between(low, high))
     return facts.join(checked_broadcast(ids, model.presentation_rows), "presentation_id")
 
 
@@ -80,7 +85,7 @@ def practice_date_matrix(model: Model, query: MedicineFilter | None, date_count:
     if query is None:
         facts = list_size_items(model.list_size)
     else:
-        facts = _of_codes(model, matching_codes(query, model.catalogue), months).withColumn("value", F.col(value))
+        facts = _of_codes(model, matching_codes(query, model.catalogue), date_count).withColumn("value", F.col(value))
     practices = dense.active_practices(model.practices, months).select(F.col("code").alias("practice_code"))
     return dense.filled_sum(dense.zero_cells(practices, months), facts, ["practice_code", "date"], ["value"])
 
@@ -88,24 +93,23 @@ def practice_date_matrix(model: Model, query: MedicineFilter | None, date_count:
 def medication_date_matrix(model: Model, query: MedicineFilter, date_count: int | None = None, value: str = "items") -> DataFrame:
     """(bnf_code, date, value): dense sums for the codes with prescribing in the window."""
     months = dense.recent_dates(model.dates, date_count)
-    facts = _of_codes(model, matching_codes(query, model.catalogue), months).withColumn("value", F.col(value))
+    facts = _of_codes(model, matching_codes(query, model.catalogue), date_count).withColumn("value", F.col(value))
     sums = dense.grouped_sum(facts, ["bnf_code", "date"], ["value"])
     used = sums.where(F.col("value") != 0).select("bnf_code").distinct()
     return dense.filled_sum(dense.zero_cells(used, months), sums, ["bnf_code", "date"], ["value"])
 
 
-def _sides(model: Model, analysis: Analysis, months: DataFrame, value: str) -> DataFrame:
+def _sides(model: Model, analysis: Analysis, date_count: int | None, value: str) -> DataFrame:
     """(practice_code, date, num, den): both sides summed per practice and month, prescribing in one scan."""
     zero = F.lit(0).cast("bigint")
     if analysis.denominator is None:
-        facts = _of_codes(model, matching_codes(analysis.numerator, model.catalogue), months)
+        facts = _of_codes(model, matching_codes(analysis.numerator, model.catalogue), date_count)
         num_sums = facts.groupBy("practice_code", "date").agg(F.sum(value).alias("num")).select("practice_code", "date", "num", zero.alias("den"))
-        active = dense.active_practices(model.practices, months).select(F.col("code").alias("practice_code"))
-        patients = _in_window(list_size_items(model.list_size), months).join(active, "practice_code", "left_semi")
+        patients = _patients(model, date_count)
         return num_sums.unionByName(patients.select("practice_code", "date", zero.alias("num"), F.col("value").alias("den")))
     codes = filter_flags({"in_num": analysis.numerator, "in_den": analysis.denominator}, model.catalogue)
     return (
-        _of_codes(model, codes.where("in_num OR in_den").drop("name"), months)
+        _of_codes(model, codes.where("in_num OR in_den").drop("name"), date_count)
         .groupBy("practice_code", "date")
         .agg(
             F.sum(F.when(F.col("in_num"), F.col(value)).otherwise(0)).alias("num"),
@@ -114,6 +118,13 @@ def _sides(model: Model, analysis: Analysis, months: DataFrame, value: str) -> D
     )
 
 
+def _patients(model: Model, date_count: int | None) -> DataFrame:
+    """Registered patients in the window, of practices that still prescribed in it."""
+    active = dense.active_practices(model.practices, dense.recent_dates(model.dates, date_count))
+    kept = active.select(F.col("code").alias("practice_code"))
+    return list_size_items(_in_window(model, model.list_size, date_count)).join(kept, "practice_code", "left_semi")
+
+
 def _org_type(model: Model, org_id: str | None) -> Column:
     """Type of the chosen organisation (an unknown one fails), ICB when none is chosen."""
     if org_id is None:
@@ -124,8 +135,7 @@ def _org_type(model: Model, org_id: str | None) -> Column:
 
 def _members(model: Model, org_type: Column) -> DataFrame:
     """(org_id, practice_code) of the organisations of one type."""
-    members = orgs.org_practices(model.orgs, model.org_edges)
-    return members.where(F.col("org_type") == org_type).select("org_id", "practice_code")
+    return model.members.where(F.col("org_type") == org_type).select("org_id", "practice_code")
 
 
 def org_date_ratio(model: Model, analysis: Analysis, date_count: int | None = DATE_COUNT, value: str = "items") -> DataFrame:
@@ -137,7 +147,7 @@ def org_date_ratio(model: Model, analysis: Analysis, date_count: int | None = DA
     months = dense.recent_dates(model.dates, date_count)
     org_type = _org_type(model, analysis.org_id)
     members = checked_broadcast(dense.single_group(_members(model, org_type), "practice_code", "org_id"), model.practice_rows)
-    placed = _sides(model, analysis, months, value).join(members, "practice_code")
+    placed = _sides(model, analysis, date_count, value).join(members, "practice_code")
     rows = model.orgs.where(F.col("org_type") == org_type).select(F.col("id").alias("org_id"))
     sums = dense.filled_sum(dense.zero_cells(rows, months), placed, ["org_id", "date"], ["num", "den"])
     return sums.select("org_id", "date", (dense.ratio(F.col("num"), F.col("den")) * analysis.multiplier).alias("value"))
@@ -214,12 +224,12 @@ def measure_panel(
     the patients of the organisation.
     """
     months = dense.recent_dates(model.dates, date_count)
-    bridge = measure_code_bridge(measures, model.catalogue)
-    members = dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id")
+    bridge = written(measure_code_bridge(measures, model.catalogue), "measure_codes")
+    members = checked_broadcast(dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id"), model.practice_rows)
     used = bridge.select(F.col("bnf_code").alias("code")).distinct()
     by_org = (
-        _of_codes(model, used, months)
-        .join(checked_broadcast(members, model.practice_rows), "practice_code")
+        _of_codes(model, used, date_count)
+        .join(members, "practice_code")
         .groupBy("bnf_code", "org_id", "date")
         .agg(F.sum(value).alias("n"))
     )
@@ -230,10 +240,8 @@ def measure_panel(
         .agg(F.sum(F.when(is_num, F.col("n")).otherwise(0)).alias("num"), F.sum(F.when(~is_num, F.col("n")).otherwise(0)).alias("den"))
     )
     per_patient = [m.name for m in measures if m.denominator is None]
-    active = dense.active_practices(model.practices, months).select(F.col("code").alias("practice_code"))
     patients = (
-        _in_window(list_size_items(model.list_size), months)
-        .join(active, "practice_code", "left_semi")
+        _patients(model, date_count)
         .join(members, "practice_code")
         .groupBy("org_id", "date")
         .agg(F.sum("value").alias("den"))

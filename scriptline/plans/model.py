@@ -21,7 +21,7 @@ class Model:
 
     facts (presentation_id, practice_code, date, items ...), presentation (id, bnf_code), list_size
     (practice_code, date, total), dates (date), practices (code, latest_prescribing_date), orgs (id, org_type,
-    name), org_edges (child_id, parent_id) and the medicine catalogue.
+    name), members (org_id, org_type, practice_code; see operators.orgs.org_practices) and the medicine catalogue.
 
     The counts are upper bounds of the dimension tables, taken where counting is cheap. Dimensions with a known
     small count are broadcast; without one, Spark decides at run time.
@@ -33,7 +33,7 @@ class Model:
     dates: DataFrame
     practices: DataFrame
     orgs: DataFrame
-    org_edges: DataFrame
+    members: DataFrame
     catalogue: Catalogue
     clustered: bool = False
     presentation_rows: int | None = None
@@ -46,13 +46,13 @@ def checked_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 def model_from_sources(
-    source: DataFrame, list_sizes: DataFrame, orgs: DataFrame, org_edges: DataFrame, catalogue: Catalogue
+    source: DataFrame, list_sizes: DataFrame, orgs: DataFrame, members: DataFrame, catalogue: Catalogue
 ) -> Model:
     """An analysis model straight on source rows; months, practices and codes are their own keys."""
     facts = source.where(F.col("practice_code") != star.NO_PRACTICE).withColumn("presentation_id", F.col("bnf_code"))
     presentation = source.select(F.col("bnf_code").alias("id"), "bnf_code").distinct()
     dates = source.select("date").distinct()
-    return Model(facts.drop("bnf_code"), presentation, list_sizes, dates, star.latest_by_practice(source), orgs, org_edges, catalogue)
+    return Model(facts.drop("bnf_code"), presentation, list_sizes, dates, star.latest_by_practice(source), orgs, members, catalogue)
 
 
 def write_star(
@@ -77,7 +77,9 @@ def write_star(
     stored(star.list_size_norm(list_sizes, dates, practices), "list_size_norm")
 
 
-def read_star(spark: SparkSession, path: str, orgs: DataFrame, org_edges: DataFrame, catalogue: Catalogue) -> Model:
+def read_star(spark: SparkSession, path: str, orgs: DataFrame, members: DataFrame, catalogue: Catalogue) -> Model:
+    """The model on a written star: facts keep presentation_id and date_id, so filters on them skip row groups."""
+
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
@@ -97,7 +99,7 @@ def read_star(spark: SparkSession, path: str, orgs: DataFrame, org_edges: DataFr
         dates,
         practices,
         orgs,
-        org_edges,
+        members,
         catalogue,
         clustered=True,
         presentation_rows=presentation.count(),
