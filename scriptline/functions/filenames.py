@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: how a file name carries its date.
 DATED_NAME = r"^\w+_(\d{4}-\d{2}-\d{2})_"
-DATED_PATH = r"[/=]\w+_(\d{4}-\d{2}-\d{2})_[^/]*"
+DATED_PATH = r"[/=](\w+_(\d{4}-\d{2}-\d{2})_[^/]*)"
 
 
 def is_hidden(name: Column) -> Column:
@@ -24,4 +24,9 @@ def name_date(name: Column) -> Column:
 
 def path_date(path: Column) -> Column:
     """Date in the first dated component of a path (the file, or the folder Spark wrote for it)."""
-    return F.to_date(F.nullif(F.regexp_extract(path, DATED_PATH, 1), F.lit("")))
+    return F.to_date(F.nullif(F.regexp_extract(path, DATED_PATH, 2), F.lit("")))
+
+
+def path_name(path: Column) -> Column:
+    """The dated component itself."""
+    return F.nullif(F.regexp_extract(path, DATED_PATH, 1), F.lit(""))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
-    """A CSV file with a header as strings, without guessing types; ``skip`` lines precede the header."""
+    """A CSV file with a header as strings, without guessing types; ``skip`` lines precede the header.
+
+    A row that does not fit the header fails.
+    """
     if skip == 0:
-        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding)
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, mode="FAILFAST")
     return _read_after_preamble(spark, path, encoding, skip)
 
 
@@ -22,7 +25,7 @@ def _read_after_preamble(spark: SparkSession, path: str, encoding: str, skip: in
     lines of the file. Blank lines count as lines here, unlike in the CSV reader.
     """
     lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), F.lit(encoding)).alias("line"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -31,7 +34,7 @@ def _read_after_preamble(spark: SparkSession, path: str, encoding: str, skip: in
     return (
         lines.where((F.col("block") != 0) | (F.col("at") > head[skip]["at"]))
         .where(F.trim("line") != "")
-        .select(F.from_csv("line", _strings_ddl(names)).alias("row"))
+        .select(F.from_csv("line", _strings_ddl(names), {"mode": "FAILFAST"}).alias("row"))
         .select("row.*")
     )
 

@@ -28,6 +28,9 @@ def _all_text(columns: tuple[str, ...]) -> str:
     return ", ".join(f"{c} STRING" for c in columns)
 
 
+RAW_PRESCRIBING = _all_text(PRESCRIBING_COLUMNS)
+
+
 def _pence(pounds: str):
     return F.bround(F.col(pounds).cast("double") * 100).cast("bigint")
 
@@ -38,7 +41,11 @@ def scan_prescribing(spark: SparkSession, paths: list[str]) -> DataFrame:
     One scan with the union of all columns as its schema: columns a file lacks read as NULL, so files of every
     layout share a plan and no footers are merged.
     """
-    raw = spark.read.schema(_all_text(PRESCRIBING_COLUMNS)).parquet(*paths)
+    return prescribing_rows(spark.read.schema(RAW_PRESCRIBING).parquet(*paths)).drop("file")
+
+
+def prescribing_rows(raw: DataFrame) -> DataFrame:
+    """Typed source rows of a batch or streaming read of monthly files."""
     return raw.select(
         F.coalesce("BNF_CODE", "BNF_PRESENTATION_CODE").alias("bnf_code"),
         F.coalesce(F.col("SNOMED_CODE").cast("bigint"), F.lit(0)).alias("snomed_code"),
@@ -49,6 +56,7 @@ def scan_prescribing(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("TOTAL_QUANTITY").cast("float").alias("quantity"),
         _pence("NIC").alias("net_cost"),
         _pence("ACTUAL_COST").alias("actual_cost"),
+        filenames.path_name(F.col("_metadata.file_path")).alias("file"),
     )
 
 
