@@ -144,30 +144,29 @@ def filter_flags(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> Da
     What depends on medications is reduced to flags per code in one pass over them, whatever the number of
     filters; the rest are predicates on the code.
     """
-    on_medications = {
-        f"{n}:{field}": condition
-        for n, q in queries.items()
-        for suffix in ("", EXCLUDED)
-        for field, condition in _medication_conditions(q, suffix).items()
-    }
+    conditions = {n: _medication_conditions(q, "") | _medication_conditions(q, EXCLUDED) for n, q in queries.items()}
+    flags = {f"{n}:{field}": condition for n, fields_ in conditions.items() for field, condition in fields_.items()}
     codes = catalogue.presentations().select("code", "name")
-    if on_medications:
+    if flags:
         held = (
             catalogue.medications.where(F.col("bnf_code").isNotNull())
             .groupBy(F.col("bnf_code").alias("code"))
-            .agg(*(F.bool_or(condition).alias(key) for key, condition in on_medications.items()))
+            .agg(*(F.bool_or(condition).alias(key) for key, condition in flags.items()))
         )
         codes = codes.join(held, "code", "left")
     known = _known_forms_and_routes(queries, catalogue.form_routes)
 
     def selected(n: str, query: MedicineFilter) -> Column:
         result = code_predicate(query, F.col("code"))
-        for field in _medication_conditions(query, ""):
+        for field in conditions[n]:
             met = F.coalesce(F.col(f"`{n}:{field}`"), F.lit(False))
-            # Forms and routes that fit no catalogued form/route leave the filter out instead of emptying it.
-            result &= (met | ~known[n]) if field == "form_routes" and n in known else met
-        for field in _medication_conditions(query, EXCLUDED):
-            result &= ~F.coalesce(F.col(f"`{n}:{field}`"), F.lit(False))
+            if field.endswith(EXCLUDED):
+                result &= ~met
+            elif field == "form_routes" and n in known:
+                # Forms and routes that fit no catalogued form/route leave the filter out instead of emptying it.
+                result &= met | ~known[n]
+            else:
+                result &= met
         return result
 
     return codes.select("code", "name", *(selected(n, q).alias(n) for n, q in queries.items()))

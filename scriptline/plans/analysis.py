@@ -90,12 +90,17 @@ def practice_date_matrix(model: Model, query: MedicineFilter | None, date_count:
     return dense.filled_sum(dense.zero_cells(practices, months), facts, ["practice_code", "date"], ["value"])
 
 
+def _medication_sums(model: Model, query: MedicineFilter, date_count: int | None, value: str) -> DataFrame:
+    """(bnf_code, date, value) where there is anything to sum."""
+    facts = _of_codes(model, matching_codes(query, model.catalogue), date_count).withColumn("value", F.col(value))
+    return dense.grouped_sum(facts, ["bnf_code", "date"], ["value"]).where(F.col("value") != 0)
+
+
 def medication_date_matrix(model: Model, query: MedicineFilter, date_count: int | None = None, value: str = "items") -> DataFrame:
     """(bnf_code, date, value): dense sums for the codes with prescribing in the window."""
     months = dense.recent_dates(model.dates, date_count)
-    facts = _of_codes(model, matching_codes(query, model.catalogue), date_count).withColumn("value", F.col(value))
-    sums = dense.grouped_sum(facts, ["bnf_code", "date"], ["value"])
-    used = sums.where(F.col("value") != 0).select("bnf_code").distinct()
+    sums = _medication_sums(model, query, date_count, value)
+    used = sums.select("bnf_code").distinct()
     return dense.filled_sum(dense.zero_cells(used, months), sums, ["bnf_code", "date"], ["value"])
 
 
@@ -174,22 +179,24 @@ def top_medications_other(
     model: Model, query: MedicineFilter, date_count: int | None = DATE_COUNT, top_n: int = MEDICATIONS_TOP_N
 ) -> DataFrame:
     """(position, bnf_code, medication, month, value): the largest medicines, and the rest as "Other" placed last."""
-    matrix = medication_date_matrix(model, query, date_count)
-    totals = matrix.groupBy("bnf_code").agg(F.sum("value").alias("total"))
+    months = dense.recent_dates(model.dates, date_count)
+    sums = _medication_sums(model, query, date_count, "items")
+    totals = sums.groupBy("bnf_code").agg(F.sum("value").alias("total"))
     largest = totals.orderBy(F.col("total").desc(), "bnf_code").limit(top_n)
     in_order = Window.orderBy(F.col("total").desc(), "bnf_code")  # top_n rows
     names = model.catalogue.codes.select(F.col("code").alias("bnf_code"), "name")
     top = largest.withColumn("position", F.row_number().over(in_order)).join(names, "bnf_code").select("bnf_code", "position", "name")
-    return (
-        matrix.join(F.broadcast(top), "bnf_code", "left")  # top_n rows
-        .groupBy(
-            F.coalesce("position", F.lit(top_n + 1)).alias("position"),
-            F.when(F.col("position").isNotNull(), F.col("bnf_code")).alias("bnf_code"),
-            F.coalesce("name", F.lit(OTHER)).alias("medication"),
-            F.col("date").alias("month"),
-        )
-        .agg(F.sum("value").alias("value"))
+    labelled = sums.join(F.broadcast(top), "bnf_code", "left").select(  # top_n rows
+        F.coalesce("position", F.lit(top_n + 1)).alias("position"),
+        F.when(F.col("position").isNotNull(), F.col("bnf_code")).alias("bnf_code"),
+        F.coalesce("name", F.lit(OTHER)).alias("medication"),
+        "date",
+        "value",
     )
+    # Zeros are added to the few bands, not to every medicine.
+    bands = labelled.select("position", "bnf_code", "medication").distinct()
+    filled = dense.filled_sum(dense.zero_cells(bands, months), labelled, ["position", "bnf_code", "medication", "date"], ["value"])
+    return filled.withColumnRenamed("date", "month")
 
 
 def stack_totals(breakdown: DataFrame, largest: str = "top", other: str = "middle") -> DataFrame:
