@@ -8,7 +8,8 @@ from checks.filter_queries import BRIDGE, GENERIC, MEASURES, WHOLE, WHOLE_SQL
 from checks.oracle import centiles_sql, codes_where, ratio_tables, sql
 from checks.registry import query, rounded, text
 from scriptline.operators import dense, hierarchy
-from scriptline.operators.medicine_filter import MedicineFilter, matching_codes
+from scriptline.operators.measures import OUTPUT_VALUES
+from scriptline.operators.medicine_filter import MedicineFilter
 from scriptline.plans import analysis
 from scriptline.plans.analysis import Analysis
 
@@ -31,16 +32,6 @@ WIN = {
 }
 
 
-def icb_members(s):
-    return s_members(s, "icb")
-
-
-def s_members(s, org_type):
-    from scriptline.operators import orgs
-
-    return orgs.org_practices(s.orgs, s.org_edges).where(F.col("org_type") == org_type).select("org_id", "practice_code")
-
-
 @query("recent_dates", sql("SELECT CAST(date AS VARCHAR) AS date FROM win", **WIN))
 def _(s):
     return text(dense.recent_dates(s.model.dates, MONTHS), "date")
@@ -85,7 +76,8 @@ GROUPED = """SELECT g.org_id, CAST(w.date AS VARCHAR) AS date, CAST(coalesce(x.v
 def _(s):
     matrix = analysis.practice_date_matrix(s.model, LISTED, MONTHS)
     months = dense.recent_dates(s.model.dates, MONTHS)
-    return text(dense.group_rows(matrix, "practice_code", icb_members(s), "org_id", months), "date")
+    members = s.model.members.where("org_type = 'icb'").select("org_id", "practice_code")
+    return text(dense.group_rows(matrix, "practice_code", members, "org_id", months), "date")
 
 
 @query("matrix_scale", sql("SELECT practice_code, CAST(date AS VARCHAR) AS date, value * 0.5 AS value FROM (SELECT practice_code, date, CAST(value AS DOUBLE) AS value FROM pdm)", **WIN))
@@ -256,7 +248,7 @@ def _(s):
             FROM rx WHERE bnf_code IN ({LISTED_CODES}) AND date IN (SELECT date FROM win) GROUP BY 1, 2""", **WIN),
 )
 def _(s):
-    cost, quantity = (analysis.practice_date_matrix(s.model, LISTED, MONTHS, analysis.OUTPUT_VALUES[v]) for v in ("cost", "quantity"))
+    cost, quantity = (analysis.practice_date_matrix(s.model, LISTED, MONTHS, OUTPUT_VALUES[v]) for v in ("cost", "quantity"))
     both = cost.withColumnRenamed("value", "cost").join(quantity.withColumnRenamed("value", "quantity"), ["practice_code", "date"])
     return text(both.where("cost <> 0"), "date")
 

@@ -47,12 +47,17 @@ class Measure:
         return [(NUMERATOR, self.numerator), *below]
 
 
-def measure_code_bridge(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
-    """(measure, side, bnf_code) of all filters of all measures, from one pass over codes and medications."""
+def measure_sides(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
+    """(code, sides): per catalogued code the (measure, side) pairs that select it, if any."""
     sides = {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
     flags = filter_flags({key: query for key, (_, _, query) in sides.items()}, catalogue)
     hits = [
         F.when(F.col(f"`{key}`"), F.struct(F.lit(name).alias("measure"), F.lit(side).alias("side")))
         for key, (name, side, _) in sides.items()
     ]
-    return flags.select(F.inline(F.array_compact(F.array(*hits))), F.col("code").alias("bnf_code"))
+    return flags.select("code", F.array_compact(F.array(*hits)).alias("sides")).where(F.size("sides") > 0)
+
+
+def measure_code_bridge(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
+    """(measure, side, bnf_code) of all filters of all measures, from one pass over codes and medications."""
+    return measure_sides(measures, catalogue).select(F.inline("sides"), F.col("code").alias("bnf_code"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators import dense, orgs
-from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, measure_code_bridge
+from scriptline.operators.measures import DENOMINATOR, NUMERATOR, Measure, measure_sides
 from scriptline.operators.medicine_filter import MedicineFilter, filter_flags, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
 from scriptline.session import written
@@ -226,23 +226,23 @@ def measure_panel(
 ) -> DataFrame:
     """(measure, org_id, date, num, den, value): every measure for every organisation and month in one job.
 
-    Items are summed per code, organisation and month once. Only these sums meet the (measure, side, code)
-    bridge, so overlapping measures multiply sums and not prescribing rows. Measures without a denominator use
+    Items are summed per code, organisation and month once. Only these sums meet the measures of their code, so
+    overlapping measures multiply sums and not prescribing rows. Measures without a denominator use
     the patients of the organisation.
     """
     months = dense.recent_dates(model.dates, date_count)
-    bridge = written(measure_code_bridge(measures, model.catalogue), "measure_codes")
+    sides = written(measure_sides(measures, model.catalogue), "measure_sides")
     members = checked_broadcast(dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id"), model.practice_rows)
-    used = bridge.select(F.col("bnf_code").alias("code")).distinct()
     by_org = (
-        _of_codes(model, used, date_count)
+        _of_codes(model, sides.select("code"), date_count)
         .join(members, "practice_code")
         .groupBy("bnf_code", "org_id", "date")
         .agg(F.sum(value).alias("n"))
     )
     is_num = F.col("side") == NUMERATOR
     prescribed = (
-        by_org.join(bridge, "bnf_code")
+        by_org.join(sides.withColumnRenamed("code", "bnf_code"), "bnf_code")
+        .select("org_id", "date", "n", F.inline("sides"))
         .groupBy("measure", "org_id", "date")
         .agg(F.sum(F.when(is_num, F.col("n")).otherwise(0)).alias("num"), F.sum(F.when(~is_num, F.col("n")).otherwise(0)).alias("den"))
     )
