@@ -135,23 +135,31 @@ def _(s):
     "query_describe",
     sql(
         """SELECT g.field, g.position, g.value, CASE
-             WHEN g.field = 'bnf_codes' AND g.value LIKE '%!_%' ESCAPE '!' THEN
+             WHEN g.field = 'bnf_codes' THEN
                (SELECT min(name) FROM codes WHERE code = substr(g.value, 1, 9) || 'AA' || right(g.value, 2) || right(g.value, 2)) || ' (branded and generic)'
-             WHEN starts_with(g.field, 'bnf_codes') THEN (SELECT min(name) FROM codes WHERE code = g.value)
+             WHEN g.field = 'bnf_codes_excluded' THEN (SELECT min(name) FROM codes WHERE code = g.value)
              WHEN g.field = 'ingredient_ids' THEN (SELECT min(nm) FROM m_ing WHERE CAST(isid AS VARCHAR) = g.value)
              WHEN g.field = 'vtm_ids_excluded' THEN (SELECT min(nm) FROM m_vtm WHERE CAST(vtmid AS VARCHAR) = g.value)
              ELSE g.value END AS description
-           FROM (SELECT * FROM (VALUES ('bnf_codes_excluded', 0, '0104'), ('form_routes', 0, 'ring.small'),
-                   ('ingredient_ids', 0, '5'), ('ingredient_ids', 1, '103'), ('vtm_ids_excluded', 0, '1003')) v(field, position, value)
+           FROM (SELECT 'form_routes' AS field, 0 AS position, 'ring.small' AS value
+                 UNION ALL SELECT 'bnf_codes_excluded', 0, min(code) FROM codes WHERE level = 2
+                 UNION ALL SELECT 'ingredient_ids', 0, CAST(min(isid) AS VARCHAR) FROM m_ing
+                 UNION ALL SELECT 'ingredient_ids', 1, CAST(max(isid) AS VARCHAR) FROM m_ing
+                 UNION ALL SELECT 'vtm_ids_excluded', 0, CAST(min(vtmid) AS VARCHAR) FROM m_vtm
                  UNION ALL SELECT 'bnf_codes', 0, min(substr(code, 1, 9) || '_' || right(code, 2)) FROM pres WHERE substr(code, 10, 2) = 'AA') g"""
     ),
 )
 def _(s):
-    # The strength code of the first generic is the value described, so the check works on any scale.
-    generics = s.catalogue.presentations().where(bnf.is_generic(F.col("code")))
-    first = generics.agg(F.min(bnf.strength_code(F.col("code")))).first()[0]
+    # The first and last entries of the catalogues are described, so the check works on any scale.
+    codes, code = s.catalogue.codes, F.col("code")
+    generics = s.catalogue.presentations().where(bnf.is_generic(code))
+    ids = s.catalogue.ingredients.agg(F.min("isid"), F.max("isid")).first()
     wanted = MedicineFilter(
-        bnf_codes=(first,), bnf_codes_excluded=("0104",), form_routes=("ring.small",), ingredient_ids=(5, 103), vtm_ids_excluded=(1003,)
+        bnf_codes=(generics.agg(F.min(bnf.strength_code(code))).first()[0],),
+        bnf_codes_excluded=(codes.where("level = 2").agg(F.min("code")).first()[0],),
+        form_routes=("ring.small",),
+        ingredient_ids=tuple(ids),
+        vtm_ids_excluded=(s.catalogue.vtms.agg(F.min("vtmid")).first()[0],),
     )
     return medicine_filter.query_describe(wanted, s.catalogue)
 

@@ -126,7 +126,7 @@ MAPPING = {
         FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey WHERE s_suppkey % 10 = 0
         UNION ALL
         SELECT {_PRACTICE}, s_name, s_suppkey % 17 = 0, 'RO177', 'PRESCRIBING COST CENTRE',
-               CASE WHEN s_acctbal < 0 THEN 'WALK-IN CENTRE' ELSE 'GP PRACTICE' END, {_PCN},
+               CASE WHEN s_acctbal < 0 OR s_suppkey % 10 = 8 THEN 'WALK-IN CENTRE' ELSE 'GP PRACTICE' END, {_PCN},
                CASE WHEN s_suppkey % 5 = 0 THEN {_NEXT_PCN} END,
                'SIC' || {_NATION}, 'ICB' || {_NATION}, 'REG' || CAST(n_regionkey AS STRING),
                CASE WHEN s_suppkey % 23 = 22 THEN 'WALES' ELSE 'ENGLAND' END
