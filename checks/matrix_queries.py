@@ -192,7 +192,7 @@ def _(s):
 
 def _stack(largest: str, other: str, order: str) -> None:
     @query(
-        f"stack_totals_{largest}_{other}",
+        "stack_totals" if (largest, other) == ("top", "middle") else f"stack_totals_{largest}_{other}",
         sql(
             f"""SELECT b.medication, CAST(b.month AS VARCHAR) AS month, b.value, t.t AS medication_total, x.hi AS max_medication_total,
                        x.lo AS min_medication_total, CAST({order} AS BIGINT) AS stack_order
