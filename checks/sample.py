@@ -74,9 +74,9 @@ class Sample:
 
     @cached_property
     def catalogue(self) -> Catalogue:
-        form_routes, ingredients, vtms = (self.stored(n, lambda n=n: self.table(n)) for n in ("form_route", "ing", "vtm"))
         codes = self.stored("codes", lambda: self.codes)
-        return Catalogue(codes, self.stored("medications", lambda: self.medications), form_routes, ingredients, vtms)
+        meds = self.stored("medications", lambda: self.medications)
+        return Catalogue(codes, meds, self.table("form_route"), self.table("ing"), self.table("vtm"))
 
     @cached_property
     def ods(self) -> DataFrame:

@@ -83,7 +83,7 @@ def practice_date_matrix(model: Model, query: MedicineFilter | None, date_count:
     """(practice_code, date, value): dense sums for practices active in the window; None = registered patients."""
     months = dense.recent_dates(model.dates, date_count)
     if query is None:
-        facts = list_size_items(model.list_size)
+        facts = list_size_items(_in_window(model, model.list_size, date_count))
     else:
         facts = _of_codes(model, matching_codes(query, model.catalogue), date_count).withColumn("value", F.col(value))
     practices = dense.active_practices(model.practices, months).select(F.col("code").alias("practice_code"))

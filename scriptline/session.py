@@ -30,10 +30,15 @@ def local_session(app: str = "scriptline", cores: str = "*", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without it a local session gets a temporary folder; on a cluster executors could not share one, so that fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK_FOLDER:
         _FALLBACK_FOLDER[app] = tempfile.mkdtemp(prefix="scriptline-")
