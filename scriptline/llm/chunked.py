@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 3 << 20
 
 
-def chunked(docs: DataFrame, key: str, text: str, size: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(rows (key, text, chunk) partitioned by chunk, number of chunks). A null text becomes an empty one."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def chunked(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), size: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """(rows (key, text, chunk, kept_0..) partitioned by chunk, number of chunks). A null text becomes an empty one."""
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *kept)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     number = max(1, math.ceil(total / size))
     return rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(number)).cast("int")).repartition("chunk"), number

@@ -135,8 +135,9 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", settings: Setti
     return LanguageFilters(names, bits, settings)
 
 
-def predict(docs: DataFrame, model: LanguageFilters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, coverage): the winner's part of all corrected shares, and its corrected share of the n-grams."""
+def predict(docs: DataFrame, model: LanguageFilters, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(kept columns, lang_pred, score, coverage): the winner's part of all corrected shares, and its corrected share of the n-grams."""
+    kept = [f"kept_{i}" for i in range(len(keep))]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -159,9 +160,11 @@ def predict(docs: DataFrame, model: LanguageFilters, key: str = "doc_id", text:
                 top = share[best, np.arange(part.num_rows)] if len(filters.languages) else np.zeros(part.num_rows)
                 score = np.where(known, top / np.maximum(share.sum(axis=0), 1e-12), 0.0)
                 chosen = names[np.where(known, best, len(filters.languages))]
-                columns = [part.column("key"), pa.array(chosen, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(known, top, 0.0))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "lang_pred", "score", "coverage"])
-
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, lang_pred string, score double, coverage double").withColumnRenamed("key", key)
+                columns = [pa.array(chosen, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(known, top, 0.0))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *made])
+
+    made = ["lang_pred", "score", "coverage"]
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)), F.col(text).alias("text"))
+    kinds = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in kept)
+    out = source.mapInArrow(run, f"{kinds}lang_pred string, score double, coverage double")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, kept, strict=True)), *made)

@@ -209,3 +209,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     placed = placed.where(F.col("label").isNotNull())
     named = placed.groupBy("label").agg(F.min("key").alias("class_id"), F.count("*").alias("class_rows"))
     return placed.join(named, "label").select("key", "class_id", "class_rows").unionByName(wordless).withColumnRenamed("key", key)
+
+
+def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that have a near duplicate with a lesser key (of equal keys, of lesser content id).
+
+    Of rows with equal key and words one stays; rows without words all stay.
+    """
+    names = [f"kept_{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text)
+    rows, _, labels = links(docs, threshold, key, text)
+    placed = rows.where(F.col("cid").isNotNull()).join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
+    first = F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "cid")).alias("first")
+    chosen = placed.groupBy(F.coalesce("label", "cid").alias("label")).agg(first)
+    chosen = chosen.select(F.col("first.key").alias("chosen_key"), F.col("first.cid").alias("chosen_cid"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, names[place]):
+                ids = pa.array(content_ids(part.column(place)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, "cid"])
+
+    source = docs.toDF(*names)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+    named = source.mapInArrow(run, f"{kinds}, cid binary")
+    own = F.col(names[docs.columns.index(key)])
+    same = (F.col("cid") == F.col("chosen_cid")) & own.eqNullSafe(F.col("chosen_key"))
+    kept = named.join(chosen, same, "left_semi").dropDuplicates(["cid", names[docs.columns.index(key)]])
+    wordless = named.where(F.col("cid").isNull())
+    return kept.unionByName(wordless).drop("cid").toDF(*docs.columns)

@@ -18,6 +18,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scriptline.llm.automata import contents
 from scriptline.llm.chunked import chunk_of, chunked, ordered, table
@@ -193,9 +194,10 @@ def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int, in_memor
     return repeat[place]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept): ``kept`` holds the bytes that stay; a character may have lost some of its own."""
-    chunks, number = chunked(docs, key, text)
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, columns to keep): ``kept`` holds the bytes that stay; a character may have lost some of its own."""
+    chunks, number = chunked(docs, key, text, keep)
+    names = [f"kept_{i}" for i in range(len(keep))]
 
     def read(rows: pa.Table) -> Windows:
         data, offsets = utf8(rows.column("text"))
@@ -262,11 +264,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             out.append((gone, len(runs(own)[0]) if gone else 0, data[a:b][~own].tobytes() if gone else data[a:b].tobytes()))
         gone, spans_, kept = zip(*out, strict=True)
         columns = [pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.binary())]
-        return pa.table([rows.column("key"), *columns], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([rows.column("key"), *columns, *(rows.column(n) for n in names)], names=["key", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     kind = chunks.schema["key"].dataType.simpleString()
     told = repeated_anchors(chunks, number, read, per_text=False)
     found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, done binary")
     marks = found.groupBy("shard").applyInArrow(sort, "chunk int, windows binary")
-    out = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("key", key)
+    kinds = "".join(f", {n} {chunks.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary{kinds}"
+    out = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, schema)
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    return out.select(F.col("key").alias(key), *made, *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))
