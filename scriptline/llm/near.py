@@ -8,9 +8,11 @@ band of components are candidates; a candidate pair is a link if the Jaccard sim
 least ``threshold``. Classes are the connected components of the links.
 
 Texts with the same words are one node from the start. Within a band's bucket nodes are compared with one leader, not
-with each other; then buckets whose nodes ended in different classes get other leaders, and what is still apart after
-``LEADER_ROUNDS`` is compared between the classes of a bucket, so that no pair of a bucket is left out. With 32 bands
-of 5 a pair of similarity 0.8 shares a bucket with a probability over 0.99999.
+with each other; then buckets whose nodes ended in different classes get other leaders, the most typical node first,
+and what is still apart after ``LEADER_ROUNDS`` is compared between the classes of a bucket, so that no pair of a
+bucket is left out. Pairs that cannot reach the threshold are told from two counts per node: its shingles, and those
+of them that no other node in question has. With 32 bands of 5 a pair of similarity 0.8 shares a bucket with a
+probability over 0.99999.
 
 Null and empty texts have no shingles and are classes of their own. Repeated rows fall into one class. Null keys are
 allowed; a class is named by its least key. Only the key column and results are returned.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptline.llm.bpe import binary_column
-from scriptline.llm.text import mix, ngram_hashes, slices, word_hashes
+from scriptline.llm.text import mix, ngram_hashes, slices, utf8, word_hashes
 from scriptline.session import written
 
 SHINGLE = 5
@@ -149,6 +151,27 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def rarity(sets: DataFrame) -> DataFrame:
+    """(cid, n, own): the shingles of each node, and how many of them no other node has."""
+
+    def spread(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column("items"))
+            items = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
+            which = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 4)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(which)), pa.array(items)], ["cid", "item"])
+
+    own = sets.mapInArrow(spread, "cid binary, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
+    counted = sets.select("cid", (F.octet_length("items") / 4).cast("long").alias("n"))
+    return counted.join(own.groupBy("cid").agg(F.count("*").alias("own")), "cid", "left").select("cid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def reachable(a: str, b: str, threshold: float) -> F.Column:
+    """Whether two nodes can have this similarity, as they share no shingle that only one node has."""
+    common = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
+    return common >= F.lit(threshold - 1e-9) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for all nodes of the links (a, b): the least node of each connected component.
 
@@ -179,25 +202,31 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", te
     tried = pairs = written(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     found = written(verified(pairs, sets, threshold), "links")
     labels = components(found)
+    counts = None
     for turn in range(1, LEADER_ROUNDS + 1):
         known = labels.select(F.col("node").alias("cid"), "label")
         placed = members.select("band", "cid").join(known, "cid", "left").select("band", "cid", F.coalesce("label", "cid").alias("label"))
-        mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "label")).alias("lead")).where("least <> most")
-        apart = written(placed.join(mixed.select("band", "lead"), "band"), "apart")
+        mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        apart = written(placed.join(mixed.select("band"), "band"), "apart")
         if apart.isEmpty():
             break
+        if counts is None:
+            counts = written(rarity(sets.join(apart.select("cid").distinct(), "cid")), "counts")
+        nodes = apart.join(counts, "cid").select("band", F.struct("cid", "label", "n", "own").alias("node"))
+        order = F.col("node.own") / F.col("node.n") if turn == 1 else F.xxhash64("node.cid", F.lit(turn))
         if turn < LEADER_ROUNDS:
-            pairs = apart.where("label <> lead.label").select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"))
+            other = nodes.groupBy("band").agg(F.min_by("node", F.struct(order, "node.cid")).alias("other"))
         else:
-            other = apart.select("band", F.col("cid").alias("other"), F.col("label").alias("other_label"))
-            pairs = apart.join(other, "band").where("cid < other and label <> other_label").select(F.col("cid").alias("a"), F.col("other").alias("b"))
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            other = nodes.withColumnRenamed("node", "other")
+        apart_still = (F.col("node.label") != F.col("other.label")) & reachable("node", "other", threshold)
+        pairs = nodes.join(other, "band").where(apart_still)
+        pairs = pairs.select(F.least("node.cid", "other.cid").alias("a"), F.greatest("node.cid", "other.cid").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         more = written(verified(pairs, sets, threshold), "links")
-        if more.isEmpty():
-            continue
-        found = found.unionByName(more)
-        labels = components(found)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = components(found)
     return rows.select("key", "cid"), found, labels
 
 
