@@ -151,7 +151,7 @@ def _(s):
            FROM shown_meds r JOIN own o ON o.vmp_id = r.vmp_id JOIN grouped g ON g.vtm_id IS NOT DISTINCT FROM r.vtm_id
            LEFT JOIN m_vtm t ON t.vtmid = r.vtm_id LEFT JOIN m_vmp v ON v.vpid = r.vmp_id""",
         **LOOSE_TABLES,
-        own="""SELECT vtm_id, vmp_id, coalesce(max(status) FILTER (NOT is_amp), 'included') AS vmp_status FROM shown_meds GROUP BY 1, 2""",
+        own="""SELECT vtm_id, vmp_id, coalesce(arg_min(status, list_position(['included', 'vmp_not_included_but_child_amp_is', 'not_included', 'excluded'], status)) FILTER (NOT is_amp), 'included') AS vmp_status FROM shown_meds GROUP BY 1, 2""",
         grouped="""SELECT vtm_id, CASE WHEN bool_and(vmp_status = 'excluded') THEN 'excluded'
             WHEN bool_and(vmp_status <> 'included') THEN 'not_included' ELSE 'included' END AS vtm_status FROM own GROUP BY 1""",
     ),

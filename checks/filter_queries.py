@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.oracle import codes_where, of_medications, sql
 from checks.registry import query
 from scriptline.functions import bnf
-from scriptline.operators import hierarchy, medicine_filter
+from scriptline.operators import hierarchy, medicine_filter, orgs
 from scriptline.operators.measures import Measure, measure_code_bridge
 from scriptline.operators.medicine_filter import MedicineFilter, matching_codes
 
@@ -287,3 +287,10 @@ def _(s):
     WHERE starts_with(lower(code), '0103') OR contains(lower(name), '0103') OR contains(lower(name), 'paragraph 02')"""))
 def _(s):
     return hierarchy.name_search(s.codes, "0103").unionByName(hierarchy.name_search(s.codes, "PARAGRAPH 02")).distinct()
+
+
+@query("search_orgs", sql("""SELECT id, org_type, name FROM orgs
+    WHERE contains(lower(name), 'icb') OR contains(lower(id), 'icb') OR contains(lower(name), 'sic03') OR contains(lower(id), 'sic03')"""))
+def _(s):
+    found = orgs.search_orgs(s.orgs, " Icb ").unionByName(orgs.search_orgs(s.orgs, "sic03")).unionByName(orgs.search_orgs(s.orgs, "x"))
+    return found.select("id", "org_type", "name").distinct()

@@ -113,7 +113,6 @@ def _(s):
 
 @query("centiles", sql(f"SELECT centile, CAST(date AS VARCHAR) AS date, round(value, 6) AS value FROM ({centiles_sql('pdm')})", **WIN))
 def _(s):
-    # No bound is given, so ranks come from the global sort that holds at any number of rows per month.
     return rounded(text(dense.centiles(analysis.practice_date_matrix(s.model, LISTED, MONTHS)), "date"), "value")
 
 
@@ -244,13 +243,16 @@ def _(s):
 
 @query(
     "value_selector",
-    sql(f"""SELECT practice_code, CAST(date AS VARCHAR) AS date, CAST(sum(actual_cost) AS BIGINT) AS cost, sum(quantity) AS quantity
-            FROM rx WHERE bnf_code IN ({LISTED_CODES}) AND date IN (SELECT date FROM win) GROUP BY 1, 2""", **WIN),
+    sql(f"""SELECT a.code AS practice_code, CAST(w.date AS VARCHAR) AS date, CAST(coalesce(x.cost, 0) AS BIGINT) AS cost,
+                   CAST(coalesce(x.quantity, 0) AS DOUBLE) AS quantity
+            FROM active a CROSS JOIN win w LEFT JOIN (
+                SELECT practice_code, date, sum(actual_cost) AS cost, sum(quantity) AS quantity
+                FROM rx WHERE bnf_code IN ({LISTED_CODES}) GROUP BY 1, 2) x ON x.practice_code = a.code AND x.date = w.date""", **WIN),
 )
 def _(s):
     cost, quantity = (analysis.practice_date_matrix(s.model, LISTED, MONTHS, OUTPUT_VALUES[v]) for v in ("cost", "quantity"))
     both = cost.withColumnRenamed("value", "cost").join(quantity.withColumnRenamed("value", "quantity"), ["practice_code", "date"])
-    return text(both.where("cost <> 0"), "date")
+    return text(both, "date")
 
 
 @query(
@@ -276,18 +278,41 @@ def _(s):
     return hierarchy.bnf_tree(s.codes)
 
 
+CELLS = f"""SELECT substr(p.code, 1, 9) AS chemical, min(substr(g.code, 1, 9) || '_' || right(g.code, 2)) AS row_code,
+           min(d.code) AS product_code, p.code, p.name,
+           CASE WHEN substr(p.code, 1, 9) IN (SELECT substr(code, 1, 9) FROM pres WHERE {GENERIC}) THEN count(DISTINCT g.code) ELSE 1 END AS "rows",
+           count(DISTINCT d.code) AS columns
+    FROM pres p LEFT JOIN (SELECT code FROM pres WHERE {GENERIC}) g
+      ON substr(p.code, 1, 9) = substr(g.code, 1, 9) AND substr(p.code, 14, 2) = substr(g.code, 12, 2)
+    LEFT JOIN (SELECT code FROM codes WHERE level = 6) d ON starts_with(p.code, d.code) AND d.code <> p.code
+    GROUP BY p.code, p.name"""
+
+
+@query("bnf_product_cells", sql(CELLS))
+def _(s):
+    return hierarchy.bnf_product_cells(s.codes)
+
+
 @query(
     "bnf_product_table",
     sql(
-        f"""SELECT substr(p.code, 1, 9) AS chemical, min(substr(g.code, 1, 9) || '_' || right(g.code, 2)) AS row_code,
-                   min(d.code) AS product_code, p.code, p.name,
-                   CASE WHEN substr(p.code, 1, 9) IN (SELECT substr(code, 1, 9) FROM pres WHERE {GENERIC}) THEN count(DISTINCT g.code) ELSE 1 END AS "rows",
-                   count(DISTINCT d.code) AS columns
-            FROM pres p LEFT JOIN (SELECT code FROM pres WHERE {GENERIC}) g
-              ON substr(p.code, 1, 9) = substr(g.code, 1, 9) AND substr(p.code, 14, 2) = substr(g.code, 12, 2)
-            LEFT JOIN (SELECT code FROM codes WHERE level = 6) d ON starts_with(p.code, d.code) AND d.code <> p.code
-            GROUP BY p.code, p.name"""
+        """SELECT r.row_code, d.code AS product_code, string_agg(c.code || ' ' || c.name, '; ' ORDER BY c.code) AS presentations
+           FROM (SELECT DISTINCT row_code FROM cells WHERE chemical = (SELECT chemical FROM fitting)) r
+           CROSS JOIN (SELECT code FROM codes WHERE level = 6 AND starts_with(code, (SELECT chemical FROM fitting))) d
+           LEFT JOIN cells c ON c.row_code = r.row_code AND c.product_code = d.code GROUP BY 1, 2""",
+        cells=CELLS,
+        fitting="""SELECT chemical FROM cells GROUP BY 1 HAVING min("rows") = 1 AND max("rows") = 1 AND min(columns) = 1 AND max(columns) = 1
+            AND count(row_code) > 0 ORDER BY count(DISTINCT product_code) DESC, chemical LIMIT 1""",
     ),
 )
 def _(s):
-    return hierarchy.bnf_product_cells(s.codes)
+    # The table of the chemical with the most products among those with one cell for each of their presentations.
+    cells = hierarchy.bnf_product_cells(s.codes).groupBy("chemical").agg(
+        F.min(F.expr("rows = 1 AND columns = 1")).alias("fits"), F.countDistinct("product_code").alias("products"), F.count("row_code").alias("listed")
+    )
+    chemical = cells.where("fits AND listed > 0").orderBy(F.desc("products"), "chemical").first()["chemical"]
+    table = hierarchy.bnf_product_table(s.codes, chemical)
+    products = [c for c in table.columns if c != "row_code"]
+    shown = [F.array_join(F.transform(c, lambda x: F.concat(x["code"], F.lit(" "), x["name"])), "; ").alias(c) for c in products]
+    cells = table.select("row_code", *shown).unpivot("row_code", products, "product_code", "presentations")
+    return cells.withColumn("presentations", F.nullif("presentations", F.lit("")))

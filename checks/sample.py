@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.mapping import DRIVER_TABLES, MAPPING, references
+from scriptline.operators import chains, orgs, star
 from scriptline.operators import medications as med
-from scriptline.operators import orgs, star
 from scriptline.operators.medicine_filter import Catalogue
-from scriptline.plans.model import Model
-from scriptline.session import written
+from scriptline.plans.model import Model, read_star, write_star
+from scriptline.session import new_path, written
 from scriptline.sources import catalogues, monthly
 
 AS_OF = "2020-01-01"
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STARS: dict[tuple[str, str], str] = {}
 
 
 class Sample:
@@ -144,3 +145,19 @@ class Sample:
 
     def _known_list_sizes(self, practices: DataFrame) -> DataFrame:
         return self.list_sizes.join(practices.select(F.col("code").alias("practice_code")), "practice_code", "left_semi")
+
+
+def build_star(sample: Sample) -> str:
+    """Write the star of the sample's source; returns its path."""
+    path = new_path(sample.spark, "star")
+    changes = chains.vmp_code_change_chain(sample.table("vmp"))
+    write_star(sample.source, sample.list_sizes, sample.table("bnf_changes"), changes, path)
+    return path
+
+
+def star_model(sample: Sample) -> Model:
+    """The sample's model on a star that is written once per session."""
+    key = (sample.spark.sparkContext.applicationId, sample.sf_dir)
+    if key not in _STARS:
+        _STARS[key] = build_star(sample)
+    return read_star(sample.spark, _STARS[key], sample.model.orgs, sample.model.members, sample.catalogue)

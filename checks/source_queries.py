@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.oracle import sql
@@ -116,6 +118,36 @@ def _(s):
     return s.spark.read.parquet(f"{base}/supplier.parquet")
 
 
+def _as_array(rows, path: str) -> None:
+    """One file that holds all rows as one JSON array, spread over lines."""
+    listed = rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns))), {"pretty": "true"}).alias("value"))
+    listed.coalesce(1).write.text(path)
+
+
+@query(
+    "json_array_archive",
+    sql("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"),
+)
+def _(s):
+    base = new_path(s.spark, "json_array")
+    _as_array(s.table("supplier"), f"{base}/supplier.json")
+    archive.json_archive(s.spark, f"{base}/supplier.json", f"{base}/supplier.parquet")
+    return s.spark.read.parquet(f"{base}/supplier.parquet")
+
+
+@query(
+    "csv_preamble_archive",
+    sql("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier"),
+)
+def _(s):
+    base = new_path(s.spark, "csv_preamble")
+    rows = s.table("supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.format_string("%d,\"%s\",%d", "s_suppkey", "s_name", "s_nationkey").alias("line"))
+    lines = F.concat_ws("\n", F.lit("A title, with a comma"), F.lit("Published monthly"), F.lit("s_suppkey,s_name,s_nationkey"), F.array_sort(F.collect_list("line")))
+    rows.agg(lines.alias("value")).coalesce(1).write.text(f"{base}/supplier.csv")
+    archive.csv_archive(s.spark, f"{base}/supplier.csv", f"{base}/supplier.parquet", skip=2)
+    return s.spark.read.parquet(f"{base}/supplier.parquet")
+
+
 @query(
     "xml_entities",
     sql("""SELECT CAST(vpid AS VARCHAR) AS vpid, CAST(vpidprev AS VARCHAR) AS vpidprev, CAST(vtmid AS VARCHAR) AS vtmid,
@@ -135,6 +167,44 @@ def _(s):
     return found.select("vpid", "vpidprev", "vtmid", "invalid", "nm")
 
 
+def _every_group(file_id: str) -> dict[str, tuple[str, ...]]:
+    if file_id == "lookup":
+        return {f"lookup_{g.lower()}": tuple(dmd.lookup_fields(g)) for g in dmd.LOOKUP_GROUPS}
+    return {f"{file_id}_{tag.lower()}": fields for tag, fields in dmd.ENTITIES[file_id].items()}
+
+
+# Every field of a group holds its name, the group's number and a key; it is missing in every third row.
+_GROUPS = [(i, table, f) for i, (table, fields) in enumerate(g for x in ("vmp", "amp", "lookup") for g in _every_group(x).items()) for f in fields]
+_FILLED = ", ".join(f"({i}, '{table}', '{f.lower()}')" for i, table, f in _GROUPS)
+
+
+@query(
+    "xml_all_groups",
+    sql(f"""SELECT g.name AS table_name, g.field, f.field || ' ' || CAST(g.i AS VARCHAR) || ' ' || CAST(n_nationkey AS VARCHAR) AS value
+            FROM (VALUES {_FILLED}) g(i, name, field) JOIN (SELECT DISTINCT field FROM (VALUES {_FILLED}) h(i, name, field)) f ON f.field = g.field
+            CROSS JOIN nation WHERE (g.i + n_nationkey) % 3 <> 0"""),
+)
+def _(s):
+    base, keys = new_path(s.spark, "xml"), s.table("nation").select("n_nationkey")
+    found = []
+    for file_id in ("vmp", "amp", "lookup"):
+        groups = _every_group(file_id)
+        for name, fields in groups.items():
+            i = next(n for n, table, _ in _GROUPS if table == name)
+            tag = name.removeprefix(f"{file_id}_").upper()
+            filled = (F.col("n_nationkey") + i) % 3 != 0
+            cells = [F.when(filled, F.concat(F.lit(f" {f.lower()} {i} "), F.col("n_nationkey"), F.lit("  "))).alias(f) for f in fields]
+            rows = keys.select(*cells)
+            if file_id == "lookup":
+                rows = rows.agg(F.collect_list(F.struct(*fields)).alias("INFO"))
+            path = f"{base}/{file_id}/{tag}"
+            rows.coalesce(1).write.format("xml").option("rootTag", f"{tag}S").option("rowTag", tag).save(path)
+            table = dmd.xml_lookup(s.spark, path, tag) if file_id == "lookup" else dmd.xml_entity(s.spark, path, file_id, tag)
+            one = F.explode(F.array(*(F.struct(F.lit(f.lower()).alias("field"), F.col(f"`{f.lower()}`").alias("value")) for f in fields))).alias("x")
+            found.append(table.select(F.lit(name).alias("table_name"), one).select("table_name", "x.field", "x.value"))
+    return reduce(lambda a, b: a.unionByName(b), found).where("value IS NOT NULL")
+
+
 @query(
     "load_dmd",
     sql("""SELECT apid, invalid, vpid, 'Maker ' || CAST(apid AS VARCHAR) AS nm, descr,
@@ -178,8 +248,8 @@ def _(s):
     base = new_path(s.spark, "concessions.json")
     fields = F.struct("date", F.col("vmpp").cast("bigint").alias("vmpp"), F.col("Medicine").alias("drug"), F.col("price").cast("int").alias("price_pence"))
     rows = s.table("tariff_raw").where("price IS NOT NULL AND price <> ''")
-    rows.select(F.lit("concession").alias("model"), F.col("vmpp").alias("pk"), fields.alias("fields")).write.json(base)
-    return text(catalogues.load_ncso_concessions(s.spark.read.json(base)), "date")
+    _as_array(rows.select(F.lit("concession").alias("model"), F.col("vmpp").alias("pk"), fields.alias("fields")), base)
+    return text(catalogues.load_ncso_concessions(s.spark.read.option("multiLine", True).json(base)), "date")
 
 
 @query(

@@ -26,20 +26,13 @@ GENERIC_PRODUCT = "AA"
 GENERIC_NAME_PREFIX = "Generic "
 
 
-def _shape() -> str:
-    first, *rest = (width for _, width in PART_WIDTHS)
-    return f"^(.{{{first}}})" + "".join(f"(.{{{width}}})?" for width in rest) + "$"
-
-
 def parts(code: Column) -> Column:
     """Struct of the eight parts of a code; parts the code does not reach are NULL."""
-    shape = _shape()
-    return F.struct(
-        *(
-            F.nullif(F.regexp_extract(code, shape, i), F.lit("")).alias(name)
-            for i, (name, _) in enumerate(PART_WIDTHS, start=1)
-        )
-    )
+    found, end = [], 0
+    for name, width in PART_WIDTHS:
+        found.append(F.when(F.length(code) >= end + width, F.substring(code, end + 1, width)).alias(name))
+        end += width
+    return F.struct(*found)
 
 
 def is_generic(code: Column) -> Column:

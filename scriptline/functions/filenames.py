@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: how a file name carries its date.
 DATED_NAME = r"^\w+_(\d{4}-\d{2}-\d{2})_"
-DATED_PATH = r"[/=](\w+_(\d{4}-\d{2}-\d{2})_[^/]*)"
 
 
 def is_hidden(name: Column) -> Column:
@@ -22,11 +21,16 @@ def name_date(name: Column) -> Column:
     )
 
 
-def path_date(path: Column) -> Column:
-    """Date in the first dated component of a path (the file, or the folder Spark wrote for it)."""
-    return F.to_date(F.nullif(F.regexp_extract(path, DATED_PATH, 2), F.lit("")))
+def path_name(path: Column) -> Column:
+    """Name of the downloaded file: the last component of a path, or the folder above a part that Spark wrote.
 
+    In a partition folder (``file=<name>``) the name is what follows the sign.
+    """
+    last, above = (F.element_at(F.split(path, "/"), i) for i in (-1, -2))
+    own = F.when(last.startswith("part-"), above).otherwise(last)
+    return F.regexp_replace(own, "^[A-Za-z_]+=", "")
 
-def path_name(path: Column) -> Column:
-    """The dated component itself."""
-    return F.nullif(F.regexp_extract(path, DATED_PATH, 1), F.lit(""))
+
+def path_date(path: Column) -> Column:
+    """Date in the file's own name; dates in folders above it don't count, and a name without one fails."""
+    return name_date(path_name(path))

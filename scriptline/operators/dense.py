@@ -1,24 +1,19 @@
 """Long-form "matrix" primitives: (row label, month, value) frames that can be made dense with zeros.
 
-A month list is bounded (at most 256 months), so it travels as one array from a scalar subquery: no cross join,
-no join at all. Zero cells are added as extra rows and disappear into the sum that is computed anyway.
+A month list grows by twelve a year, so it travels as one array from a scalar subquery: no cross join, no join at
+all. Zero cells are added as extra rows and disappear into the sum that is computed anyway.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptline.operators.ids import dense_ids
-from scriptline.session import written
-
-# Fixed value: the month key is one byte wide, so more months must fail loudly.
-MAX_MONTHS = 256
 CENTILES = (10, 20, 30, 40, 50, 60, 70, 80, 90)
 
-# Above this many rows per month one task no longer holds a month, and ranks are computed by a global sort.
-MAX_IN_TASK_ROWS = 1_000_000
+# Equal parts of the span from a group's least to its greatest value whose ranks are counted apart.
+CENTILE_PARTS = 1024
 
 
 def recent_dates(dates: DataFrame, date_count: int | None = None) -> DataFrame:
@@ -28,10 +23,8 @@ def recent_dates(dates: DataFrame, date_count: int | None = None) -> DataFrame:
 
 
 def month_array(months: DataFrame) -> Column:
-    """All months as one array value; fails beyond 256 months."""
-    listed = F.sort_array(F.collect_set("date"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_MONTHS} months")).cast("array<date>")
-    return months.agg(F.when(F.size(listed) <= MAX_MONTHS, listed).otherwise(too_many).alias("months")).scalar()
+    """All months as one array value."""
+    return months.agg(F.sort_array(F.collect_set("date")).alias("months")).scalar()
 
 
 def active_practices(practices: DataFrame, months: DataFrame) -> DataFrame:
@@ -42,7 +35,7 @@ def active_practices(practices: DataFrame, months: DataFrame) -> DataFrame:
 def zero_cells(rows: DataFrame, months: DataFrame) -> DataFrame:
     """One row per (row of ``rows``, month)."""
     return rows.withColumn("_months", month_array(months)).select(
-        *rows.columns, F.explode_outer("_months").alias("date")
+        *rows.columns, F.explode("_months").alias("date")
     )
 
 
@@ -132,43 +125,35 @@ def drop_zero_rows(matrix: DataFrame, row: str) -> DataFrame:
     return matrix.join(kept, row, "left_semi")
 
 
-def centiles(matrix: DataFrame, rows_per_group: int | None = None, by: tuple[str, ...] = ("date",)) -> DataFrame:
+def centiles(matrix: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """(centile, *by, value): p10 .. p90 per month, linear interpolation, missing values ignored.
 
-    ``rows_per_group`` is an upper bound of the rows in one group. Up to ``MAX_IN_TASK_ROWS`` Spark's exact
-    ``percentile`` keeps a group in one aggregation buffer; without a bound, or beyond it, ranks come from a
-    global sort.
+    Exact at any size: values are counted first, so ties are one row. The span of a group's values is cut into parts
+    whose running counts are taken apart, and offsets by part make them ranks; each distinct value then knows which
+    of the wanted places fall on it.
     """
-    if rows_per_group is None or rows_per_group > MAX_IN_TASK_ROWS:
-        return _sorted_centiles(matrix, by)
-    wanted = F.array(*(F.lit(c / 100) for c in CENTILES))
-    cells = F.array(
-        *(
-            F.struct(F.lit(c).alias("centile"), F.element_at("p", i).alias("value"))
-            for i, c in enumerate(CENTILES, start=1)
-        )
-    )
-    return (
-        matrix.groupBy(*by).agg(F.percentile("value", wanted).alias("p")).select(*by, F.inline(cells)).select("centile", *by, "value")
-    )
-
-
-def _sorted_centiles(matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Centiles from the global ranks of the sorted values: no group is ever in one task."""
-    matrix = written(matrix.select(*by, F.col("value").cast("double").alias("value")), "centiles")
-    every = F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile")
-    groups = matrix.groupBy(*by).agg(F.count("value").alias("_n")).select(*by, "_n", every)
-    present = matrix.where(F.col("value").isNotNull())
-    ranked = dense_ids(present, [*(F.col(c) for c in by), F.col("value")], "_rank")
-    first = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"))
-    wanted = groups.join(first, [*by]).withColumn("_at", (F.col("_n") - 1) * F.col("centile") / F.lit(100.0))
-    ends = F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
-    places = wanted.select(*by, "centile", "_at", "_first", ends.alias("_place")).withColumn("_rank", F.col("_first") + F.col("_place"))
-    share = 1 - F.abs(F.col("_at") - F.col("_place"))
+    by = list(by)
+    cells = matrix.select(*by, F.col("value").cast("double").alias("value"))
+    distinct = cells.groupBy(*by, "value").agg(F.count("value").alias("_n"))
+    span = [F.sum("_n").alias("_rows"), F.min("value").alias("_low"), F.max("value").alias("_high")]
+    groups = distinct.groupBy(*by).agg(*span)
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    placed = distinct.where(F.col("value").isNotNull()).join(groups, by).withColumn("_part", F.floor(width * CENTILE_PARTS))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
+    offsets = offsets.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_until", F.sum("_n").over(within)).join(offsets, [*by, "_part"])
+    end = F.col("_offset") + F.col("_until")
+    wanted = []
+    for c in CENTILES:
+        at = (F.col("_rows") - 1) * F.lit(c) / F.lit(100.0)
+        wanted += [F.struct(F.lit(c).alias("centile"), at.alias("at"), place.alias("place")) for place in (F.floor(at), F.floor(at) + 1)]
+    hits = F.filter(F.array(*wanted), lambda w: (w["place"] < end) & (w["place"] >= end - F.col("_n")) & (F.abs(w["at"] - w["place"]) < 1))
     found = (
-        places.select(*by, "centile", "_rank", share.alias("_share"))
-        .join(ranked.select("_rank", "value"), "_rank")
-        .groupBy(*by, "centile")
-        .agg(F.sum(F.col("value") * F.col("_share")).alias("value"))
+        ranked.select(*by, "value", F.explode(hits).alias("w"))
+        .groupBy(*by, F.col("w.centile").alias("centile"))
+        .agg(F.sum(F.col("value") * (1 - F.abs(F.col("w.at") - F.col("w.place")))).alias("value"))
     )
-    return groups.drop("_n").join(found, [*by, "centile"], "left").select("centile", *by, "value")
+    every = groups.select(*by, F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile"))
+    return every.join(found, [*by, "centile"], "left").select("centile", *by, "value")

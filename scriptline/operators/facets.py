@@ -16,6 +16,8 @@ BASELINE = (INGREDIENT, VTM, BNF)
 INCLUDED, EXCLUDED, NOT_INCLUDED = "included", "excluded", "not_included"
 CHILD_INCLUDED = "vmp_not_included_but_child_amp_is"
 NO_VTM = "No VTM"
+# A product with several codes has the first of these that one of its codes has.
+STATUS_ORDER = (INCLUDED, CHILD_INCLUDED, NOT_INCLUDED, EXCLUDED)
 
 
 @dataclass(frozen=True)
@@ -158,7 +160,8 @@ def medications_grouped(statuses: DataFrame, vtms: DataFrame, vmps: DataFrame, o
     """
     rows = statuses.where(F.col("status").isin(INCLUDED, CHILD_INCLUDED)) if only_matching else statuses
     # A virtual product without a row of its own counts as included.
-    own = rows.where(~F.col("is_amp")).groupBy("vmp_id").agg(F.max("status").alias("_own"))
+    rank = F.array_position(F.array(*(F.lit(s) for s in STATUS_ORDER)), F.col("status"))
+    own = rows.where(~F.col("is_amp")).groupBy("vmp_id").agg(F.min_by("status", rank).alias("_own"))
     groups = rows.select("vtm_id", "vmp_id").distinct().join(own, "vmp_id", "left").withColumn("vmp_status", F.coalesce("_own", F.lit(INCLUDED)))
     by_vtm = groups.groupBy("vtm_id").agg(
         F.when(F.bool_and(F.col("vmp_status") == EXCLUDED), EXCLUDED)

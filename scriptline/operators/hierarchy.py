@@ -128,8 +128,11 @@ def bnf_product_cells(codes: DataFrame) -> DataFrame:
 def bnf_product_table(codes: DataFrame, chemical: str) -> DataFrame:
     """The product table of one chemical: a row per generic, a column per product, cells list presentations.
 
-    Fails when a presentation does not fit exactly one row and one column.
+    Fails when a presentation does not fit exactly one row and one column. A chemical has few products, so they become
+    columns; any other code is refused.
     """
+    if len(chemical) != bnf.ANCESTOR_LENGTHS[-1]:
+        raise ValueError(f"not the code of a chemical: {chemical!r}")
     own = codes.where(F.col("code").startswith(chemical))
     misfit = F.raise_error(F.concat(F.lit("No single cell for "), F.col("code"))).cast("string")
     cells = bnf_product_cells(own).withColumn(

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_flags
+from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_flags, refuse_unknown
 
 NUMERATOR, DENOMINATOR = "numerator", "denominator"
 OUTPUT_VALUES = {"items": "items", "quantity": "quantity", "cost": "actual_cost"}
+# The keys of a measure's definition.
+KEYS = {"metadata", "options", "queries"}
+METADATA_KEYS = {"title", "tags", "why_it_matters"}
+OPTION_KEYS = {"type", "output_value"}
 
 
 @dataclass(frozen=True)
@@ -22,13 +26,27 @@ class Measure:
     denominator: MedicineFilter | None = None
     title: str = ""
     tags: tuple[str, ...] = ()
+    output_value: str = "items"
+
+    def __post_init__(self):
+        if self.output_value not in OUTPUT_VALUES:
+            raise ValueError(f"output_value: {self.output_value!r}")
+
+    @property
+    def value(self) -> str:
+        """The fact's column that is summed."""
+        return OUTPUT_VALUES[self.output_value]
 
     @classmethod
     def from_dict(cls, name: str, values: dict) -> Measure:
-        """A measure from its definition: metadata, and one numerator with or without denominator."""
+        """A measure from its definition: metadata, and one numerator with or without denominator. Unknown keys fail."""
+        refuse_unknown(values, KEYS, f"measure {name}")
+        refuse_unknown(values.get("metadata", {}), METADATA_KEYS, f"metadata of {name}")
+        refuse_unknown(values.get("options", {}), OPTION_KEYS, f"options of {name}")
         queries = values["queries"]
         if len(queries) != 1:
             raise ValueError("only one simultaneous query is currently supported")
+        refuse_unknown(queries[0], {NUMERATOR, DENOMINATOR}, f"query of {name}")
         for side in queries[0].values():
             if side.get("form_routes") and (side.get("forms") or side.get("routes")):
                 raise ValueError("`form_routes` cannot be used at the same time as `forms` or `routes`")
@@ -40,6 +58,7 @@ class Measure:
             None if below is None else MedicineFilter.from_dict(below),
             metadata.get("title", ""),
             tuple(metadata.get("tags", ())),
+            values.get("options", {}).get("output_value", "items"),
         )
 
     def sides(self) -> list[tuple[str, MedicineFilter]]:
@@ -48,7 +67,10 @@ class Measure:
 
 
 def measure_sides(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
-    """(code, sides): per catalogued code the (measure, side) pairs that select it, if any."""
+    """(code, sides): per catalogued code the (measure, side) pairs that select it, if any. Names are unique."""
+    names = [m.name for m in measures]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"measures of one name: {', '.join(twice)}")
     sides = {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
     flags = filter_flags({key: query for key, (_, _, query) in sides.items()}, catalogue)
     hits = [

@@ -59,7 +59,9 @@ class MedicineFilter:
 
     @classmethod
     def from_dict(cls, values: dict) -> MedicineFilter:
-        return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
+        """A filter from its fields; a field that does not exist fails, since leaving it out would select more."""
+        refuse_unknown(values, {f.name for f in fields(cls)}, "filter")
+        return cls(**values)
 
     def to_dict(self) -> dict:
         """The fields that differ from "everything"."""
@@ -67,6 +69,11 @@ class MedicineFilter:
         return {k: v for k, v in plain.items() if v and v != ALL}
 
 
+def refuse_unknown(values: dict, known: set[str], what: str) -> None:
+    if unknown := sorted(set(values) - known):
+        raise ValueError(f"unknown keys in {what}: {', '.join(map(str, unknown))}")
+
+
 LIST_FIELDS = tuple(f.name for f in fields(MedicineFilter) if f.name != "product_type")
 
 
@@ -209,10 +216,22 @@ def _valid_values(catalogue: Catalogue) -> DataFrame:
     return reduce(DataFrame.unionByName, kinds, codes)
 
 
-def query_validate(query: MedicineFilter, catalogue: Catalogue) -> DataFrame:
-    """(field, value) of every value that matches nothing; malformed strength codes match nothing either."""
-    given = field_values(catalogue.codes.sparkSession, query).withColumn("kind", F.regexp_replace("field", f"{EXCLUDED}$", ""))
-    return given.join(_valid_values(catalogue), ["kind", "value"], "left_anti").select("field", "value")
+def query_validate(query: MedicineFilter | dict, catalogue: Catalogue) -> DataFrame:
+    """(field, value) of every value that matches nothing; malformed strength codes match nothing either.
+
+    Of a dictionary, a product type that does not exist is listed, too.
+    """
+    spark = catalogue.codes.sparkSession
+    wrong = []
+    if isinstance(query, dict):
+        product_type = query.get("product_type", ALL)
+        if product_type not in PRODUCT_TYPES:
+            wrong = [("product_type", str(product_type))]
+            query = {k: v for k, v in query.items() if k != "product_type"}
+        query = MedicineFilter.from_dict(query)
+    given = field_values(spark, query).withColumn("kind", F.regexp_replace("field", f"{EXCLUDED}$", ""))
+    unmatched = given.join(_valid_values(catalogue), ["kind", "value"], "left_anti").select("field", "value")
+    return unmatched.unionByName(spark.createDataFrame(wrong, "field string, value string")) if wrong else unmatched
 
 
 def query_describe(query: MedicineFilter, catalogue: Catalogue) -> DataFrame:

@@ -109,8 +109,8 @@ def org_verify(orgs: DataFrame) -> DataFrame:
 def org_practices(orgs: DataFrame, edges: DataFrame) -> DataFrame:
     """(org_id, practice_code): practices by direct edge, and each practice itself.
 
-    In long form, so the nation (which has every practice) is never one value. Organisations without practices
-    stay, with practice NULL.
+    In long form, so the nation (which has every practice) is never one value, and joined from the side of the
+    practices, whose hot partition Spark can split. Organisations without practices stay, with practice NULL.
     """
     practices = orgs.where(F.col("org_type") == PRACTICE).select(F.col("id").alias("practice_code"))
     direct = edges.select(F.col("parent_id").alias("org_id"), F.col("child_id").alias("practice_code")).join(
@@ -118,7 +118,10 @@ def org_practices(orgs: DataFrame, edges: DataFrame) -> DataFrame:
     )
     own = practices.select(F.col("practice_code").alias("org_id"), "practice_code")
     members = direct.select("org_id", "practice_code").unionByName(own)
-    return orgs.select(F.col("id").alias("org_id"), "org_type").join(members, "org_id", "left").select("org_id", "org_type", "practice_code")
+    typed = orgs.select(F.col("id").alias("org_id"), "org_type")
+    placed = members.join(typed, "org_id").select("org_id", "org_type", "practice_code")
+    alone = typed.join(members, "org_id", "left_anti").withColumn("practice_code", F.lit(None).cast("string"))
+    return placed.unionByName(alone)
 
 
 def orgs_ordered(orgs: DataFrame) -> DataFrame:

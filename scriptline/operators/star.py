@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptline.operators.dense import MAX_MONTHS
 from scriptline.operators.ids import dense_ids
 
 # Practice code of unattributed prescribing, and a code above every valid medicine code.
@@ -20,14 +19,9 @@ MEASURED = ("quantity_value", "items", "quantity", "net_cost", "actual_cost")
 
 
 def date_dim(source: DataFrame) -> DataFrame:
-    """(id, date): months with prescribing, newest first from 0. At most 256 rows reach the window."""
+    """(id, date): months with prescribing, newest first from 0. Only the distinct months reach the window."""
     newest_first = Window.orderBy(F.col("date").desc())
-    capped = F.when(F.col("n") <= MAX_MONTHS, F.col("n") - 1).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_MONTHS} months")).cast("int")
-    )
-    return (
-        source.select("date").distinct().withColumn("n", F.row_number().over(newest_first)).select(capped.alias("id"), "date")
-    )
+    return source.select("date").distinct().select((F.row_number().over(newest_first) - 1).alias("id"), "date")
 
 
 def latest_by_practice(source: DataFrame) -> DataFrame:
@@ -44,6 +38,23 @@ def practice_dim(source: DataFrame) -> DataFrame:
     return dense_ids(latest_by_practice(source), [F.col("latest_prescribing_date").desc(), F.col("code")])
 
 
+def source_keys(source: DataFrame) -> DataFrame:
+    """Keys of all dimensions in one pass over the source, with their latest month and number of rows.
+
+    Rows (bnf_code, snomed_code, month, n) per presentation and month, n counting those of a known practice, and
+    (practice_code, latest) per practice; ``kind`` tells them apart.
+    """
+    known = F.col("practice_code") != NO_PRACTICE
+    keys = source.select("bnf_code", "snomed_code", "practice_code", F.col("date").alias("month"), "date", known.cast("int").alias("known"))
+    sets = keys.groupingSets(
+        [["bnf_code", "snomed_code", "month"], ["practice_code"]], "bnf_code", "snomed_code", "practice_code", "month"
+    )
+    return sets.agg(F.max("date").alias("latest"), F.sum("known").alias("n"), F.grouping_id().alias("kind"))
+
+
+BY_CELL, BY_PRACTICE = 0b0010, 0b1101
+
+
 def presentations(source: DataFrame) -> DataFrame:
     return source.groupBy("bnf_code", "snomed_code").agg(F.max("date").alias("last_prescribed_date"))
 
@@ -88,7 +99,7 @@ def prescribing_norm(source: DataFrame, dates: DataFrame, practices: DataFrame,
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
     by_code = presentation.select(F.col("id").alias("presentation_id"), "bnf_code", "snomed_code")
     return (
-        source.join(F.broadcast(by_date), "date")  # at most 256 rows, see date_dim
+        source.join(by_date, "date")
         .join(by_practice, "practice_code")
         .join(by_code, ["bnf_code", "snomed_code"])
         .select("presentation_id", "date_id", "practice_id", *MEASURED)
@@ -100,7 +111,7 @@ def list_size_norm(source: DataFrame, dates: DataFrame, practices: DataFrame) ->
     by_date = dates.select(F.col("id").alias("date_id"), "date")
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
     return (
-        source.join(F.broadcast(by_date), "date").join(by_practice, "practice_code").select("date_id", "practice_id", "total")
+        source.join(by_date, "date").join(by_practice, "practice_code").select("date_id", "practice_id", "total")
     )
 
 
@@ -110,7 +121,7 @@ def prescribing_view(norm: DataFrame, current: DataFrame, dates: DataFrame, prac
     by_date = dates.select(F.col("id").alias("date_id"), "date")
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
     return (
-        norm.join(F.broadcast(by_date), "date_id")
+        norm.join(by_date, "date_id")
         .join(by_practice, "practice_id")
         .join(by_code, "presentation_id")
         .select("presentation_id", "bnf_code", "snomed_code", "date_id", "date", "practice_id", "practice_code", *MEASURED)
@@ -121,7 +132,7 @@ def list_size_view(norm: DataFrame, dates: DataFrame, practices: DataFrame) -> D
     by_date = dates.select(F.col("id").alias("date_id"), "date")
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
     return (
-        norm.join(F.broadcast(by_date), "date_id")
+        norm.join(by_date, "date_id")
         .join(by_practice, "practice_id")
         .select("date_id", "date", "practice_id", "practice_code", "total")
     )

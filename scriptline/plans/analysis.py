@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from scriptline.operators import dense, orgs
 from scriptline.operators.measures import DENOMINATOR, NUMERATOR, Measure, measure_sides
 from scriptline.operators.medicine_filter import MedicineFilter, filter_flags, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
-from scriptline.session import written
 
 # Months queried, medicines shown by name, and the scale of the two kinds of ratio.
 DATE_COUNT = 96
@@ -20,6 +21,10 @@ PER_HUNDRED_ITEMS = 100
 PER_THOUSAND_PATIENTS = 1000
 OTHER = "Other"
 
+# Literal ranges of ids pushed to the scan, and ids looked at together to find them.
+ID_RANGES = 8
+ID_BLOCK = 100_000
+
 
 @dataclass(frozen=True)
 class Analysis:
@@ -67,18 +72,42 @@ def _in_window(model: Model, rows: DataFrame, date_count: int | None) -> DataFra
 def _of_codes(model: Model, codes: DataFrame, date_count: int | None) -> DataFrame:
     """Facts of the given codes in the window, with ``bnf_code`` and the other columns of ``codes``.
 
-    Codes meet the presentations first, so the facts see one small table of ids. On the star the span of these
-    ids (two numbers) is looked up beforehand: as literals they let the scan skip row groups of other medicines.
+    Codes meet the presentations first, so the facts see one small table of ids. On the star the few ranges that
+    cover these ids are looked up beforehand: as literals they let the scan skip row groups of other medicines.
     """
     named = codes.withColumnRenamed("code", "bnf_code")
     ids = model.presentation.select(F.col("id").alias("presentation_id"), "bnf_code").join(named, "bnf_code")
     facts = _in_window(model, model.facts, date_count)
     if model.clustered:
-        low, high = ids.agg(F.min("presentation_id"), F.max("presentation_id")).first()
-        facts = facts.where(F.lit(False) if low is None else F.col("presentation_id").between(low, high))
+        spans = [F.col("presentation_id").between(low, high) for low, high in id_ranges(ids.select("presentation_id"))]
+        facts = facts.where(reduce(or_, spans, F.lit(False)) if spans else F.lit(False))
     return facts.join(checked_broadcast(ids, model.presentation_rows), "presentation_id")
 
 
+def id_ranges(ids: DataFrame, most: int = ID_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that cover all ids: apart at the largest gaps between them."""
+    before = F.lag("presentation_id").over(Window.partitionBy("_part").orderBy("presentation_id"))
+    # Ids are numbered in order of codes, so blocks of them are even parts; the blocks' own ends close them.
+    parts = ids.distinct().withColumn("_part", F.floor(F.col("presentation_id") / ID_BLOCK)).withColumn("_gap", F.col("presentation_id") - before)
+    ends = parts.groupBy("_part").agg(
+        F.min("presentation_id").alias("low"),
+        F.max("presentation_id").alias("high"),
+        F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("_gap") > 1, F.struct("_gap", "presentation_id"))))), 1, most).alias("gaps"),
+    )
+    found: list[tuple[int, int]] = []
+    for row in sorted(ends.collect()):  # one short row per block of ids
+        starts = sorted((g["presentation_id"], g["_gap"]) for g in row["gaps"])
+        low = row["low"]
+        for start, gap in starts:
+            found.append((low, start - gap))
+            low = start
+        found.append((low, row["high"]))
+    while len(found) > most:
+        i = min(range(1, len(found)), key=lambda k: found[k][0] - found[k - 1][1])
+        found[i - 1 : i + 1] = [(found[i - 1][0], found[i][1])]
+    return found
+
+
 def practice_date_matrix(model: Model, query: MedicineFilter | None, date_count: int | None = None, value: str = "items") -> DataFrame:
     """(practice_code, date, value): dense sums for practices active in the window; None = registered patients."""
     months = dense.recent_dates(model.dates, date_count)
@@ -170,9 +199,7 @@ def org_series(model: Model, analysis: Analysis, date_count: int | None = DATE_C
 
 def deciles(model: Model, analysis: Analysis, date_count: int | None = DATE_COUNT) -> DataFrame:
     """(centile, month, value) over the organisations of the chosen type."""
-    ratios = org_date_ratio(model, analysis, date_count)
-    per_month = model.orgs.where(F.col("org_type") == _org_type(model, analysis.org_id)).count()
-    return dense.records(dense.centiles(ratios, per_month), "centile", "centile", "month")
+    return dense.records(dense.centiles(org_date_ratio(model, analysis, date_count)), "centile", "centile", "month")
 
 
 def top_medications_other(
@@ -222,27 +249,33 @@ def stack_totals(breakdown: DataFrame, largest: str = "top", other: str = "middl
 
 
 def measure_panel(
-    model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT, value: str = "items"
+    model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT
 ) -> DataFrame:
     """(measure, org_id, date, num, den, value): every measure for every organisation and month in one job.
 
-    Items are summed per code, organisation and month once. Only these sums meet the measures of their code, so
-    overlapping measures multiply sums and not prescribing rows. Measures without a denominator use
-    the patients of the organisation.
+    Values (items, or what a measure's ``output_value`` says) are summed per code, organisation and month once. Only
+    these sums meet the measures of their code, so overlapping measures multiply sums and not prescribing rows.
+    Measures without a denominator use the patients of the organisation.
     """
+    columns = sorted({m.value for m in measures}) or ["items"]
     months = dense.recent_dates(model.dates, date_count)
-    sides = written(measure_sides(measures, model.catalogue), "measure_sides")
+    sides = measure_sides(measures, model.catalogue)
     members = checked_broadcast(dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id"), model.practice_rows)
     by_org = (
         _of_codes(model, sides.select("code"), date_count)
         .join(members, "practice_code")
         .groupBy("bnf_code", "org_id", "date")
-        .agg(F.sum(value).alias("n"))
+        .agg(*(F.sum(c).alias(c) for c in columns))
     )
+    # Each measure reads the sum of its own column; nearly all read items.
+    n = F.col(columns[0])
+    for c in columns[1:]:
+        n = F.when(F.col("measure").isin([m.name for m in measures if m.value == c]), F.col(c)).otherwise(n)
     is_num = F.col("side") == NUMERATOR
     prescribed = (
         by_org.join(sides.withColumnRenamed("code", "bnf_code"), "bnf_code")
-        .select("org_id", "date", "n", F.inline("sides"))
+        .select("org_id", "date", *columns, F.inline("sides"))
+        .withColumn("n", n)
         .groupBy("measure", "org_id", "date")
         .agg(F.sum(F.when(is_num, F.col("n")).otherwise(0)).alias("num"), F.sum(F.when(~is_num, F.col("n")).otherwise(0)).alias("den"))
     )
@@ -269,9 +302,8 @@ def measure_deciles(
     model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT
 ) -> DataFrame:
     """(measure, centile, date, value) of every measure over the organisations of a type."""
-    per_month = model.orgs.where(F.col("org_type") == org_type).count()
     panel = measure_panel(model, measures, org_type, date_count)
-    return dense.centiles(panel, per_month, ("measure", "date")).select("measure", "centile", "date", "value")
+    return dense.centiles(panel, ("measure", "date")).select("measure", "centile", "date", "value")
 
 
 def measure_flags(measures: list[Measure]) -> dict[str, list[str]]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptline.operators import star
 from scriptline.operators.medicine_filter import Catalogue
-from scriptline.sources.snapshots import SnapshotFolder, needs_ingest, write_clustered
+from scriptline.session import written
+from scriptline.sources.snapshots import SnapshotFolder, needs_ingest, write_in_ranges
 
 # A broadcast side of keys and flags with up to this many rows takes some tens of megabytes.
 BROADCAST_ROWS = 500_000
@@ -58,22 +59,33 @@ def model_from_sources(
 def write_star(
     source: DataFrame, list_sizes: DataFrame, bnf_changes: DataFrame, vmp_changes: DataFrame, path: str
 ) -> None:
-    """Build the star schema and write it under ``path``; dimensions first, then the facts that use their ids."""
+    """Build the star schema and write it under ``path``; dimensions first, then the facts that use their ids.
+
+    The source is evaluated twice: once for all keys with their rows, and once for the facts.
+    """
     spark = source.sparkSession
+    keys = written(star.source_keys(source), "source_keys")
+    cells = keys.where(F.col("kind") == star.BY_CELL)
+    known = keys.where((F.col("kind") == star.BY_PRACTICE) & (F.col("practice_code") != star.NO_PRACTICE))
+    used = cells.select("bnf_code", "snomed_code", F.col("month").alias("date"))
+    practice = known.select("practice_code", F.col("latest").alias("date"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    dates = stored(star.date_dim(source), "date")
-    practices = stored(star.practice_dim(source), "practice")
+    dates = stored(star.date_dim(used), "date")
+    practices = stored(star.practice_dim(practice), "practice")
     presentation = stored(
-        star.presentation_current_codes(star.presentation_dim(source), bnf_changes, vmp_changes), "presentation"
+        star.presentation_current_codes(star.presentation_dim(used), bnf_changes, vmp_changes), "presentation"
     )
     original = presentation.select(
         "id", F.col("original_bnf_code").alias("bnf_code"), F.col("original_snomed_code").alias("snomed_code")
     )
-    write_clustered(star.prescribing_norm(source, dates, practices, original), f"{path}/prescribing_norm")
+    by_date = dates.select(F.col("id").alias("date_id"), F.col("date").alias("month"))
+    numbered = cells.where("n > 0").join(by_date, "month").join(original.withColumnRenamed("id", "presentation_id"), ["bnf_code", "snomed_code"])
+    norm = star.prescribing_norm(source, dates, practices, original)
+    write_in_ranges(norm, numbered.select("presentation_id", "date_id", "n"), f"{path}/prescribing_norm")
     stored(star.list_size_norm(list_sizes, dates, practices), "list_size_norm")
 
 
@@ -89,7 +101,7 @@ def read_star(spark: SparkSession, path: str, orgs: DataFrame, members: DataFram
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
     facts = (
         table("prescribing_norm")
-        .join(F.broadcast(by_date), "date_id")  # at most 256 rows, see date_dim
+        .join(checked_broadcast(by_date, dates.count()), "date_id")
         .join(checked_broadcast(by_practice, practice_rows), "practice_id")
     )
     return Model(

@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK_FOLDER: dict[str, str] = {}
+_JOB_FOLDER: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def local_session(app: str = "scriptline", cores: str = "*", **conf: str) -> SparkSession:
@@ -46,8 +50,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return os.path.join(shared_folder(spark), "scriptline", uuid.uuid4().hex, name)
+    """A path in the shared folder (in the job's own part of it, inside ``job_folder``) that nothing else uses."""
+    base = _JOB_FOLDER.get() or os.path.join(shared_folder(spark), "scriptline")
+    return os.path.join(base, uuid.uuid4().hex, name)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block go to one folder, which is deleted when the block is left.
+
+    Results that depend on them must be written or collected before. Without this block intermediates stay, since a
+    lazy result may still need them.
+    """
+    folder = os.path.join(shared_folder(spark), "scriptline", f"job-{uuid.uuid4().hex}")
+    token = _JOB_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _JOB_FOLDER.reset(token)
+        system, path = _file_system(spark, folder)
+        system.delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

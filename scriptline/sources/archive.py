@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
-    """A CSV file with a header as strings, without guessing types; ``skip`` lines precede the header.
+def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8", skip: int = 0, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header as strings, without guessing types; ``skip`` lines of one file precede the header.
 
-    A row that does not fit the header fails.
+    A row that does not fit the header fails. ``multi_line`` allows line breaks in quotes, at one task per file.
     """
     if skip == 0:
-        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, mode="FAILFAST")
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, mode="FAILFAST", multiLine=multi_line)
+    if multi_line:
+        raise ValueError("line breaks in quotes cannot be read behind a preamble")
     return _read_after_preamble(spark, path, encoding, skip)
 
 
@@ -24,6 +26,8 @@ def _read_after_preamble(spark: SparkSession, path: str, encoding: str, skip: in
     Row ids grow within a partition, so among the rows of the block at offset 0 the smallest ids are the first
     lines of the file. Blank lines count as lines here, unlike in the CSV reader.
     """
+    if len(spark.read.text(path).inputFiles()) > 1:
+        raise ValueError(f"a preamble can be skipped in one file, not in the several of {path}")
     lines = spark.read.text(path).select(
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -49,6 +53,9 @@ def csv_archive(spark: SparkSession, source: str, target: str, encoding: str = "
 
 
 def json_archive(spark: SparkSession, source: str, target: str, whole_file: bool = True) -> None:
-    """JSON array (or one object or array per line) -> Parquet; types come from the whole input."""
+    """JSON array (or one object or array per line) -> Parquet; types come from the whole input.
+
+    A file that is one array has no lines to split it at, so it is read by one task.
+    """
     rows = spark.read.option("multiLine", whole_file).option("samplingRatio", 1.0).json(source)
     rows.write.option("compression", "zstd").parquet(target)

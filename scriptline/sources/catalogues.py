@@ -20,11 +20,12 @@ def load_bnf_codes(wide: DataFrame) -> DataFrame:
     triples = ", ".join(f"{i}, BNF_{level}_CODE, BNF_{level}" for i, level in enumerate(HIERARCHY, start=1))
     long = wide.select(F.expr(f"stack({len(HIERARCHY)}, {triples}) AS (level, code, name)"))
     shallowest = long.where("code IS NOT NULL AND name IS NOT NULL").groupBy("code", "name").agg(F.min("level").alias("level"))
-    two_names = F.raise_error(F.concat(F.lit("More than one name for code "), F.col("code"))).cast("string")
+    two_names = F.raise_error(F.concat(F.lit("More than one name for code "), F.col("code"))).cast("boolean")
     return (
         shallowest.groupBy("code")
         .agg(F.min("level").alias("level"), F.max("name").alias("name"), F.count(F.lit(1)).alias("_n"))
-        .select("code", "level", F.when(F.col("_n") == 1, F.col("name")).otherwise(two_names).alias("name"))
+        .where(F.when(F.col("_n") == 1, True).otherwise(two_names))  # a filter is never pruned, a column may be
+        .select("code", "level", "name")
     )
 
 

@@ -9,55 +9,47 @@ from pyspark.sql import types as T
 # Per XML file the item tags with their fields, in file order.
 ENTITIES = {
     "ampp": {
-        "AMPP": "APPID INVALID NM ABBREVNM VPPID APID COMBPACKCD LEGAL_CATCD SUBP DISCCD DISCDT",
-        "PACK_INFO": "APPID REIMB_STATCD REIMB_STATDT REIMB_STATPREVCD PACK_ORDER_NO",
-        "PRESCRIB_INFO": "APPID SCHED_2 ACBS PADM FP10_MDA SCHED_1 HOSP NURSE_F ENURSE_F DENT_F",
-        "PRICE_INFO": "APPID PRICE PRICEDT PRICE_PREV PRICE_BASISCD",
-        "REIMB_INFO": "APPID PX_CHRGS DISP_FEES BB LTD_STAB CAL_PACK SPEC_CONTCD DND FP34D",
-        "CCONTENT": "PRNTAPPID CHLDAPPID",
+        "AMPP": ("APPID", "INVALID", "NM", "ABBREVNM", "VPPID", "APID", "COMBPACKCD", "LEGAL_CATCD", "SUBP", "DISCCD", "DISCDT"),
+        "PACK_INFO": ("APPID", "REIMB_STATCD", "REIMB_STATDT", "REIMB_STATPREVCD", "PACK_ORDER_NO"),
+        "PRESCRIB_INFO": ("APPID", "SCHED_2", "ACBS", "PADM", "FP10_MDA", "SCHED_1", "HOSP", "NURSE_F", "ENURSE_F", "DENT_F"),
+        "PRICE_INFO": ("APPID", "PRICE", "PRICEDT", "PRICE_PREV", "PRICE_BASISCD"),
+        "REIMB_INFO": ("APPID", "PX_CHRGS", "DISP_FEES", "BB", "LTD_STAB", "CAL_PACK", "SPEC_CONTCD", "DND", "FP34D"),
+        "CCONTENT": ("PRNTAPPID", "CHLDAPPID"),
     },
     "amp": {
-        "AMP": "APID INVALID VPID NM ABBREVNM DESC NMDT NM_PREV SUPPCD LIC_AUTHCD LIC_AUTH_PREVCD"
-        " LIC_AUTHCHANGECD LIC_AUTHCHANGEDT COMBPRODCD FLAVOURCD EMA PARALLEL_IMPORT AVAIL_RESTRICTCD",
-        "AP_ING": "APID ISID STRNTH UOMCD",
-        "LIC_ROUTE": "APID ROUTECD",
-        "AP_INFO": "APID SZ_WEIGHT COLOURCD PROD_ORDER_NO",
+        "AMP": ("APID", "INVALID", "VPID", "NM", "ABBREVNM", "DESC", "NMDT", "NM_PREV", "SUPPCD", "LIC_AUTHCD", "LIC_AUTH_PREVCD", "LIC_AUTHCHANGECD", "LIC_AUTHCHANGEDT", "COMBPRODCD", "FLAVOURCD", "EMA", "PARALLEL_IMPORT", "AVAIL_RESTRICTCD"),
+        "AP_ING": ("APID", "ISID", "STRNTH", "UOMCD"),
+        "LIC_ROUTE": ("APID", "ROUTECD"),
+        "AP_INFO": ("APID", "SZ_WEIGHT", "COLOURCD", "PROD_ORDER_NO"),
+    },
+    "ingredient": {
+        "ING": ("ISID", "ISIDDT", "ISIDPREV", "INVALID", "NM"),
     },
-    "ingredient": {"ING": "ISID ISIDDT ISIDPREV INVALID NM"},
     "vmpp": {
-        "VMPP": "VPPID INVALID NM ABBREVNM VPID QTYVAL QTY_UOMCD COMBPACKCD",
-        "DTINFO": "VPPID PAY_CATCD PRICE DT PREVPRICE",
-        "CCONTENT": "PRNTVPPID CHLDVPPID",
+        "VMPP": ("VPPID", "INVALID", "NM", "ABBREVNM", "VPID", "QTYVAL", "QTY_UOMCD", "COMBPACKCD"),
+        "DTINFO": ("VPPID", "PAY_CATCD", "PRICE", "DT", "PREVPRICE"),
+        "CCONTENT": ("PRNTVPPID", "CHLDVPPID"),
     },
     "vmp": {
-        "VMP": "VPID VPIDDT VPIDPREV VTMID INVALID NM ABBREVNM BASISCD NMDT NMPREV BASIS_PREVCD NMCHANGECD"
-        " COMBPRODCD PRES_STATCD SUG_F GLU_F PRES_F CFC_F NON_AVAILCD NON_AVAILDT DF_INDCD UDFS UDFS_UOMCD"
-        " UNIT_DOSE_UOMCD",
-        "VPI": "VPID ISID BASIS_STRNTCD BS_SUBID STRNT_NMRTR_VAL STRNT_NMRTR_UOMCD STRNT_DNMTR_VAL STRNT_DNMTR_UOMCD",
-        "ONT": "VPID FORMCD",
-        "DFORM": "VPID FORMCD",
-        "DROUTE": "VPID ROUTECD",
-        "CONTROL_INFO": "VPID CATCD CATDT CAT_PREVCD",
+        "VMP": ("VPID", "VPIDDT", "VPIDPREV", "VTMID", "INVALID", "NM", "ABBREVNM", "BASISCD", "NMDT", "NMPREV", "BASIS_PREVCD", "NMCHANGECD", "COMBPRODCD", "PRES_STATCD", "SUG_F", "GLU_F", "PRES_F", "CFC_F", "NON_AVAILCD", "NON_AVAILDT", "DF_INDCD", "UDFS", "UDFS_UOMCD", "UNIT_DOSE_UOMCD"),
+        "VPI": ("VPID", "ISID", "BASIS_STRNTCD", "BS_SUBID", "STRNT_NMRTR_VAL", "STRNT_NMRTR_UOMCD", "STRNT_DNMTR_VAL", "STRNT_DNMTR_UOMCD"),
+        "ONT": ("VPID", "FORMCD"),
+        "DFORM": ("VPID", "FORMCD"),
+        "DROUTE": ("VPID", "ROUTECD"),
+        "CONTROL_INFO": ("VPID", "CATCD", "CATDT", "CAT_PREVCD"),
+    },
+    "vtm": {
+        "VTM": ("VTMID", "INVALID", "NM", "ABBREVNM", "VTMIDPREV", "VTMIDDT"),
     },
-    "vtm": {"VTM": "VTMID INVALID NM ABBREVNM VTMIDPREV VTMIDDT"},
 }
 
 # Groups of the look-up file (all have CD and DESC), and those with more fields.
-LOOKUP_GROUPS = (
-    "COMBINATION_PACK_IND COMBINATION_PROD_IND BASIS_OF_NAME NAMECHANGE_REASON VIRTUAL_PRODUCT_PRES_STATUS"
-    " CONTROL_DRUG_CATEGORY LICENSING_AUTHORITY UNIT_OF_MEASURE FORM ONT_FORM_ROUTE ROUTE DT_PAYMENT_CATEGORY"
-    " SUPPLIER FLAVOUR COLOUR BASIS_OF_STRNTH REIMBURSEMENT_STATUS SPEC_CONT DND VIRTUAL_PRODUCT_NON_AVAIL"
-    " DISCONTINUED_IND DF_INDICATOR PRICE_BASIS LEGAL_CATEGORY AVAILABILITY_RESTRICTION"
-    " LICENSING_AUTHORITY_CHANGE_REASON"
-).split()
+LOOKUP_GROUPS = ("COMBINATION_PACK_IND", "COMBINATION_PROD_IND", "BASIS_OF_NAME", "NAMECHANGE_REASON", "VIRTUAL_PRODUCT_PRES_STATUS", "CONTROL_DRUG_CATEGORY", "LICENSING_AUTHORITY", "UNIT_OF_MEASURE", "FORM", "ONT_FORM_ROUTE", "ROUTE", "DT_PAYMENT_CATEGORY", "SUPPLIER", "FLAVOUR", "COLOUR", "BASIS_OF_STRNTH", "REIMBURSEMENT_STATUS", "SPEC_CONT", "DND", "VIRTUAL_PRODUCT_NON_AVAIL", "DISCONTINUED_IND", "DF_INDICATOR", "PRICE_BASIS", "LEGAL_CATEGORY", "AVAILABILITY_RESTRICTION", "LICENSING_AUTHORITY_CHANGE_REASON")
 DATED_LOOKUPS = ("UNIT_OF_MEASURE", "FORM", "ROUTE", "SUPPLIER")
 
 # Fields whose type does not follow from the ending of their name.
-BOOLEANS = (
-    "INVALID SCHED_1 SCHED_2 ACBS PADM FP10_MDA HOSP NURSE_F ENURSE_F DENT_F BB CAL_PACK FP34D EMA"
-    " PARALLEL_IMPORT SUG_F GLU_F PRES_F CFC_F"
-).split()
-INTEGERS = "PRICE PRICE_PREV PREVPRICE PX_CHRGS DISP_FEES DND".split()
+BOOLEANS = ("INVALID", "SCHED_1", "SCHED_2", "ACBS", "PADM", "FP10_MDA", "HOSP", "NURSE_F", "ENURSE_F", "DENT_F", "BB", "CAL_PACK", "FP34D", "EMA", "PARALLEL_IMPORT", "SUG_F", "GLU_F", "PRES_F", "CFC_F")
+INTEGERS = ("PRICE", "PRICE_PREV", "PREVPRICE", "PX_CHRGS", "DISP_FEES", "DND")
 DECIMALS = {
     "QTYVAL": T.DecimalType(10, 2),
     "UDFS": T.DecimalType(10, 3),
@@ -75,7 +67,7 @@ def lookup_fields(group: str) -> list[str]:
 
 def xml_entity(spark: SparkSession, path: str, file_id: str, item_tag: str) -> DataFrame:
     """One entity group of an XML file as text columns with lower-case names, blanks trimmed."""
-    return _trimmed(spark, path, item_tag, ENTITIES[file_id][item_tag].split())
+    return _trimmed(spark, path, item_tag, list(ENTITIES[file_id][item_tag]))
 
 
 def xml_lookup(spark: SparkSession, path: str, group: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptline.operators.ids import running_totals
+from scriptline.session import path_exists
+
 CLUSTER_KEYS = ("presentation_id", "date_id", "practice_id")
 
 
@@ -14,10 +17,36 @@ def write_clustered(norm: DataFrame, path: str, keys: tuple[str, ...] = CLUSTER_
     """Write the fact ordered by presentation, month and practice, so scans skip row groups by their min/max.
 
     The range partitioning uses all keys: a presentation with a large share of the rows spans many partitions.
+    Sampling the ranges evaluates ``norm`` once more; ``write_in_ranges`` doesn't.
     """
     norm.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
 
 
+def cell_ranges(cells: DataFrame, number: int) -> DataFrame:
+    """(presentation_id, date_id, range, parts) of cells (presentation_id, date_id, n): about equal ranges in order.
+
+    A cell that is larger than a range is dealt to ``parts`` of them.
+    """
+    totals = running_totals(cells.groupBy("presentation_id").agg(F.sum("n").alias("total")), [F.col("presentation_id")], "total", "start")
+    size = F.greatest(F.lit(1), F.ceil(cells.agg(F.sum("n")).scalar() / F.lit(number)))
+    earlier = Window.partitionBy("presentation_id").orderBy("date_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("start") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    placed = cells.join(totals.select("presentation_id", "start"), "presentation_id").withColumn("start", start)
+    return placed.select("presentation_id", "date_id", F.floor(F.col("start") / size).cast("int").alias("range"), F.ceil(F.col("n") / size).cast("int").alias("parts"))
+
+
+def write_in_ranges(norm: DataFrame, cells: DataFrame, path: str, number: int | None = None, keys: tuple[str, ...] = CLUSTER_KEYS) -> None:
+    """``write_clustered`` in one evaluation of ``norm``: the rows per presentation and month are known already.
+
+    A presentation with a large share of the rows is cut by month, and a month of it by practice.
+    """
+    number = number or int(norm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cell_ranges(cells, number)
+    part = F.pmod(F.xxhash64("practice_id"), F.col("parts")).cast("int")
+    dealt = norm.join(ranges, ["presentation_id", "date_id"]).withColumn("range", F.least(F.col("range") + part, F.lit(number - 1)))
+    dealt.repartitionById(number, F.col("range")).sortWithinPartitions(*keys).drop("range", "parts").write.parquet(path)
+
+
 def ingest_manifest(current: DataFrame, recorded: DataFrame) -> DataFrame:
     """(name, status): how the files at hand differ from those already ingested. No rows = nothing to do.
 
@@ -74,9 +103,6 @@ class SnapshotFolder:
         return None if version is None else self.spark.read.parquet(f"{self.version_path(version)}/ingested_file")
 
     def _pointers(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema("version STRING, at TIMESTAMP").parquet(f"{self.root}/current")
-        except AnalysisException:
+        if not path_exists(self.spark, f"{self.root}/current"):
             return None
+        return self.spark.read.schema("version STRING, at TIMESTAMP").parquet(f"{self.root}/current")

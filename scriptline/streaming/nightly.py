@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptline.functions.filenames import is_hidden
+from scriptline.plans.ingest import monthly_files
+from scriptline.session import path_exists
 from scriptline.sources.monthly import RAW_PRESCRIBING, prescribing_rows
 
 
@@ -17,28 +19,36 @@ def ingest_new_files(spark: SparkSession, files: str, table: str, checkpoint: st
     is repeated after a failure overwrites the same months with the same rows.
     """
     rows = prescribing_rows(spark.readStream.schema(RAW_PRESCRIBING).parquet(files))
+    rows = rows.where(~is_hidden(F.col("file")))
     query = (
         rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: replace_newer_months(batch, table))
+        .foreachBatch(lambda batch, _: replace_newer_months(batch, files, table))
         .start()
     )
     query.awaitTermination()
 
 
-def replace_newer_months(batch: DataFrame, table: str) -> None:
-    """Write the months of a batch whose newest file is not older than the one in the table."""
+def replace_newer_months(batch: DataFrame, files: str, table: str) -> None:
+    """Write the months of a batch that come from the newest file there is for them.
+
+    The newest names are known from the listing, and those already written from a manifest beside the table with one
+    row per month and change, so neither the table nor the batch is read to find out. A run that fails between the two
+    writes brings the same months again.
+    """
     spark = batch.sparkSession
-    newest = batch.groupBy("date").agg(F.max("file").alias("file"))
-    try:
-        held = spark.read.parquet(table).groupBy("date").agg(F.max("file").alias("held"))
+    manifest = f"{table.rstrip('/')}_files"
+    newest = monthly_files(spark, files).select("date", F.col("name").alias("file")).distinct()
+    if path_exists(spark, manifest):
+        held = spark.read.parquet(manifest).groupBy("date").agg(F.max("file").alias("held"))
         newest = newest.join(held, "date", "left").where(F.col("held").isNull() | (F.col("file") >= F.col("held"))).drop("held")
-    except AnalysisException:
-        pass  # the first run
-    # One row per month (at most 256), so broadcasting it leaves the batch where it is.
-    kept = batch.join(F.broadcast(newest), ["date", "file"], "left_semi")
+    chosen = {r["file"]: r["date"] for r in newest.collect()}  # a row per month
+    if not chosen:
+        return
+    kept = batch.where(F.col("file").isin(list(chosen)))
     # Months are of one size, but a hot one may be large: the hint lets Spark split it over several files.
     kept.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+    spark.createDataFrame([(d, f) for f, d in chosen.items()], "date date, file string").coalesce(1).write.mode("append").parquet(manifest)
 
 
 def read_months(spark: SparkSession, table: str) -> DataFrame:

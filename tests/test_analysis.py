@@ -1,13 +1,14 @@
 """The canonical data set: two ICBs with two practices each, January to March 2025."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from scriptline.operators import orgs
-from scriptline.operators.measures import Measure
+from scriptline.operators.measures import Measure, measure_sides
 from scriptline.operators.medicine_filter import MedicineFilter
 from scriptline.plans import analysis
 from scriptline.plans.analysis import Analysis
@@ -221,3 +222,79 @@ def test_code_mapped_twice_fails(spark):
     vmp = spark.createDataFrame([], "old_vpid bigint, new_vpid bigint")
     with pytest.raises(Exception, match="Code mapped twice"):
         star.presentation_current_codes(star.presentations(source), twice, vmp).collect()
+
+
+def test_measures_are_strict(spark, catalogue):
+    side = {"numerator": {"bnf_codes": ["1001"]}}
+    for wrong in (
+        {"queries": [side], "metdata": {}},
+        {"queries": [side], "metadata": {"titel": "T"}},
+        {"queries": [side], "options": {"values": "items"}},
+        {"queries": [{**side, "denominators": {}}]},
+        {"queries": [{"numerator": {"bnf_code": ["1001"]}}]},
+    ):
+        with pytest.raises(ValueError, match="unknown keys"):
+            Measure.from_dict("m", wrong)
+    with pytest.raises(ValueError, match="output_value"):
+        Measure.from_dict("m", {"queries": [side], "options": {"output_value": "packs"}})
+    twice = [Measure.from_dict("m", {"queries": [side]})] * 2
+    with pytest.raises(ValueError, match="measures of one name: m"):
+        measure_sides(twice, catalogue)
+
+
+def test_measures_sum_their_own_value(model):
+    side = {"numerator": {"bnf_codes": ["1001030U0AA"]}, "denominator": ALL}
+    measures = [Measure.from_dict(v, {"queries": [side], "options": {"output_value": v}}) for v in ("items", "cost")]
+    found = {(r.measure, r.org_id, r.date): r for r in analysis.measure_panel(model, measures).collect()}
+    assert len(found) == 12
+    for (name, org, date), r in found.items():
+        assert r.num == found["items", org, date].num * (50 if name == "cost" else 1) > 0
+
+
+def fact_scans(df):
+    """Reads of the fact in the final plan: scans that are neither reused nor beneath a reused stage."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.split("\n") if re.search(r"FileScan parquet \[[^]]*\bpresentation_id#", line)]
+
+
+def test_each_analysis_scans_the_fact_once(spark, model):
+    if not model.clustered:
+        pytest.skip("facts on sources are no table")
+    query = MedicineFilter.from_dict(ALL)
+    ratio = Analysis(MedicineFilter(bnf_codes=("1001030U0AA",)), query)
+    for found in (
+        analysis.practice_date_matrix(model, query, 2),
+        analysis.org_date_ratio(model, ratio, 2),
+        analysis.deciles(model, ratio, 2),
+        analysis.top_medications_other(model, query, 2),
+        analysis.measure_panel(model, [Measure("m", ratio.numerator, query)], date_count=2),
+    ):
+        scans = fact_scans(found)
+        assert len(scans) == 1 and "presentation_id" in scans[0].split("PushedFilters")[1]
+
+
+def test_id_ranges_leave_gaps_out(spark):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 50, 51, 900, 250_000, 250_001)], "presentation_id long")
+    assert analysis.id_ranges(ids) == [(1, 3), (50, 51), (900, 900), (250_000, 250_001)]
+    assert analysis.id_ranges(ids, 2) == [(1, 900), (250_000, 250_001)]
+    assert analysis.id_ranges(ids.limit(0)) == []
+
+
+def test_star_reads_its_source_twice(spark, tmp_path):
+    source, sizes = canonical(spark)
+    source.write.parquet(f"{tmp_path}/source")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = spark.read.parquet(f"{tmp_path}/source")
+    rows_there = watched.count()
+    no_codes = spark.createDataFrame([], "old_code string, new_code string")
+    no_vmps = spark.createDataFrame([], "old_vpid bigint, new_vpid bigint")
+    write_star(watched.mapInArrow(counted, source.schema), sizes, no_codes, no_vmps, f"{tmp_path}/star")
+    assert seen.value == 2 * rows_there
+    assert spark.read.parquet(f"{tmp_path}/star/prescribing_norm").count() == rows_there

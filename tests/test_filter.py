@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from conftest import rows
 from scriptline.operators import medicine_filter
 from scriptline.operators.medicine_filter import LIST_FIELDS, MedicineFilter, matching_codes
 
@@ -89,3 +90,13 @@ def test_describe(catalogue):
 def test_round_trip(values):
     query = MedicineFilter.from_dict(values)
     assert MedicineFilter.from_dict(query.to_dict()) == query
+
+
+def test_unknown_fields_fail():
+    with pytest.raises(ValueError, match="unknown keys in filter: bnf_code"):
+        MedicineFilter.from_dict({"bnf_code": ["0501"]})
+
+
+def test_validation_lists_a_wrong_product_type(catalogue):
+    found = medicine_filter.query_validate({"product_type": "cheap", "bnf_codes": ["99"]}, catalogue)
+    assert rows(found) == [("bnf_codes", "99"), ("product_type", "cheap")]

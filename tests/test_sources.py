@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from scriptline import session
+from scriptline.functions import filenames
 from scriptline.sources import archive, catalogues, dmd, files, monthly, snapshots
 
 DAY = datetime.date(2025, 1, 1)
@@ -180,3 +182,63 @@ def test_high_water_mark(spark):
     assert rows(snapshots.snapshot_high_water_mark(found, marks)) == [("dmd", "dmd_1", "", True), ("ods", "ods_2", "ods_2", False)]
     dated = spark.createDataFrame([(DAY,), (datetime.date(2025, 2, 1),)], "date date")
     assert rows(snapshots.files_after_mark(dated, "2025-01-01")) == [(datetime.date(2025, 2, 1),)]
+
+
+def test_ranges_from_counts_are_in_order(spark, tmp_path):
+    norm = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 20).alias("presentation_id"), (F.col("id") % 12).alias("date_id"), (F.col("id") % 97).alias("practice_id")
+    )
+    path = str(tmp_path / "fact")
+    snapshots.write_in_ranges(norm, norm.groupBy("presentation_id", "date_id").agg(F.count("*").alias("n")), path, number=16)
+    spans = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(
+        F.min(F.struct("presentation_id", "date_id")).alias("low"), F.max(F.struct("presentation_id", "date_id")).alias("high"), F.count("*").alias("n")
+    ).orderBy("low", "high").collect()
+    assert len(spans) > 8 and sum(s.n for s in spans) == 4000 and max(s.n for s in spans) < 800
+    assert all(tuple(a.high) <= tuple(b.low) for a, b in zip(spans, spans[1:]))
+    assert sum(s.low.presentation_id == 7 or s.high.presentation_id == 7 for s in spans) > 4
+
+
+def test_dates_come_from_the_files_own_name(spark):
+    paths = ["/d/backup_2024-06-01_full/prescribing_2023-01-01_v3.parquet", "/d/x_2024-06-01_y/file=list_2023-02-01_v2/part-0.parquet", "/d/list_2023-03-01_v2.parquet/part-1.snappy.parquet"]
+    table = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [str(r[0]) for r in table.select(filenames.path_date(F.col("path"))).collect()] == ["2023-01-01", "2023-02-01", "2023-03-01"]
+    nameless = spark.createDataFrame([("/d/backup_2024-06-01_full/prescribing.parquet",)], "path string")
+    with pytest.raises(Exception, match="Expecting a filename containing an ISO date"):
+        nameless.select(filenames.path_date(F.col("path"))).collect()
+
+
+def test_two_names_fail_whatever_is_read(spark):
+    wide = ", ".join(f"'0{i}' AS BNF_{level}_CODE, 'n' AS BNF_{level}" for i, level in enumerate(catalogues.HIERARCHY))
+    codes = catalogues.load_bnf_codes(spark.sql(f"SELECT {wide} UNION ALL SELECT {wide.replace(chr(39) + 'n' + chr(39), chr(39) + 'm' + chr(39), 1)}"))
+    with pytest.raises(Exception, match="More than one name for code 00"):
+        codes.select("code").collect()
+
+
+def test_preambles_need_one_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("title\nx,y\n1,2\n")
+    assert rows(archive.read_csv_strings(spark, str(tmp_path / "a.csv"), skip=1)) == [("1", "2")]
+    with pytest.raises(ValueError, match="one file"):
+        archive.read_csv_strings(spark, str(tmp_path), skip=1)
+    (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n')
+    assert rows(archive.read_csv_strings(spark, str(tmp_path / "a.csv"), multi_line=True)) == [("1", "two\nlines")]
+
+
+def test_job_folder_is_deleted(spark):
+    with session.job_folder(spark) as folder:
+        held = session.written(spark.range(3), "numbers")
+        assert held.count() == 3 and session.path_exists(spark, folder)
+    assert not session.path_exists(spark, folder)
+    with session.job_folder(spark) as folder, pytest.raises(ZeroDivisionError):
+        session.written(spark.range(3), "numbers")
+        raise ZeroDivisionError
+    assert not session.path_exists(spark, folder)
+
+
+def test_snapshot_errors_are_not_swallowed(spark, tmp_path):
+    folder = snapshots.SnapshotFolder(spark, str(tmp_path))
+    assert folder.recorded() is None
+    (tmp_path / "current").mkdir()
+    (tmp_path / "current" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        folder.current()
