@@ -8,11 +8,10 @@ band of components are candidates; a candidate pair is a link if the Jaccard sim
 least ``threshold``. Classes are the connected components of the links.
 
 Texts with the same words are one node from the start. Within a band's bucket nodes are compared with one leader, not
-with each other; then buckets whose nodes ended in different classes get other leaders, the most typical node first,
-and what is still apart after ``LEADER_ROUNDS`` is compared between the classes of a bucket, so that no pair of a
-bucket is left out. Pairs that cannot reach the threshold are told from two counts per node: its shingles, and those
-of them that no other node in question has. With 32 bands of 5 a pair of similarity 0.8 shares a bucket with a
-probability over 0.99999.
+with each other. Buckets whose nodes ended in different classes get a second leader, the node with the smallest share
+of shingles that no other has. What is still apart is compared within the bucket, in blocks, by an inverted index over
+its shingles; only links that join classes leave the task. So no pair of a bucket is left out, and no pairs are
+emitted. With 32 bands of 5 a pair of similarity 0.8 shares a bucket with a probability over 0.99999.
 
 Null and empty texts have no shingles and are classes of their own. Repeated rows fall into one class. Null keys are
 allowed; a class is named by its least key. Only the key column and results are returned.
@@ -26,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptline.llm.bpe import binary_column
-from scriptline.llm.text import mix, ngram_hashes, slices, utf8, word_hashes
+from scriptline.llm.text import gather, mix, ngram_hashes, slices, utf8, word_hashes
 from scriptline.session import written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
-LEADER_ROUNDS = 3
+#: Nodes of a bucket that one task compares with each other; larger buckets are compared block by block.
+BLOCK = 4000
 
 
 def shingles(column: pa.Array | pa.ChunkedArray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +172,52 @@ def reachable(a: str, b: str, threshold: float) -> F.Column:
     return common >= F.lit(threshold - 1e-9) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
 
 
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, cid, label): the members (band, cid) of buckets that hold more than one class."""
+    known = labels.select(F.col("node").alias("cid"), "label")
+    placed = members.select("band", "cid").join(known, "cid", "left").select("band", "cid", F.coalesce("label", "cid").alias("label"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return written(placed.join(mixed.select("band"), "band"), "apart")
+
+
+def joining_links(sets: list[np.ndarray], labels: list[bytes], threshold: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) between different labels, as many as join all that can be joined."""
+    items, which = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    postings = owner[np.argsort(which, kind="stable")]
+    number = np.bincount(which, minlength=len(items))
+    begin = np.cumsum(number) - number
+    group = np.unique(np.array(labels, object), return_inverse=True)[1]
+    out, place = [], np.cumsum(sizes) - sizes
+    for i in range(len(sets)):
+        own = which[place[i] : place[i] + sizes[i]]
+        common = np.bincount(gather(postings, begin[own], number[own]), minlength=len(sets))
+        alike = common / (sizes[i] + sizes - common)
+        for j in np.flatnonzero((alike >= threshold) & (group != group[i])):
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((i, int(j), float(alike[j])))
+    return out
+
+
+def within_buckets(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) that join classes of a bucket of (band, cid, label), from all pairs of it."""
+    sizes = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = apart.join(sizes, "band").select("band", "cid", "label", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    dealt = dealt.select("band", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "cid", "label")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        cids = rows.column("cid").to_pylist()
+        found = joining_links([np.frombuffer(x, "<u4") for x in rows.column("items").to_pylist()], rows.column("label").to_pylist(), threshold)
+        pairs = [(min(cids[i], cids[j]), max(cids[i], cids[j]), s) for i, j, s in found]
+        columns = [pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))]
+        return pa.table(columns, names=["a", "b", "similarity"])
+
+    return dealt.join(sets, "cid").groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for all nodes of the links (a, b): the least node of each connected component.
 
@@ -199,34 +245,23 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", te
     members = written(buckets.join(shared.select("band", "leader"), "band").select("band", "cid", "key", "leader"), "members")
     sets = written(shingle_sets(source, members.groupBy("cid").agg(F.min("key").alias("key"))), "shingles")
     members = members.select("band", "cid", "leader")
-    tried = pairs = written(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-    found = written(verified(pairs, sets, threshold), "links")
+    tried = written(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    found = written(verified(tried, sets, threshold), "links")
     labels = components(found)
-    counts = None
-    for turn in range(1, LEADER_ROUNDS + 1):
-        known = labels.select(F.col("node").alias("cid"), "label")
-        placed = members.select("band", "cid").join(known, "cid", "left").select("band", "cid", F.coalesce("label", "cid").alias("label"))
-        mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-        apart = written(placed.join(mixed.select("band"), "band"), "apart")
-        if apart.isEmpty():
-            break
-        if counts is None:
-            counts = written(rarity(sets.join(apart.select("cid").distinct(), "cid")), "counts")
-        nodes = apart.join(counts, "cid").select("band", F.struct("cid", "label", "n", "own").alias("node"))
-        order = F.col("node.own") / F.col("node.n") if turn == 1 else F.xxhash64("node.cid", F.lit(turn))
-        if turn < LEADER_ROUNDS:
-            other = nodes.groupBy("band").agg(F.min_by("node", F.struct(order, "node.cid")).alias("other"))
-        else:
-            other = nodes.withColumnRenamed("node", "other")
-        apart_still = (F.col("node.label") != F.col("other.label")) & reachable("node", "other", threshold)
-        pairs = nodes.join(other, "band").where(apart_still)
+    apart = mixed_buckets(members, labels)
+    if not apart.isEmpty():
+        counts = written(rarity(sets.join(apart.select("cid").distinct(), "cid")), "counts")
+        # the rest has more own shingles than a link allows
+        able = apart.join(counts.where(F.col("n") - F.col("own") >= F.lit(threshold - 1e-9) * F.col("n")), "cid")
+        able = written(able.select("band", F.struct("cid", "label", "n", "own").alias("node")), "able")
+        leaders = able.groupBy("band").agg(F.min_by("node", F.struct(F.col("node.own") / F.col("node.n"), "node.cid")).alias("other"))
+        pairs = able.join(leaders, "band").where((F.col("node.label") != F.col("other.label")) & reachable("node", "other", threshold))
         pairs = pairs.select(F.least("node.cid", "other.cid").alias("a"), F.greatest("node.cid", "other.cid").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        more = written(verified(pairs, sets, threshold), "links")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            labels = components(found)
+        found = written(found.unionByName(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, threshold)), "links")
+        labels = components(found)
+        apart = mixed_buckets(able.select("band", "node.cid"), labels)
+        found = written(found.unionByName(within_buckets(apart, sets, threshold)).dropDuplicates(["a", "b"]), "links")
+        labels = components(found)
     return rows.select("key", "cid"), found, labels
 
 
