@@ -251,10 +251,11 @@ def test_measures_sum_their_own_value(model):
         assert r.num == found["items", org, date].num * (50 if name == "cost" else 1) > 0
 
 
-def fact_scans(df):
+def fact_scans(spark, df):
     """Reads of the fact in the final plan: scans that are neither reused nor beneath a reused stage."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
     return [line for line in plan.split("\n") if re.search(r"FileScan parquet \[[^]]*\bpresentation_id#", line)]
 
 
@@ -270,7 +271,7 @@ def test_each_analysis_scans_the_fact_once(spark, model):
         analysis.top_medications_other(model, query, 2),
         analysis.measure_panel(model, [Measure("m", ratio.numerator, query)], date_count=2),
     ):
-        scans = fact_scans(found)
+        scans = fact_scans(spark, found)
         assert len(scans) == 1 and "presentation_id" in scans[0].split("PushedFilters")[1]
 
 
