@@ -127,7 +127,7 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("order", F.coalesce("key", lowest)).withColumn("place", F.col("order").cast("double"))
     quantiles = rows.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    splits = [-float("inf"), *sorted({float(q) for q in quantiles}), float("inf")]
+    splits = [-float("inf"), *sorted({float(q) for q in quantiles} or {0.0}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="place", outputCol="range_").transform(rows).withColumn("range", F.col("range_").cast("int"))
     tops = sorted((r["top"], r["range"]) for r in rows.groupBy("range").agg(F.max("order").alias("top")).collect())
     tails = [(tops[i - 1][0], tops[i][1]) for i in range(len(tops))]  # the range above needs its neighbour's greatest key

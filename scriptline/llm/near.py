@@ -42,7 +42,8 @@ def shingles(column: pa.Array | pa.ChunkedArray, size: int = SHINGLE) -> tuple[n
     text = np.searchsorted(offsets, at, side="right") - 1
     lengths = np.diff(offsets)
     short = np.flatnonzero((lengths > 0) & (lengths < size))
-    whole = np.array([int(mix(np.bitwise_xor.reduce(mix(hashes[offsets[i] : offsets[i + 1]] + np.arange(1, lengths[i] + 1).astype(np.uint64)))[None])[0]) for i in short], np.uint64)
+    placed = [hashes[offsets[i] : offsets[i + 1]] + np.arange(1, lengths[i] + 1).astype(np.uint64) for i in short]
+    whole = mix(np.array([np.bitwise_xor.reduce(mix(p)) for p in placed], np.uint64))
     grams, text = np.concatenate([grams, whole]), np.concatenate([text, short])
     order = np.lexsort((grams, text))
     grams, text = grams[order], text[order]

@@ -7,8 +7,8 @@ transducers that rewrite a text and keep, for every character they put out, the
    become ``@`` and ``.``, runs of spelled digits become digits, a spelled plus before them becomes ``+``;
 2. words: ``name at host dot tld`` becomes an address (at least one dot must be spelled, so that prose is left alone).
 
-An identifier of the rewritten text counts if its span holds something rewritten and does not overlap a plain one of
-the same kind; its span is mapped back to source characters. Offsets are code points, the end is exclusive.
+An identifier of the rewritten text counts if its span holds something rewritten and reaches beyond every plain one of
+the same kind that it overlaps; its span is mapped back to source characters. Offsets are code points, the end is exclusive.
 
 Null and empty texts have no identifiers. Very long texts are searched in linear time. Equal rows give equal results.
 """
@@ -202,7 +202,8 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             for a, b in spans:
                 begin, end = int(now.start[a]), int(now.end[b - 1])
                 disguised = now.changed[a:b].any() or end - begin != b - a
-                if disguised and not any(begin < y and x < end for x, y in taken):
+                beyond = all(begin <= x and y <= end and end - begin > y - x for x, y in taken if begin < y and x < end)
+                if disguised and beyond:
                     added.append((kind, begin, end))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted([(k, a, b) for k, spans in plain.items() for a, b in spans], key=order), sorted(added, key=order)
