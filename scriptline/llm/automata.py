@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from scriptline.llm.chunked import chunk_of, chunked, ordered, table
 from scriptline.llm.repeats import Windows, covering, repeated_anchors, repeating, shard, windows
-from scriptline.llm.text import gather, mix, powers, ramp, word_hashes
+from scriptline.llm.text import gather, mix, powers, ramp, release, word_hashes
 
 WIDTH, GRAM = 50, 4
 LAST = (1 << 63) - 1
@@ -146,6 +146,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return table(_PASSAGES, out)
 
     def stream(rows: pa.Table) -> pa.Table:
+        release()
         chunk_ids = rows.column("chunk").to_numpy()
         places = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("places").to_pylist()]
         symbols = np.frombuffer(b"".join(rows.column("symbols").to_pylist()), np.uint64)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptline.llm.text import release
+
 CHUNK_BYTES = 3 << 20
 
 
@@ -31,6 +33,7 @@ def chunked(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), si
 
 def ordered(table: pa.Table) -> pa.Table:
     """The rows of a chunk by key and text; equal rows are interchangeable."""
+    release()
     return table.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
 
 

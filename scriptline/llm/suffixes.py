@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from scriptline.llm.automata import contents
 from scriptline.llm.chunked import chunk_of, chunked, ordered, table
 from scriptline.llm.repeats import Windows, covering, repeated_anchors, repeating, rolling, runs, shard, windows
-from scriptline.llm.text import gather, mix, utf8
+from scriptline.llm.text import gather, mix, release, utf8
 
 WIDTH, GRAM = 200, 32
+#: Text of a chunk, and about what a shard gets; a sort needs some sixty bytes for each.
+SHARD_BYTES = 2 << 20
 #: Suffixes that the queues of one sort keep in memory.
 IN_MEMORY = 8 << 20
 
@@ -196,7 +198,7 @@ def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int, in_memor
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept, columns to keep): ``kept`` holds the bytes that stay; a character may have lost some of its own."""
-    chunks, number = chunked(docs, key, text, keep)
+    chunks, number = chunked(docs, key, text, keep, size=SHARD_BYTES)
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def read(rows: pa.Table) -> Windows:
@@ -222,6 +224,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return table(_PASSAGES, out)
 
     def sort(rows: pa.Table) -> pa.Table:
+        release()
         chunk_ids = rows.column("chunk").to_numpy()
         places = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("places").to_pylist()]
         data = np.frombuffer(b"".join(rows.column("symbols").to_pylist()), np.uint8)
