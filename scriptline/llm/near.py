@@ -1,11 +1,12 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-A text's shingles (five words; a shorter text is one shingle) weigh 1 + ln(count). A shingle is a Poisson process with
-its weight as rate: its points arrive in order of time, each falls on one of the signature's components, and a
-component keeps the shingle of its first point. A text is done as soon as no next point can come before the latest
-first point. Two texts agree in a component with their probability Jaccard similarity. Texts that agree in a whole
-band of components are candidates; a candidate pair is a link if the Jaccard similarity of the two shingle sets is at
-least ``threshold``. Classes are the connected components of the links.
+A text's distinct shingles (five words; a shorter text is one shingle) all weigh the same, however often the text
+repeats one. A shingle is a Poisson process with its weight as rate: its points arrive in order of time, each falls on
+one of the signature's components, and a component keeps the shingle of its first point. A text is done as soon as no
+next point can come before the latest first point. Two texts agree in a component with the probability Jaccard
+similarity, which for equal weights is the Jaccard similarity of the shingle sets. Texts that agree in a whole band of
+components are candidates; a candidate pair is a link if that same Jaccard similarity, computed, is at least
+``threshold``. Classes are the connected components of the links.
 
 Texts with the same words are one node from the start. Within a band's bucket nodes are compared with one leader, not
 with each other. Buckets whose nodes ended in different classes get a second leader, the node with the smallest share
@@ -54,11 +55,10 @@ def shingles(column: pa.Array | pa.ChunkedArray, size: int = SHINGLE) -> tuple[n
     return grams[place], np.diff(np.append(place, len(grams))), np.searchsorted(text[place], np.arange(len(offsets)))
 
 
-def signatures(items: np.ndarray, counts: np.ndarray, offsets: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(items: np.ndarray, weight: np.ndarray, offsets: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """ProbMinHash signatures: (texts, components) of 32-bit shingle ids, all ones for a text without shingles."""
     texts = len(offsets) - 1
     text = np.repeat(np.arange(texts), np.diff(offsets))
-    weight = 1.0 + np.log(np.maximum(counts, 1))
     best = np.full(texts * size, np.uint64(0xFFFFFFFFFFFFFFFF))
     time = np.zeros(len(items))
     live = np.arange(len(items))
@@ -105,8 +105,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                signature = signatures(*shingles(part.column("text")))
-                found = bands(signature)
+                items, _, offsets = shingles(part.column("text"))
+                found = bands(signatures(items, np.ones(len(items)), offsets))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(content_ids(part.column("text")), pa.binary()), listed], ["key", "cid", "bands"])
 

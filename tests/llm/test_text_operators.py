@@ -457,6 +457,17 @@ def test_large_groups_whose_members_differ_from_their_leader(spark):
     assert rows(near.classes(table)) == sorted(classes_by_force(given), key=repr)
 
 
+def test_repeated_lines_do_not_hide_near_duplicates(spark):
+    given = []
+    for i in range(20):
+        base = " ".join(f"b{i}x{j}" for j in range(104))
+        line = " ".join(f"r{i}x{j}" for j in range(15))
+        given += [(2 * i, base), (2 * i + 1, base + f" {line}" * 500)]  # 100 of 119 shingles, 15 of them 500 times
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    wanted = sorted(classes_by_force(given), key=repr)
+    assert [n for _, _, n in wanted] == [2] * 40 and rows(near.classes(table)) == wanted
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     common = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
