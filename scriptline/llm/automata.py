@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         chunk, rows = chunk_of(rows), ordered(rows)
         symbols, offsets = word_hashes(rows.column("text"))
         found = windows(symbols, offsets, width, gram)
-        chosen = repeating(found, told, number)
+        chosen, _ = repeating(found, told, number)
         first, count = found.first[chosen], found.count[chosen]
         keys = order_keys(rows.column("key"))[found.texts()[chosen]]
         known, _ = earlier(keys, contents(symbols, first, count + width - 1))
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         ]
         return pa.table([rows.column("key"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
-    told = repeated_anchors(chunks, number, read, per_text=True)
+    told = repeated_anchors(chunks, number, read, per_text=True, most=1 << 62)
     found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, done binary")
     marks = found.groupBy("shard").applyInArrow(stream, "chunk int, windows binary")
     out = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, "key long, n_words long, n_removed long, kept string")

@@ -3,7 +3,8 @@
 A window's anchor is the k-gram with the least hash in it (the leftmost of equal ones), which depends on the window
 only: equal windows have equal anchors at equal places. Consecutive windows of one anchor make a passage. A window can
 repeat only if its anchor does, so only passages with repeated anchors go on, and those of one anchor meet in one shard.
-Within a chunk, equal passages go on once.
+Within a chunk, equal passages go on once. An anchor of very many passages is hot: one shard could not hold what
+surrounds it, so its windows go on by themselves, as 128-bit hashes, each to the shard of its own hash.
 """
 
 from __future__ import annotations
@@ -85,42 +86,67 @@ def windows(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return Windows(offsets, window[at], np.diff(np.append(at, len(window))), hashes[place[at]])
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("often", pa.binary())])
-_TOLD = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("repeats", pa.binary())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("often", pa.binary()), ("times", pa.binary())])
+_TOLD = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("repeats", pa.binary()), ("hot", pa.binary())])
 
 
-def repeated_anchors(chunks: DataFrame, number: int, read: Callable[[pa.Table], Windows], per_text: bool) -> DataFrame:
-    """(chunk, bucket, repeats): which anchors of the chunk there are twice (``per_text``: in two texts) in the corpus."""
+def repeated_anchors(chunks: DataFrame, number: int, read: Callable[[pa.Table], Windows], per_text: bool, most: int) -> DataFrame:
+    """(chunk, bucket, repeats, hot): which anchors of the chunk there are twice (``per_text``: in two texts) in the corpus,
+    and which have more than ``most`` (less than 2**16) passages."""
 
     def ask(rows: pa.Table) -> pa.Table:
         chunk, rows = chunk_of(rows), ordered(rows)
         found = read(rows)
         anchors = found.anchor
+        distinct, passages = np.unique(anchors, return_counts=True)
         if per_text:
             pairs = np.unique(np.stack([anchors, found.texts().astype(np.uint64)], axis=1), axis=0) if len(anchors) else np.zeros((0, 2), np.uint64)
             anchors = pairs[:, 0]
-        distinct, counts = np.unique(anchors, return_counts=True)
-        return table(_ASKED, [(b, chunk, pack(distinct[s]), np.packbits(counts[s] > 1).tobytes()) for b, s in ranges(distinct, number)])
+        counts = np.unique(anchors, return_counts=True)[1]
+        times = np.minimum(passages, (1 << 16) - 1).astype("<u2")
+        return table(_ASKED, [(b, chunk, pack(distinct[s]), np.packbits(counts[s] > 1).tobytes(), times[s].tobytes()) for b, s in ranges(distinct, number)])
 
     def meet(rows: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in rows.column("hashes")]
         often = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(rows.column("often"), parts, strict=True)]
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
         repeats = np.bincount(which, weights=1 + np.concatenate(often))[which] > 1
+        times = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in rows.column("times")])
+        hot = np.bincount(which, weights=times)[which] > most
         borders = np.cumsum([0, *map(len, parts)])
-        told = [np.packbits(repeats[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
-        return pa.table([rows.column("chunk"), rows.column("bucket"), pa.array(told, pa.binary())], schema=_TOLD)
+        told = [pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary()) for x in (repeats, hot)]
+        return pa.table([rows.column("chunk"), rows.column("bucket"), *told], schema=_TOLD)
 
-    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, hashes binary, often binary")
-    return asked.groupBy("bucket").applyInArrow(meet, "chunk int, bucket int, repeats binary")
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, hashes binary, often binary, times binary")
+    return asked.groupBy("bucket").applyInArrow(meet, "chunk int, bucket int, repeats binary, hot binary")
 
 
-def repeating(found: Windows, told: pa.Table, number: int) -> np.ndarray:
-    """Indices of the passages whose anchors repeat."""
+def repeating(found: Windows, told: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the passages whose anchors repeat and are not hot, those whose anchors repeat and are hot)."""
     distinct, which = np.unique(found.anchor, return_inverse=True)
-    answers = dict(zip(told.column("bucket").to_pylist(), told.column("repeats").to_pylist(), strict=True))
-    bits = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start) for b, s in ranges(distinct, number)]
-    return np.flatnonzero(np.concatenate(bits)[which]) if bits else np.zeros(0, np.int64)
+
+    def bits(column: str) -> np.ndarray:
+        answers = dict(zip(told.column("bucket").to_pylist(), told.column(column).to_pylist(), strict=True))
+        parts = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start) for b, s in ranges(distinct, number)]
+        return np.concatenate(parts)[which].astype(bool) if parts else np.zeros(0, bool)
+
+    repeats, hot = bits("repeats"), bits("hot")
+    return np.flatnonzero(repeats & ~hot), np.flatnonzero(repeats & hot)
+
+
+def window_ids(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the ``width`` symbols from each position on."""
+    return mix(rolling(symbols, width)), mix(rolling(mix(symbols + np.uint64(_STEP)), width))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's pair (a, b), a row of each pair)."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, order[new]
 
 
 def shard(anchors: np.ndarray, number: int) -> np.ndarray:

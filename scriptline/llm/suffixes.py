@@ -5,7 +5,8 @@ Passages whose anchors repeat meet in shards (see ``repeats``); the suffixes of
 S*-suffixes by the names of their substrings, doubled until the names reach over ``width`` bytes, then the L-suffixes
 from them and the S-suffixes from the L-suffixes, each induced through one queue per first byte. The queues move to
 a temporary file when they outgrow memory. Neighbours in the sorted order that agree in ``width`` bytes are repeats.
-Passages that are there more than once as a whole are repeats at once and are sorted only once.
+Passages that are there more than once as a whole are repeats at once and are sorted only once. Windows whose anchor has
+more than ``HOT`` passages are compared by 128-bit hashes in the shards of those hashes, instead of by sorting.
 
 Strings are judged on the input and never span texts. Null, empty and short texts lose nothing; repeated rows remove
 each other like any other texts. Keys may be of any type and null.
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 
 from scriptline.llm.automata import contents
 from scriptline.llm.chunked import chunk_of, chunked, ordered, table
-from scriptline.llm.repeats import Windows, covering, repeated_anchors, repeating, rolling, runs, shard, windows
-from scriptline.llm.text import gather, mix, release, utf8
+from scriptline.llm.repeats import Windows, alike, covering, repeated_anchors, repeating, rolling, runs, shard, window_ids, windows
+from scriptline.llm.text import gather, mix, ramp, release, utf8
 
 WIDTH, GRAM = 200, 32
 #: Text of a chunk, and about what a shard gets; a sort needs some sixty bytes for each.
 SHARD_BYTES = 2 << 20
 #: Suffixes that the queues of one sort keep in memory.
 IN_MEMORY = 8 << 20
+#: Passages of one anchor that are sorted together: less text than a shard gets.
+HOT = 4096
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("done", pa.binary())])
+_PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("hot", pa.binary()), ("done", pa.binary())])
 _MARKS = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
 
 
@@ -196,7 +199,7 @@ def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int, in_memor
     return repeat[place]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept, columns to keep): ``kept`` holds the bytes that stay; a character may have lost some of its own."""
     chunks, number = chunked(docs, key, text, keep, size=SHARD_BYTES)
     names = [f"kept_{i}" for i in range(len(keep))]
@@ -209,18 +212,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         chunk, rows = chunk_of(rows), ordered(rows)
         data, _ = utf8(rows.column("text"))
         found = read(rows)
-        chosen = repeating(found, told, number)
+        chosen, many = repeating(found, told, number)
         first, count = found.first[chosen], found.count[chosen]
         content = contents(_VALUES[data], first, count + width - 1)
         _, one, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
         twice = times[which] > 1
-        out = [(chunk % number, chunk, b"", b"", np.stack([first[twice], count[twice]], axis=1).tobytes())]
+        out = [(chunk % number, chunk, b"", b"", b"", np.stack([first[twice], count[twice]], axis=1).tobytes())]
         sent = np.sort(one)
         first, count, twice, target = first[sent], count[sent], twice[sent], shard(found.anchor[chosen][sent], number)
         for part in np.split(np.argsort(target, kind="stable"), np.flatnonzero(np.diff(np.sort(target))) + 1):
             if len(part):
                 places = np.stack([twice[part].astype(np.int64), first[part], count[part]], axis=1)
-                out.append((int(target[part[0]]), chunk, places.tobytes(), gather(data, first[part], count[part] + width - 1).tobytes(), b""))
+                out.append((int(target[part[0]]), chunk, places.tobytes(), gather(data, first[part], count[part] + width - 1).tobytes(), b"", b""))
+        if len(many):
+            at = np.repeat(found.first[many], found.count[many]) + ramp(found.count[many])
+            a, b = (x[at] for x in window_ids(_VALUES[data], width))
+            which, one = alike(a, b)
+            twice = np.bincount(which) > 1
+            here = at[twice[which]]
+            out.append((chunk % number, chunk, b"", b"", b"", np.stack([here, np.ones_like(here)], axis=1).tobytes()))
+            target = shard(a[one], number)
+            sent = np.stack([a[one], b[one], (at[one] * 2 + twice).astype(np.uint64)], axis=1)
+            for part in np.split(np.argsort(target, kind="stable"), np.flatnonzero(np.diff(np.sort(target))) + 1):
+                out.append((int(target[part[0]]), chunk, b"", b"", sent[part].tobytes(), b""))
         return table(_PASSAGES, out)
 
     def sort(rows: pa.Table) -> pa.Table:
@@ -232,6 +246,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         for c, d in zip(chunk_ids, rows.column("done").to_pylist(), strict=True):
             if d:
                 joined.setdefault(int(c), []).append(d)
+        asked = [np.frombuffer(x, np.uint64).reshape(-1, 3) for x in rows.column("hot").to_pylist()]
+        asker = np.repeat(chunk_ids, [len(p) for p in asked])
+        a, b, at = np.concatenate(asked).T
+        if len(a):
+            which, _ = alike(a, b)
+            more = (np.bincount(which) > 1)[which] & (at & np.uint64(1) == 0)  # those there twice in their chunk are marked
+            asker, at = asker[more], (at[more] >> np.uint64(1)).astype(np.int64)
+            for c in np.unique(asker):
+                own = at[asker == c]
+                joined.setdefault(int(c), []).append(np.stack([own, np.ones_like(own)], axis=1).tobytes())
         chunk = np.repeat(chunk_ids, [len(p) for p in places])
         twice, first, count = np.concatenate(places).T
         if len(first):
@@ -270,8 +294,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return pa.table([rows.column("key"), *columns, *(rows.column(n) for n in names)], names=["key", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     kind = chunks.schema["key"].dataType.simpleString()
-    told = repeated_anchors(chunks, number, read, per_text=False)
-    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, done binary")
+    told = repeated_anchors(chunks, number, read, per_text=False, most=hot)
+    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, hot binary, done binary")
     marks = found.groupBy("shard").applyInArrow(sort, "chunk int, windows binary")
     kinds = "".join(f", {n} {chunks.schema[n].dataType.simpleString()}" for n in names)
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary{kinds}"

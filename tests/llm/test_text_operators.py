@@ -324,6 +324,26 @@ def test_byte_passages(docs, texts, odd, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def around_a_line(number):
+    """Texts with one line in surroundings of their own, and some with surroundings that are there twice."""
+    rng = random.Random(3)
+    line = "all of these words stand in very many texts and their neighbours differ "
+    sides = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(2 * number)]
+    texts = [f"{sides[2 * i]} {line * (1 + i % 2)}{sides[2 * i + 1]}" for i in range(number)]
+    twice = [f"z{i} {texts[i]} {line}" for i in range(0, number, 5)]
+    return list(enumerate([*texts, *twice, line * 30, line * 40]))
+
+
+@pytest.mark.parametrize("hot", [0, 5])
+def test_byte_passages_of_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 5000)
+    given = around_a_line(60)
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    found = suffixes.remove_repeats(table, hot=hot).select("n_bytes", "n_removed", "n_spans", "kept")
+    wanted = list(bytes_removed([t.encode() for _, t in given], 200))
+    assert sum(w[1] > 0 for w in wanted) > 20 and sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 # Personal data
 
 
