@@ -6,6 +6,8 @@ automaton of the passages in order of keys; a document's passage is streamed thr
 reference itself, and where the matching statistic reaches the width, the window is one of an earlier document. Passages
 equal to one of a smaller key need no streaming. A shard's automaton goes to the one task that streams the shard's
 passages, instead of to all tasks: a broadcast of all shards to all documents would grow with the square of the corpus.
+Windows whose anchor has more than ``HOT`` passages are compared by 128-bit hashes in the shards of those hashes, once
+per chunk with the least key there, so that no automaton has to hold all surroundings of a frequent phrase.
 
 Windows are judged on the input. Null, empty and short texts lose nothing. A null key counts as greater than all
 others; rows with equal keys do not remove each other's words. Words are compared by 64-bit hashes.
@@ -20,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.llm.chunked import chunk_of, chunked, ordered, table
-from scriptline.llm.repeats import Windows, covering, repeated_anchors, repeating, shard, windows
+from scriptline.llm.chunked import CHUNK_BYTES, chunk_of, chunked, ordered, table
+from scriptline.llm.repeats import Windows, alike, covering, repeated_anchors, repeating, shard, window_ids, windows
 from scriptline.llm.text import gather, mix, powers, ramp, release, word_hashes
 
 WIDTH, GRAM = 50, 4
 LAST = (1 << 63) - 1
+#: Passages of one anchor that one automaton takes: some 50,000 words.
+HOT = 512
 
-_PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("done", pa.binary())])
-_MARKS = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
+_PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("hot", pa.binary()), ("done", pa.binary())])
+_MARKS = pa.schema([("chunk", pa.int32()), ("windows", pa.binary()), ("everywhere", pa.binary())])
 
 
 class SuffixAutomaton:
@@ -122,9 +126,9 @@ def match(keys: np.ndarray, sequences: list[list[int]], width: int) -> list[np.n
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, n_words, n_removed, kept): ``kept`` is the words that stay, joined by one space."""
-    chunks, number = chunked(docs.withColumn(key, F.col(key).cast("long")), key, text)
+    chunks, number = chunked(docs.withColumn(key, F.col(key).cast("long")), key, text, size=CHUNK_BYTES)
 
     def read(rows: pa.Table) -> Windows:
         return windows(*word_hashes(rows.column("text")), width, gram)
@@ -133,16 +137,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         chunk, rows = chunk_of(rows), ordered(rows)
         symbols, offsets = word_hashes(rows.column("text"))
         found = windows(symbols, offsets, width, gram)
-        chosen, _ = repeating(found, told, number)
+        chosen, many = repeating(found, told, number)
         first, count = found.first[chosen], found.count[chosen]
-        keys = order_keys(rows.column("key"))[found.texts()[chosen]]
+        own_keys = order_keys(rows.column("key"))[found.texts()]
+        keys = own_keys[chosen]
         known, _ = earlier(keys, contents(symbols, first, count + width - 1))
-        out = [(chunk % number, chunk, b"", b"", np.stack([first[known], count[known]], axis=1).tobytes())]
+        out = [(chunk % number, chunk, b"", b"", b"", np.stack([first[known], count[known]], axis=1).tobytes())]
         first, count, keys, target = first[~known], count[~known], keys[~known], shard(found.anchor[chosen][~known], number)
         for part in np.split(np.argsort(target, kind="stable"), np.flatnonzero(np.diff(np.sort(target))) + 1):
             if len(part):
                 places = np.stack([keys[part], first[part], count[part]], axis=1)
-                out.append((int(target[part[0]]), chunk, places.tobytes(), gather(symbols, first[part], count[part] + width - 1).tobytes(), b""))
+                out.append((int(target[part[0]]), chunk, places.tobytes(), gather(symbols, first[part], count[part] + width - 1).tobytes(), b"", b""))
+        if len(many):
+            at = np.repeat(found.first[many], found.count[many]) + ramp(found.count[many])
+            keys = np.repeat(own_keys[many], found.count[many])
+            a, b = (x[at] for x in window_ids(symbols, width))
+            which, one = alike(a, b)
+            least = np.full(len(one), LAST)
+            np.minimum.at(least, which, keys)
+            here = at[keys > least[which]]
+            out.append((chunk % number, chunk, b"", b"", b"", np.stack([here, np.ones_like(here)], axis=1).tobytes()))
+            target = shard(a[one], number)
+            sent = np.stack([a[one].view(np.int64), b[one].view(np.int64), least, at[one]], axis=1)
+            for part in np.split(np.argsort(target, kind="stable"), np.flatnonzero(np.diff(np.sort(target))) + 1):
+                out.append((int(target[part[0]]), chunk, b"", b"", sent[part].tobytes(), b""))
         return table(_PASSAGES, out)
 
     def stream(rows: pa.Table) -> pa.Table:
@@ -172,13 +190,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         joined: dict[int, list[bytes]] = {}
         for c, raw in marks:
             joined.setdefault(c, []).append(raw)
-        return table(_MARKS, [(c, b"".join(raw)) for c, raw in joined.items()])
+        out = [(c, b"".join(raw), b"") for c, raw in joined.items()]
+        asked = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in rows.column("hot").to_pylist()]
+        a, b, keys, at = np.concatenate(asked).T
+        if len(a):
+            which, one = alike(a, b)
+            least = np.full(len(one), LAST)
+            np.minimum.at(least, which, keys)
+            more = keys > least[which]
+            asker, at = np.repeat(chunk_ids, [len(p) for p in asked])[more], at[more]
+            out += [(int(c), b"", at[asker == c].tobytes()) for c in np.unique(asker)]
+        return table(_MARKS, out)
+
+    def everywhere(texts: pa.ChunkedArray, told: np.ndarray) -> np.ndarray:
+        """All windows of the chunk that are equal to one of those told."""
+        symbols, offsets = word_hashes(texts)
+        a, b = window_ids(symbols, width)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        at = np.flatnonzero(text[: len(a)] == text[width - 1 :])
+        which, _ = alike(*(np.concatenate([x[told], x[at]]) for x in (a, b)))
+        return at[np.isin(which[len(told) :], which[: len(told)])]
 
     def remove(rows: pa.Table, marks: pa.Table) -> pa.Table:
         rows = ordered(rows)
         words = [t.encode().split() for t in rows.column("text").to_pylist()]
         offsets = np.cumsum([0, *map(len, words)])
         spans = np.frombuffer(b"".join(marks.column("windows").to_pylist()), np.int64).reshape(-1, 2)
+        told = np.frombuffer(b"".join(marks.column("everywhere").to_pylist()), np.int64)
+        if len(told):
+            at = everywhere(rows.column("text"), told)
+            spans = np.concatenate([spans, np.stack([at, np.ones_like(at)], axis=1)])
         covered = covering(int(offsets[-1]), spans[:, 0], spans[:, 1] + width - 1)
         removed = [int(covered[a:b].sum()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         kept = [
@@ -187,8 +228,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         ]
         return pa.table([rows.column("key"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
-    told = repeated_anchors(chunks, number, read, per_text=True, most=1 << 62)
-    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, done binary")
-    marks = found.groupBy("shard").applyInArrow(stream, "chunk int, windows binary")
+    told = repeated_anchors(chunks, number, read, per_text=True, most=hot)
+    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, hot binary, done binary")
+    marks = found.groupBy("shard").applyInArrow(stream, "chunk int, windows binary, everywhere binary")
     out = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, "key long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("key", key)

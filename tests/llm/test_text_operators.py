@@ -344,6 +344,18 @@ def test_byte_passages_of_hot_anchors(spark, monkeypatch, hot):
     assert sum(w[1] > 0 for w in wanted) > 20 and sorted(map(tuple, found.collect())) == sorted(wanted)
 
 
+@pytest.mark.parametrize("hot", [0, 5])
+def test_word_passages_of_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(automata, "CHUNK_BYTES", 5000)
+    given = [(i - 30 if i % 7 else 3, t) for i, t in around_a_line(60)]
+    given = list({i: t for i, t in given}.items())
+    table = spark.createDataFrame([*given, (None, given[4][1])], "doc_id long, text string")
+    found = rows(automata.remove_repeats(table, hot=hot))
+    wanted = list(earlier_removed(dict(given), 50))
+    last = len(words_of(given[4][1]))
+    assert sum(w[2] > 0 for w in wanted) > 5 and found == sorted([*wanted, (None, last, last, "")], key=repr)
+
+
 # Personal data
 
 
