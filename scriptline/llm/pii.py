@@ -76,7 +76,8 @@ _SPELLED_RUN = re.compile(rf"\b(?:plus[ \t-]+)?(?:{_WORD})(?:[ \t,.-]+(?:{_WORD}
 _RUN_PART = re.compile(rf"plus[ \t-]+|{_DOT}|{_WORD}|[0-9]+|[ \t,.-]+", re.I)
 _PROSE_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_AT})[ \t]+(?=[A-Za-z0-9-]{{1,63}}[ \t]+(?:{_DOT})[ \t]+[A-Za-z0-9])", re.I)
 _PROSE_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_DOT})[ \t]+(?=[A-Za-z0-9])", re.I)
-_TRIGGERS = tuple(SPELLED["en"] + SPELLED["de"] + SPELLED["fr"] + SPELLED["es"])
+#: What matters of these without an @: dots between digits.
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT})[ \t]+(?=[0-9])", re.I)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -172,10 +173,10 @@ def _run(m: re.Match) -> tuple[int, int, list[tuple[int, int, str]]]:
 
 def rewrite(text: str) -> Rewritten | None:
     """The text without disguises, None if it holds nothing that looks like one."""
-    lower = text.lower()
+    lower = text.lower().replace("i\u0307", "i").replace("ſ", "s")  # as patterns without case do
     odd = not text.isascii() and not _ODD.isdisjoint(text)
     brackets = any(c in text for c in "[({<") and _BRACKETS.search(text)
-    spelled = sum(map(lower.count, _TRIGGERS)) >= 3
+    spelled = any(w in lower for w in DIGIT_WORDS)
     dotted = any(w in lower for w in _DOT.split("|"))
     if not (odd or brackets or spelled or dotted):
         return None
@@ -187,8 +188,8 @@ def rewrite(text: str) -> Rewritten | None:
         now = now.replace([_run(m) for m in _SPELLED_RUN.finditer(now.text)])
     if dotted or odd:
         now = now.replace([(*m.span(), [(*m.span(), "@")]) for m in _PROSE_AT.finditer(now.text)])
-        if "@" in now.text:
-            now = now.replace([(*m.span(), [(*m.span(), ".")]) for m in _PROSE_DOT.finditer(now.text)])
+        dots = _PROSE_DOT if "@" in now.text else _DIGIT_DOT
+        now = now.replace([(*m.span(), [(*m.span(), ".")]) for m in dots.finditer(now.text)])
     return now if now.changed.any() or len(now.text) != len(text) else None
 
 

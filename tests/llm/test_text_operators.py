@@ -399,6 +399,20 @@ def test_disguised_identifiers(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize("rest", ["", " or a@b.org", " someone on the phone", " or a@b.org, someone on the phone"])
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("server 192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
+        ("call +44 20 7946 oh one two 3456", "phone", "+44 20 7946 oh one two 3456"),
+        ("call +44 20 7946 012 oh SIX", "phone", "+44 20 7946 012 oh SIX"),
+    ],
+)
+def test_other_content_does_not_decide(text, kind, span, rest):
+    text = f"{text};{rest}"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [(kind, span)]
+
+
 def test_prose_is_left_alone(texts):
     for text in ["meet me at home. dot", "look at one two three", "un deux", *texts.values()]:
         assert pii.find(text)[1] == []
