@@ -1,4 +1,4 @@
-"""One query per operator, each over the whole ``documents`` table, and the SQL for those that SQL can express."""
+"""One query per operator, each over its whole table, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptline.llm import automata, bpe, fingerprints, langid, lm, near, packing, pii, quality, suffixes
+from scriptline.llm import automata, bpe, fingerprints, langid, lm, near, packing, pii, quality, sharding, suffixes, trie, whitening
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -73,10 +73,64 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(documents(spark, sf_dir))
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, keys, sizes): the first h turns of conversation c - c % 5, then c's own from its turn h on."""
+    own = trie.paths(conversations).withColumn("base", F.col("conv_id") - F.col("conv_id") % 5)
+    head = own.select(F.col("conv_id").alias("base"), F.slice("keys", 1, 8).alias("head_keys"), F.slice("sizes", 1, 8).alias("head_sizes"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+
+    def joined(head: str, column: str) -> F.Column:
+        before = F.when(F.col(head).isNull(), F.slice(column, 1, 0)).otherwise(F.slice(head, F.lit(1), h))
+        return F.concat(before, F.slice(F.col(column), h + 1, F.greatest(F.size(column), F.lit(1)))).alias(column)
+
+    return own.join(head, "base", "left").select("conv_id", joined("head_keys", "keys"), joined("head_sizes", "sizes"))
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    model = whitening.fit_quantised(rows, k=8)
+    white = whitening.whiten(rows, model, "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+    return white.select("vec_id", "component", F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", "explained", F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(documents(spark, sf_dir), sharding.cluster(regions=4, racks=2, shards=2))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 _WORDS = """words AS (
     SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
     FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents))"""
 
+#: The table of CRC-32 for one byte.
+_CRC32 = """crc_table AS MATERIALIZED (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b))"""
+
+
+def _crc32(value: str) -> str:
+    """Unsigned CRC-32 of a string's bytes in UTF-8; ``t`` is the table."""
+    numbers = f"list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({numbers}, lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), 4294967295), 4294967295)"
+
+
+def _descent(regions: int, racks: int, shards: int) -> str:
+    """CTEs ``edges`` and ``level0`` to ``level3``: the rows of ``sized`` go down two trees, the second with one more shard."""
+    tree = sharding.cluster(regions, racks, shards)
+    levels = [(g, level) for g, t in enumerate((tree, sharding.with_shard(tree))) for level in sharding.levels(t)]
+    edges = ", ".join(f"({g}, '{above}', '{c.name}', {float(c.weight)}::DOUBLE)" for g, level in levels for above, children in level.items() for c in children)
+    hashed = "('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, e.name)), 1, 13))::BIGINT::DOUBLE"
+    down = [
+        f"level{i + 1} AS (SELECT r, doc_id, l.grown, arg_min(e.name, -ln(({hashed} + 0.5::DOUBLE) / 4503599627370496) / e.weight) AS place "
+        f"FROM level{i} l JOIN edges e ON e.grown = l.grown AND e.above = l.place GROUP BY r, doc_id, l.grown)"
+        for i in range(3)
+    ]
+    return f"edges(grown, above, name, weight) AS (VALUES {edges}),\n    level0 AS (SELECT r, doc_id, grown, 'all' AS place FROM sized, (VALUES (0), (1)) g(grown)),\n    " + ",\n    ".join(down)
+
+
 ORACLE = {
     "op4_lm_scores": f"""WITH {_WORDS},
     seq AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words),
@@ -115,6 +169,38 @@ ORACLE = {
     reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
     classes AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id)
     SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FROM classes""",
+    "op11_conversation_trie": f"""WITH {_CRC32},
+    own AS (
+        SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    cut AS (SELECT own.*, {_crc32('conv_id::VARCHAR')} % 9 AS h FROM own, crc_table),
+    built AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns[:c.h], []), c.turns[c.h + 1:]) AS turns
+        FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    prefixes AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM built),
+    steps AS (SELECT conv_id, depth, md5(turns[:depth]::VARCHAR || depth) AS node, md5(turns[:depth - 1]::VARCHAR || (depth - 1)) AS above,
+        octet_length(encode(turns[depth].t)) AS size, depth = len(turns) AS is_end FROM prefixes),
+    nodes AS (
+        SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, coalesce(any_value(size), 0) AS size,
+            sha256(coalesce(string_agg(CASE WHEN is_end THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+        FROM steps GROUP BY node, depth),
+    children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+    below AS (SELECT DISTINCT a.node, b.node AS other FROM steps a JOIN steps b ON b.conv_id = a.conv_id AND b.depth >= a.depth),
+    sums AS (
+        SELECT b.node, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((o.n_convs - 1) * o.size)::BIGINT AS saved_tokens
+        FROM below b JOIN nodes o ON o.node = b.other LEFT JOIN children k ON k.node = b.other GROUP BY b.node)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children k ON k.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above""",
+    "op13_sharding": f"""WITH {_CRC32},
+    sized AS (
+        SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32
+        FROM documents, crc_table),
+    {_descent(4, 2, 2)},
+    ended AS (
+        SELECT r, max(CASE WHEN grown = 0 THEN place[7:]::INTEGER END) AS shard, max(CASE WHEN grown = 1 THEN place[7:]::INTEGER END) AS grown_shard
+        FROM level3 GROUP BY r)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+    FROM sized JOIN ended USING (r)""",
 }
 
 QUERIES = {
@@ -130,5 +216,8 @@ QUERIES = {
         op8_quality_rules,
         op9_bpe,
         op10_near_duplicates,
+        op11_conversation_trie,
+        op12_embedding_whitening,
+        op13_sharding,
     )
 }
