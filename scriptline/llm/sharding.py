@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators.ids import dense_ids
@@ -119,8 +119,7 @@ def assign(docs: DataFrame, tree: Node, key: str = "doc_id", text: str = "text")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sharded")
     ranked = dense_ids(rows, [F.col(c) for c in ("shard", "key", "size", "text_crc32", "row")], "place")
     # One row per shard: the tree, which is a literal of the plan, bounds it.
-    first = rows.groupBy("shard").count()
-    ahead = first.select(F.col("shard").alias("other"), "count")
-    begin = first.select("shard").join(F.broadcast(ahead), F.col("other") < F.col("shard"), "left").groupBy("shard").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("begin"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    begin = rows.groupBy("shard").count().select("shard", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("begin"))
     placed = ranked.join(F.broadcast(begin), "shard").withColumn("slot", F.col("place") - F.col("begin"))
     return placed.select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot", "grown_shard")
