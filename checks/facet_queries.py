@@ -107,6 +107,17 @@ def lookup(s):
     )
 
 
+_INDEXES = {}
+
+
+def index(s):
+    """Built once per session, read by several filters."""
+    key = (s.spark.sparkContext.applicationId, s.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = facets.bitmap_index(s.prescribed, lookup(s))
+    return _INDEXES[key]
+
+
 @query("facet_lookup", sql("SELECT facet, value, label, sort_level FROM lookup", **LOOKUP))
 def _(s):
     return lookup(s).orderBy("facet", "sort_level", "label", "value")
@@ -127,7 +138,7 @@ def _(s):
     ),
 )
 def _(s):
-    return facets.facet_options(s.prescribed, lookup(s), PICKED, "bnf")
+    return index(s).options(PICKED, "bnf")
 
 
 @query(
@@ -140,7 +151,7 @@ def _(s):
     ),
 )
 def _(s):
-    return facets.facet_options(s.prescribed, lookup(s), LOOSE, "ingredient")
+    return index(s).options(LOOSE, "ingredient")
 
 
 @query(

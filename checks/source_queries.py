@@ -118,34 +118,47 @@ def _(s):
     return s.spark.read.parquet(f"{base}/supplier.parquet")
 
 
-def _as_array(rows, path: str) -> None:
-    """One file that holds all rows as one JSON array, spread over lines."""
-    listed = rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns))), {"pretty": "true"}).alias("value"))
-    listed.coalesce(1).write.text(path)
+# Rows in one of the files that a check builds: files grow in number with the table, and none through one task.
+FILE_ROWS = 500
+
+
+def _one_value_a_file(rows, key: str, value, path: str) -> None:
+    """One file for every ``FILE_ROWS`` rows (by a key without large gaps); ``value`` makes its text from a group of rows."""
+    grouped = rows.groupBy(F.floor(F.col(key) / FILE_ROWS).alias("bucket")).agg(value.alias("value"))
+    grouped.write.partitionBy("bucket").text(path)
+
+
+def _as_arrays(rows, key: str, path: str) -> None:
+    """Files that hold their rows as one JSON array each, spread over lines."""
+    listed = F.to_json(F.sort_array(F.collect_list(F.struct(*(c for c in rows.columns if c != "_key")))), {"pretty": "true"})
+    _one_value_a_file(rows, key, listed, path)
 
 
 @query(
     "json_array_archive",
-    sql("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"),
+    sql("""SELECT s_suppkey, s_name || ' {"[' AS s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"""),
 )
 def _(s):
     base = new_path(s.spark, "json_array")
-    _as_array(s.table("supplier"), f"{base}/supplier.json")
-    archive.json_archive(s.spark, f"{base}/supplier.json", f"{base}/supplier.parquet")
+    _as_arrays(s.table("supplier").withColumn("s_name", F.concat("s_name", F.lit(' {"['))), "s_suppkey", f"{base}/supplier.json")
+    archive.json_archive(s.spark, f"{base}/supplier.json/*", f"{base}/supplier.parquet")
     return s.spark.read.parquet(f"{base}/supplier.parquet")
 
 
 @query(
     "csv_preamble_archive",
-    sql("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier"),
+    sql("""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || chr(10) || 'called "' || p_brand || '", or so' AS p_name,
+                  p_brand || ' 5" wide' AS p_brand FROM part"""),
 )
 def _(s):
     base = new_path(s.spark, "csv_preamble")
-    rows = s.table("supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.format_string("%d,\"%s\",%d", "s_suppkey", "s_name", "s_nationkey").alias("line"))
-    lines = F.concat_ws("\n", F.lit("A title, with a comma"), F.lit("Published monthly"), F.lit("s_suppkey,s_name,s_nationkey"), F.array_sort(F.collect_list("line")))
-    rows.agg(lines.alias("value")).coalesce(1).write.text(f"{base}/supplier.csv")
-    archive.csv_archive(s.spark, f"{base}/supplier.csv", f"{base}/supplier.parquet", skip=2)
-    return s.spark.read.parquet(f"{base}/supplier.parquet")
+    name = F.concat("p_name", F.lit('\ncalled ""'), "p_brand", F.lit('"", or so'))
+    rows = s.table("part").withColumn("line", F.concat("p_partkey", F.lit(',"'), name, F.lit('",'), "p_brand", F.lit(' 5" wide')))
+    # A preamble of two lines, one of them with a quote that nothing closes.
+    head = F.array(*(F.lit(x) for x in ("A title, with a comma", 'Published "monthly', "p_partkey,p_name,p_brand")))
+    _one_value_a_file(rows, "p_partkey", F.array_join(F.concat(head, F.collect_list("line")), "\n"), f"{base}/part.csv")
+    archive.csv_archive(s.spark, f"{base}/part.csv/*", f"{base}/part.parquet", skip=2, multi_line=True)
+    return s.spark.read.parquet(f"{base}/part.parquet")
 
 
 @query(
@@ -167,42 +180,39 @@ def _(s):
     return found.select("vpid", "vpidprev", "vtmid", "invalid", "nm")
 
 
-def _every_group(file_id: str) -> dict[str, tuple[str, ...]]:
-    if file_id == "lookup":
-        return {f"lookup_{g.lower()}": tuple(dmd.lookup_fields(g)) for g in dmd.LOOKUP_GROUPS}
-    return {f"{file_id}_{tag.lower()}": fields for tag, fields in dmd.ENTITIES[file_id].items()}
-
-
+FILES = ("ampp", "amp", "ingredient", "vmpp", "vmp", "vtm", "lookup")
 # Every field of a group holds its name, the group's number and a key; it is missing in every third row.
-_GROUPS = [(i, table, f) for i, (table, fields) in enumerate(g for x in ("vmp", "amp", "lookup") for g in _every_group(x).items()) for f in fields]
-_FILLED = ", ".join(f"({i}, '{table}', '{f.lower()}')" for i, table, f in _GROUPS)
+_GROUPS = [(i, x, g, f) for i, (x, g, fields) in enumerate((x, g, fields) for x in FILES for g, fields in dmd.table_fields(x).items()) for f in fields]
+_FILLED = ", ".join(f"({i}, '{x}_{g.lower()}', '{f.lower()}')" for i, x, g, f in _GROUPS)
 
 
 @query(
     "xml_all_groups",
-    sql(f"""SELECT g.name AS table_name, g.field, f.field || ' ' || CAST(g.i AS VARCHAR) || ' ' || CAST(n_nationkey AS VARCHAR) AS value
-            FROM (VALUES {_FILLED}) g(i, name, field) JOIN (SELECT DISTINCT field FROM (VALUES {_FILLED}) h(i, name, field)) f ON f.field = g.field
-            CROSS JOIN nation WHERE (g.i + n_nationkey) % 3 <> 0"""),
+    sql(f"""SELECT name AS table_name, field, count(*) AS n, min(value) AS first_value, max(value) AS last_value, CAST(sum(length(value)) AS BIGINT) AS chars
+            FROM (SELECT g.name, g.field, g.field || ' & ' || CAST(g.i AS VARCHAR) || ' ' || CAST(p_partkey AS VARCHAR) AS value
+                  FROM (VALUES {_FILLED}) g(i, name, field) CROSS JOIN part WHERE (g.i + p_partkey) % 3 <> 0) GROUP BY 1, 2"""),
 )
 def _(s):
-    base, keys = new_path(s.spark, "xml"), s.table("nation").select("n_nationkey")
-    found = []
-    for file_id in ("vmp", "amp", "lookup"):
-        groups = _every_group(file_id)
-        for name, fields in groups.items():
-            i = next(n for n, table, _ in _GROUPS if table == name)
-            tag = name.removeprefix(f"{file_id}_").upper()
-            filled = (F.col("n_nationkey") + i) % 3 != 0
-            cells = [F.when(filled, F.concat(F.lit(f" {f.lower()} {i} "), F.col("n_nationkey"), F.lit("  "))).alias(f) for f in fields]
-            rows = keys.select(*cells)
-            if file_id == "lookup":
-                rows = rows.agg(F.collect_list(F.struct(*fields)).alias("INFO"))
-            path = f"{base}/{file_id}/{tag}"
-            rows.coalesce(1).write.format("xml").option("rootTag", f"{tag}S").option("rowTag", tag).save(path)
-            table = dmd.xml_lookup(s.spark, path, tag) if file_id == "lookup" else dmd.xml_entity(s.spark, path, file_id, tag)
-            one = F.explode(F.array(*(F.struct(F.lit(f.lower()).alias("field"), F.col(f"`{f.lower()}`").alias("value")) for f in fields))).alias("x")
-            found.append(table.select(F.lit(name).alias("table_name"), one).select("table_name", "x.field", "x.value"))
-    return reduce(lambda a, b: a.unionByName(b), found).where("value IS NOT NULL")
+    """All groups of all seven files, each with an item per part."""
+    base, key = new_path(s.spark, "xml"), F.col("p_partkey")
+    counts = []
+    for file_id in FILES:
+        items = []
+        for group, fields in dmd.table_fields(file_id).items():
+            i = next(n for n, x, g, _ in _GROUPS if (x, g) == (file_id, group))
+            cells = [F.when((key + i) % 3 != 0, F.concat(F.lit(f"<{f}> {f.lower()} &amp; {i} "), key, F.lit(f"\n </{f}>"))).otherwise(F.lit(f"<{f}/>" if i % 2 else "")) for f in fields]
+            item = "INFO" if file_id == "lookup" else group
+            wrapped = [F.lit(f"<{item}>"), *cells, F.lit(f"</{item}>")]
+            items.append(F.concat(F.lit(f"<{group}>"), *wrapped, F.lit(f"</{group}>")) if file_id == "lookup" else F.concat(*wrapped))
+        rows = s.table("part").select(F.explode(F.array(*items)).alias("value"))
+        rows.write.text(f"{base}/{file_id}")
+        tables = dmd.xml_entities(s.spark, {file_id: f"{base}/{file_id}"})
+        for name, table in tables.items():
+            one = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value")) for f in table.columns))).alias("x")
+            long = table.select(one).select("x.field", "x.value").where("value IS NOT NULL")
+            sums = long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"), F.max("value").alias("last_value"), F.sum(F.length("value")).cast("bigint").alias("chars"))
+            counts.append(sums.select(F.lit(name).alias("table_name"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query(
@@ -245,11 +255,14 @@ def _(s):
            FROM m_tariff_raw WHERE price IS NOT NULL AND price <> ''"""),
 )
 def _(s):
-    base = new_path(s.spark, "concessions.json")
+    base = new_path(s.spark, "concessions")
     fields = F.struct("date", F.col("vmpp").cast("bigint").alias("vmpp"), F.col("Medicine").alias("drug"), F.col("price").cast("int").alias("price_pence"))
     rows = s.table("tariff_raw").where("price IS NOT NULL AND price <> ''")
-    _as_array(rows.select(F.lit("concession").alias("model"), F.col("vmpp").alias("pk"), fields.alias("fields")), base)
-    return text(catalogues.load_ncso_concessions(s.spark.read.option("multiLine", True).json(base)), "date")
+    key = F.pmod(F.xxhash64("vmpp", "date"), F.lit(1 << 40)).alias("_key")
+    rows = rows.select(F.lit("concession").alias("model"), F.col("vmpp").alias("pk"), fields.alias("fields"), key)
+    number = max(1, rows.count() // FILE_ROWS)
+    _as_arrays(rows.withColumn("_key", F.col("_key") % number * FILE_ROWS), "_key", base)
+    return text(catalogues.load_ncso_concessions(s.spark.read.option("multiLine", True).json(f"{base}/*")), "date")
 
 
 @query(

@@ -22,16 +22,28 @@ PART_WIDTHS = (
     ("strength_and_formulation", 2),
     ("generic_equivalent", 2),
 )
+_BEHIND_SUBPARAGRAPH = [name for name, _ in PART_WIDTHS[4:]]
 GENERIC_PRODUCT = "AA"
 GENERIC_NAME_PREFIX = "Generic "
 
 
 def parts(code: Column) -> Column:
-    """Struct of the eight parts of a code; parts the code does not reach are NULL."""
-    found, end = [], 0
+    """Struct of the eight parts of a code; parts the code does not reach are NULL.
+
+    Only the subparagraph has one character, so a code has it when its length is odd; the other parts follow in order.
+    A text that is no code (under 2 or over 15 characters) has no parts.
+    """
+    length = F.length(code)
+    odd = length % 2
+    found, pairs = [], 0
     for name, width in PART_WIDTHS:
-        found.append(F.when(F.length(code) >= end + width, F.substring(code, end + 1, width)).alias(name))
-        end += width
+        if width == 1:
+            there, start = odd == 1, F.least(F.lit(2 * pairs), length - 1)
+        else:
+            behind = odd if name in _BEHIND_SUBPARAGRAPH else F.lit(0)
+            there, start = length - odd >= 2 * (pairs + 1), behind + 2 * pairs
+            pairs += 1
+        found.append(F.when(there & length.between(2, 15), F.substring(code, start + 1, F.lit(width))).alias(name))
     return F.struct(*found)
 
 

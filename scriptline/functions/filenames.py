@@ -34,3 +34,9 @@ def path_name(path: Column) -> Column:
 def path_date(path: Column) -> Column:
     """Date in the file's own name; dates in folders above it don't count, and a name without one fails."""
     return name_date(path_name(path))
+
+
+def path_place(path: Column) -> Column:
+    """Where the downloaded file is: its path, or that of the folder of the parts that Spark wrote."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.when(last.startswith("part-"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(path)

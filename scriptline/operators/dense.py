@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptline.session import checked_broadcast
+
 CENTILES = (10, 20, 30, 40, 50, 60, 70, 80, 90)
 
-# Equal parts of the span from a group's least to its greatest value whose ranks are counted apart.
-CENTILE_PARTS = 1024
+# Accuracy of the sketch of a group's values: it knows ranks to one in so many rows.
+SKETCH_ACCURACY = 10_000
+
+# (least rows, half the width of a bracket around a centile as a share of the rows). A bracket spans at least six ranks
+# to each side, and at least six times the sketch's error; groups with fewer rows are one bracket.
+BRACKETS = ((10_000, 6e-4), (1_000, 6e-3), (100, 6e-2))
 
 
 def recent_dates(dates: DataFrame, date_count: int | None = None) -> DataFrame:
@@ -49,11 +55,35 @@ def accumulator_type(df: DataFrame, value: str) -> T.DataType:
     raise TypeError(f"cannot sum {value}: {found.simpleString()}")
 
 
+# Sums of doubles are made of three integers each: multiples of 2**12, of 2**-14, and of 2**-40 in what is left. The last
+# two have 26 bits, so a long holds the sum of 10**11 of them.
+_COARSE, _FINE, _FINEST = 2.0**12, 2.0**-14, 2.0**-40
+
+
+def exact_sum(value: Column, kind: T.DataType) -> Column:
+    """Sum of a column in its accumulator type (see ``accumulator_type``), whatever the order of the rows.
+
+    A double's parts are taken without error, and integers are added up, so the result depends on the values alone:
+    it has the same bits for every partitioning. Bits below 2**-40 are cut off; sums beyond 2**74 overflow, which fails.
+    NaN and infinities give what they give in plain sums.
+    """
+    value = value.cast(kind)
+    if not isinstance(kind, T.DoubleType):
+        return F.sum(value)
+    finite = F.abs(value) < float("inf")  # not NaN, the greatest value
+    number = F.when(finite, value)
+    coarse = F.floor(number / _COARSE)
+    rest = number - coarse.cast("double") * _COARSE
+    fine = F.floor(rest / _FINE)
+    finest = F.floor((rest - fine.cast("double") * _FINE) / _FINEST)
+    parts = ((coarse, _COARSE), (fine, _FINE), (finest, _FINEST))
+    total = sum((F.sum(part).cast("double") * unit for part, unit in reversed(parts[:-1])), F.sum(finest).cast("double") * _FINEST)
+    return F.coalesce(F.sum(F.when(~finite, value)), total)
+
+
 def grouped_sum(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Sum of each value per key (partial sums before the shuffle, so a hot key is no hot task)."""
-    return df.groupBy(*keys).agg(
-        *(F.sum(F.col(v).cast(accumulator_type(df, v))).alias(v) for v in values)
-    )
+    return df.groupBy(*keys).agg(*(exact_sum(F.col(v), accumulator_type(df, v)).alias(v) for v in values))
 
 
 def filled_sum(cells: DataFrame, facts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -64,7 +94,7 @@ def filled_sum(cells: DataFrame, facts: DataFrame, keys: list[str], values: list
     return (
         grid.unionByName(rows)
         .groupBy(*keys)
-        .agg(*(F.coalesce(F.sum(v), F.lit(0).cast(types[v])).alias(v) for v in values), F.max("_cell").alias("_cell"))
+        .agg(*(F.coalesce(exact_sum(F.col(v), types[v]), F.lit(0).cast(types[v])).alias(v) for v in values), F.max("_cell").alias("_cell"))
         .where("_cell")
         .drop("_cell")
     )
@@ -125,35 +155,56 @@ def drop_zero_rows(matrix: DataFrame, row: str) -> DataFrame:
     return matrix.join(kept, row, "left_semi")
 
 
-def centiles(matrix: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
+def centiles(matrix: DataFrame, by: tuple[str, ...] = ("date",), groups: int | None = None) -> DataFrame:
     """(centile, *by, value): p10 .. p90 per month, linear interpolation, missing values ignored.
 
-    Exact at any size: values are counted first, so ties are one row. The span of a group's values is cut into parts
-    whose running counts are taken apart, and offsets by part make them ranks; each distinct value then knows which
-    of the wanted places fall on it.
+    Exact at any size, by refinement: one pass makes a mergeable sketch of each group's ranks, which gives two values
+    around each centile. Values below a bracket are only counted, those above left out; of each group some
+    thousandths of the rows are inside a bracket and sorted, equal ones as one. Brackets go by rank, so an outlier
+    changes none. ``groups`` is an upper bound of the number of groups where it is known: brackets are broadcast then.
     """
     by = list(by)
-    cells = matrix.select(*by, F.col("value").cast("double").alias("value"))
-    distinct = cells.groupBy(*by, "value").agg(F.count("value").alias("_n"))
-    span = [F.sum("_n").alias("_rows"), F.min("value").alias("_low"), F.max("value").alias("_high")]
-    groups = distinct.groupBy(*by).agg(*span)
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
-    placed = distinct.where(F.col("value").isNotNull()).join(groups, by).withColumn("_part", F.floor(width * CENTILE_PARTS))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
-    offsets = offsets.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_until", F.sum("_n").over(within)).join(offsets, [*by, "_part"])
-    end = F.col("_offset") + F.col("_until")
-    wanted = []
-    for c in CENTILES:
-        at = (F.col("_rows") - 1) * F.lit(c) / F.lit(100.0)
-        wanted += [F.struct(F.lit(c).alias("centile"), at.alias("at"), place.alias("place")) for place in (F.floor(at), F.floor(at) + 1)]
-    hits = F.filter(F.array(*wanted), lambda w: (w["place"] < end) & (w["place"] >= end - F.col("_n")) & (F.abs(w["at"] - w["place"]) < 1))
-    found = (
-        ranked.select(*by, "value", F.explode(hits).alias("w"))
-        .groupBy(*by, F.col("w.centile").alias("centile"))
-        .agg(F.sum(F.col("value") * (1 - F.abs(F.col("w.at") - F.col("w.place")))).alias("value"))
+    counted = bracketed(matrix.select(*by, F.col("value").cast("double").alias("value")), by, groups)
+    until = Window.partitionBy(*by, "centile").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col("_rows") - 1) * F.col("centile") / F.lit(100.0)
+    ranked = counted.withColumn("_end", F.sum("_n").over(until)).withColumn("_at", at)
+    # The two places next to a centile's are weighted by their distance from it.
+    weights = [F.when((place < F.col("_end")) & (place >= F.col("_end") - F.col("_n")), 1 - F.abs(F.col("_at") - place)).otherwise(0.0) for place in (F.floor("_at"), F.floor("_at") + 1)]
+    weighted = ranked.withColumn("_weight", F.when(F.col("_value").isNotNull(), weights[0] + weights[1]).otherwise(0.0))
+    total = F.sum(F.when(F.col("_weight") > 0, F.col("_value") * F.col("_weight")))
+    missed = F.raise_error(F.lit("a centile is outside its bracket")).cast("double")
+    found = F.when(F.max("_rows") == 0, None).when(F.abs(F.sum("_weight") - 1) < 1e-6, total).otherwise(missed)
+    return weighted.groupBy("centile", *by).agg(found.alias("value")).select("centile", *by, "value")
+
+
+def bracketed(cells: DataFrame, by: list[str], groups: int | None = None) -> DataFrame:
+    """(*by, centile, _value, _n, _rows): the distinct values inside each centile's bracket, and one row (missing value)
+    for all below it. _n is how often they occur, _rows the number of the group's values."""
+    points = [min(max(c / 100 + side * width, 0.0), 1.0) for c in CENTILES for _, width in BRACKETS for side in (-1, 1)]
+    sketched = cells.groupBy(*by).agg(
+        F.count("value").alias("_rows"), F.percentile_approx("value", points, SKETCH_ACCURACY).alias("_points")
+    )
+    known = sketched.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_rows", _brackets().alias("_brackets"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    placed = cells.join(checked_broadcast(known, groups), same)
+    value = F.col("value")
+    around = F.filter("_brackets", lambda b: value.isNull() | b["high"].isNull() | (value <= b["high"]))
+    inside = F.when(F.col("_b.low").isNull() | (value >= F.col("_b.low")), value)
+    return (
+        placed.select(*by, "_rows", value, F.explode(around).alias("_b"))
+        .groupBy(*by, F.col("_b.centile").alias("centile"), inside.alias("_value"))
+        .agg(F.count("value").alias("_n"), F.first("_rows").alias("_rows"))
     )
-    every = groups.select(*by, F.explode(F.array(*(F.lit(c) for c in CENTILES))).alias("centile"))
-    return every.join(found, [*by, "centile"], "left").select("centile", *by, "value")
+
+
+def _brackets() -> Column:
+    """Array of (centile, low, high); a missing border is open."""
+    out = []
+    for i, c in enumerate(CENTILES):
+        low = high = F.lit(None).cast("double")
+        for j, (least, _) in reversed(list(enumerate(BRACKETS))):
+            at = 2 * (i * len(BRACKETS) + j)
+            low = F.when(F.col("_rows") >= least, F.get("_points", F.lit(at))).otherwise(low)
+            high = F.when(F.col("_rows") >= least, F.get("_points", F.lit(at + 1))).otherwise(high)
+        out.append(F.struct(F.lit(c).alias("centile"), low.alias("low"), high.alias("high")))
+    return F.array(*out)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_flags, refuse_unknown
+from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_hits, refuse_unknown
 
 NUMERATOR, DENOMINATOR = "numerator", "denominator"
 OUTPUT_VALUES = {"items": "items", "quantity": "quantity", "cost": "actual_cost"}
@@ -72,14 +72,13 @@ def measure_sides(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"measures of one name: {', '.join(twice)}")
     sides = {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
-    flags = filter_flags({key: query for key, (_, _, query) in sides.items()}, catalogue)
-    hits = [
-        F.when(F.col(f"`{key}`"), F.struct(F.lit(name).alias("measure"), F.lit(side).alias("side")))
-        for key, (name, side, _) in sides.items()
-    ]
-    return flags.select("code", F.array_compact(F.array(*hits)).alias("sides")).where(F.size("sides") > 0)
+    hits = filter_hits({key: query for key, (_, _, query) in sides.items()}, catalogue)
+    labels = [(key, name, side) for key, (name, side, _) in sides.items()]
+    labels = catalogue.codes.sparkSession.createDataFrame(labels, "filter string, measure string, side string")
+    return hits.join(F.broadcast(labels), "filter").groupBy("code").agg(F.collect_list(F.struct("measure", "side")).alias("sides"))
 
 
 def measure_code_bridge(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
     """(measure, side, bnf_code) of all filters of all measures, from one pass over codes and medications."""
+    # No flag columns: the plan doesn't grow with the measures.
     return measure_sides(measures, catalogue).select(F.inline("sides"), F.col("code").alias("bnf_code"))

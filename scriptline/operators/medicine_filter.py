@@ -179,6 +179,78 @@ def filter_flags(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> Da
     return codes.select("code", "name", *(selected(n, q).alias(n) for n, q in queries.items()))
 
 
+def labelled_values(name: str, label: str, values: Column) -> Column:
+    """An array as one of (name, value) with the label as the first field; a missing array is empty."""
+    texts = F.coalesce(values.cast("array<string>"), F.array().cast("array<string>"))
+    return F.transform(texts, lambda v: F.struct(F.lit(label).alias(name), v.alias("value")))
+
+
+# Bits of the fields a code has to meet.
+_BITS = {"bnf_codes": 1, "form_routes": 2, "ingredient_ids": 4, "vtm_ids": 8}
+
+
+def filter_hits(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> DataFrame:
+    """(code, filter): the catalogued presentations that each of any number of filters selects.
+
+    The filters are rows, not columns: a code meets them by its prefixes, a medication by its values, all by equi-joins
+    with the small table of rules. What a code has met is a sum of bits, and an exclusion is a row, too. The plan is
+    the same for one filter and for a thousand.
+    """
+    spark = catalogue.codes.sparkSession
+    rules = [
+        (n, _BITS[field], field, str(v), name.endswith(EXCLUDED))
+        for n, q in queries.items() for name in LIST_FIELDS if (field := name.removesuffix(EXCLUDED)) in _BITS for v in getattr(q, name)
+    ]
+    halves = [
+        (n, field, str(v), name.endswith(EXCLUDED), len(set(getattr(q, f"forms{suffix}"))) + len(set(getattr(q, f"routes{suffix}"))))
+        for n, q in queries.items() for suffix in ("", EXCLUDED) for field in ("forms", "routes")
+        for name in (field + suffix,) for v in sorted(set(getattr(q, name)))
+    ]
+    needs = []
+    for n, q in queries.items():
+        has_forms = bool(q.form_routes or q.forms or q.routes)
+        need = sum(_BITS[f] for f in _BITS if (has_forms if f == "form_routes" else getattr(q, f)))
+        needs.append((n, need, q.product_type, bool(q.forms or q.routes) and not q.form_routes))
+    rule = F.broadcast(spark.createDataFrame(rules, "filter string, bit int, kind string, value string, excluded boolean"))
+    half = F.broadcast(spark.createDataFrame(halves, "filter string, kind string, value string, excluded boolean, wanted int"))
+    filters = spark.createDataFrame(needs, "filter string, need int, product_type string, by_parts boolean")
+
+    presentations = catalogue.presentations().select("code")
+    keys = presentations.select("code", F.lit("bnf_codes").alias("kind"), F.explode(F.array_distinct(bnf.match_keys(F.col("code")))).alias("value"))
+    held = F.concat(*(
+        labelled_values("kind", field, values)
+        for field, values in (("form_routes", F.col("form_routes")), ("ingredient_ids", F.col("ingredient_ids")), ("vtm_ids", F.array("vtm_id")))
+    ))
+    medication = catalogue.medications.where(F.col("bnf_code").isNotNull()).select(F.col("bnf_code").alias("code"), F.explode(held).alias("x")).select("code", "x.*")
+
+    # Form/routes that begin with every form and end with every route a filter gives: few, whatever the filters.
+    known = catalogue.form_routes.select(F.col("descr").alias("value")).distinct()
+    used = medication.where(F.col("kind") == "form_routes").select("value").distinct().unionByName(known).distinct()
+    words = F.split("value", r"\.")
+    cuts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    cut = used.select(F.col("value").alias("descr"), F.explode(F.flatten(F.transform(cuts, lambda i: F.array(
+        F.struct(F.lit("forms").alias("kind"), F.array_join(F.slice(words, F.lit(1), i), ".").alias("value")),
+        F.struct(F.lit("routes").alias("kind"), F.array_join(F.slice(words, i + 1, F.size(words)), ".").alias("value")),
+    )))).alias("x")).select("descr", "x.*").distinct()
+    fits = cut.join(half, ["kind", "value"]).groupBy("descr", "filter", "excluded").agg(F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
+    fits = fits.where(F.col("met") == F.col("wanted")).select(F.col("descr").alias("value"), "filter", "excluded")
+    by_parts = medication.where(F.col("kind") == "form_routes").join(fits, "value").select("code", "filter", F.lit(_BITS["form_routes"]).alias("bit"), "excluded")
+
+    # Forms and routes that fit no catalogued form/route leave the filter out; a filter of nothing selects every code.
+    some = fits.where(~F.col("excluded")).join(known, "value", "left_semi").select("filter").distinct().withColumn("is_known", F.lit(True))
+    need = F.col("need") - F.when(F.col("by_parts") & F.col("is_known").isNull(), _BITS["form_routes"]).otherwise(0)
+    filters = filters.join(some, "filter", "left").select("filter", need.alias("need"), "product_type")
+    every = filters.where(F.col("need") == 0).select("filter", F.lit(0).alias("bit"), F.lit("bnf_codes").alias("kind"), F.lit("").alias("value"), F.lit(False).alias("excluded"))
+
+    rule = rule.unionByName(every)
+    hits = keys.unionByName(medication).join(F.broadcast(rule), ["kind", "value"]).select("code", "filter", "bit", "excluded").unionByName(by_parts)
+    met = hits.groupBy("code", "filter").agg(F.bit_or(F.when(F.col("excluded"), 0).otherwise(F.col("bit"))).alias("met"), F.bool_or("excluded").alias("out"), F.bool_or(~F.col("excluded")).alias("there"))
+    generic = bnf.is_generic(F.col("code"))
+    of_type = (F.col("product_type") == ALL) | F.when(F.col("product_type") == GENERIC, generic).otherwise(~generic)
+    selected = met.join(F.broadcast(filters), "filter").where(F.col("there") & ~F.col("out") & (F.col("met").bitwiseAND(F.col("need")) == F.col("need")) & of_type)
+    return selected.join(presentations, "code", "left_semi").select("code", "filter")
+
+
 def matching_codes(query: MedicineFilter, catalogue: Catalogue) -> DataFrame:
     """(code): the catalogued presentations a filter selects. Sort by code where the order is shown."""
     return filter_flags({"selected": query}, catalogue).where("selected").select("code")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators.ids import dense_ids
+from scriptline.session import checked_broadcast
 
 # Practice code of unattributed prescribing, and a code above every valid medicine code.
 NO_PRACTICE = "-"
@@ -93,16 +94,23 @@ def one_row_per_key(mapping: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def prescribing_norm(source: DataFrame, dates: DataFrame, practices: DataFrame, presentation: DataFrame) -> DataFrame:
-    """The fact with surrogate keys; rows of unknown practice drop out by the inner join."""
+def prescribing_norm(
+    source: DataFrame, dates: DataFrame, practices: DataFrame, presentation: DataFrame, extra: tuple[str, ...] = (), rows: tuple[int, int, int] | None = None
+) -> DataFrame:
+    """The fact with surrogate keys; rows of unknown practice drop out by the inner join.
+
+    ``extra`` are columns of the presentation to keep. ``rows`` counts the dimensions where that is known: small ones
+    are broadcast, and the fact is not shuffled to meet them.
+    """
     by_date = dates.select(F.col("id").alias("date_id"), "date")
     by_practice = practices.select(F.col("id").alias("practice_id"), F.col("code").alias("practice_code"))
-    by_code = presentation.select(F.col("id").alias("presentation_id"), "bnf_code", "snomed_code")
+    by_code = presentation.select(F.col("id").alias("presentation_id"), "bnf_code", "snomed_code", *extra)
+    known = rows or (None, None, None)
     return (
-        source.join(by_date, "date")
-        .join(by_practice, "practice_code")
-        .join(by_code, ["bnf_code", "snomed_code"])
-        .select("presentation_id", "date_id", "practice_id", *MEASURED)
+        source.join(checked_broadcast(by_date, known[0]), "date")
+        .join(checked_broadcast(by_practice, known[1]), "practice_code")
+        .join(checked_broadcast(by_code, known[2]), ["bnf_code", "snomed_code"])
+        .select("presentation_id", "date_id", "practice_id", *MEASURED, *extra)
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptline.operators import dense, orgs
-from scriptline.operators.measures import DENOMINATOR, NUMERATOR, Measure, measure_sides
+from scriptline.operators.measures import DENOMINATOR, NUMERATOR, OUTPUT_VALUES, Measure, measure_sides
 from scriptline.operators.medicine_filter import MedicineFilter, filter_flags, list_size_items, matching_codes
 from scriptline.plans.model import Model, checked_broadcast
 
@@ -199,7 +199,7 @@ def org_series(model: Model, analysis: Analysis, date_count: int | None = DATE_C
 
 def deciles(model: Model, analysis: Analysis, date_count: int | None = DATE_COUNT) -> DataFrame:
     """(centile, month, value) over the organisations of the chosen type."""
-    return dense.records(dense.centiles(org_date_ratio(model, analysis, date_count)), "centile", "centile", "month")
+    return dense.records(dense.centiles(org_date_ratio(model, analysis, date_count), groups=date_count), "centile", "centile", "month")
 
 
 def top_medications_other(
@@ -248,25 +248,50 @@ def stack_totals(breakdown: DataFrame, largest: str = "top", other: str = "middl
     )
 
 
+def org_sums(model: Model, org_type: str, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """(bnf_code, org_id, date, *columns): sums of facts with their codes over the organisations of a type."""
+    members = checked_broadcast(dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id"), model.practice_rows)
+    return dense.grouped_sum(facts.join(members, "practice_code"), ["bnf_code", "org_id", "date"], columns)
+
+
+def write_org_sums(model: Model, path: str, org_type: str = orgs.ICB, months: list[str] | None = None) -> None:
+    """Write ``org_sums`` of every value and code, by month: all months, or those that have changed.
+
+    Only the facts of these months are read, and only their folders are replaced. A panel of any measures is then
+    made of the sums. Codes or memberships that change ask for all months.
+    """
+    facts = model.facts
+    if months is not None:
+        wanted = model.dates.where(F.col("date").cast("string").isin(months))
+        if model.clustered:
+            facts = facts.where(F.col("date_id").isin([r["id"] for r in wanted.select("id").collect()]))  # a literal: it reaches the scan
+        else:
+            facts = facts.where(F.col("date").cast("string").isin(months))
+    ids = model.presentation.select(F.col("id").alias("presentation_id"), "bnf_code")
+    coded = facts.join(checked_broadcast(ids, model.presentation_rows), "presentation_id")
+    sums = org_sums(model, org_type, coded, sorted(OUTPUT_VALUES.values()))
+    sums.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
 def measure_panel(
-    model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT
+    model: Model, measures: list[Measure], org_type: str = orgs.ICB, date_count: int | None = DATE_COUNT, sums_path: str | None = None
 ) -> DataFrame:
     """(measure, org_id, date, num, den, value): every measure for every organisation and month in one job.
 
     Values (items, or what a measure's ``output_value`` says) are summed per code, organisation and month once. Only
     these sums meet the measures of their code, so overlapping measures multiply sums and not prescribing rows.
-    Measures without a denominator use the patients of the organisation.
+    Measures without a denominator use the patients of the organisation. With ``sums_path`` the sums are those that
+    ``write_org_sums`` keeps there, and no fact is read.
     """
     columns = sorted({m.value for m in measures}) or ["items"]
     months = dense.recent_dates(model.dates, date_count)
     sides = measure_sides(measures, model.catalogue)
     members = checked_broadcast(dense.single_group(_members(model, F.lit(org_type)), "practice_code", "org_id"), model.practice_rows)
-    by_org = (
-        _of_codes(model, sides.select("code"), date_count)
-        .join(members, "practice_code")
-        .groupBy("bnf_code", "org_id", "date")
-        .agg(*(F.sum(c).alias(c) for c in columns))
-    )
+    if sums_path is None:
+        by_org = org_sums(model, org_type, _of_codes(model, sides.select("code"), date_count), columns)
+    else:
+        kept = model.catalogue.codes.sparkSession.read.parquet(sums_path).select("bnf_code", "org_id", "date", *columns)
+        by_org = kept.where(F.array_contains(dense.month_array(months), F.col("date")))
     # Each measure reads the sum of its own column; nearly all read items.
     n = F.col(columns[0])
     for c in columns[1:]:
@@ -303,7 +328,8 @@ def measure_deciles(
 ) -> DataFrame:
     """(measure, centile, date, value) of every measure over the organisations of a type."""
     panel = measure_panel(model, measures, org_type, date_count)
-    return dense.centiles(panel, ("measure", "date")).select("measure", "centile", "date", "value")
+    groups = date_count and date_count * len(measures)
+    return dense.centiles(panel, ("measure", "date"), groups).select("measure", "centile", "date", "value")
 
 
 def measure_flags(measures: list[Measure]) -> dict[str, list[str]]:

@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptline.operators import star
 from scriptline.operators.medicine_filter import Catalogue
-from scriptline.session import written
-from scriptline.sources.snapshots import SnapshotFolder, needs_ingest, write_in_ranges
-
-# A broadcast side of keys and flags with up to this many rows takes some tens of megabytes.
-BROADCAST_ROWS = 500_000
+from scriptline.session import checked_broadcast, written
+from scriptline.sources.snapshots import SnapshotFolder, cell_ranges, needs_ingest, range_number, write_in_ranges
 
 
 @dataclass(frozen=True)
@@ -41,11 +38,6 @@ class Model:
     practice_rows: int | None = None
 
 
-def checked_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only when its number of rows is known to be small."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def model_from_sources(
     source: DataFrame, list_sizes: DataFrame, orgs: DataFrame, members: DataFrame, catalogue: Catalogue
 ) -> Model:
@@ -84,8 +76,13 @@ def write_star(
     )
     by_date = dates.select(F.col("id").alias("date_id"), F.col("date").alias("month"))
     numbered = cells.where("n > 0").join(by_date, "month").join(original.withColumnRenamed("id", "presentation_id"), ["bnf_code", "snomed_code"])
-    norm = star.prescribing_norm(source, dates, practices, original)
-    write_in_ranges(norm, numbered.select("presentation_id", "date_id", "n"), f"{path}/prescribing_norm")
+    counted = numbered.agg(F.sum("n")).first()[0] or 0
+    number = range_number(counted, spark.sparkContext.defaultParallelism)
+    steps = cell_ranges(numbered.select("presentation_id", "date_id", "n"), number)
+    ranged = written(original.join(steps.withColumnRenamed("presentation_id", "id"), "id"), "ranged")
+    rows = (dates.count(), practices.count(), ranged.agg(F.sum(F.size("steps"))).first()[0] or 0)
+    norm = star.prescribing_norm(source, dates, practices, ranged, ("steps",), rows)
+    write_in_ranges(norm, f"{path}/prescribing_norm", number)
     stored(star.list_size_norm(list_sizes, dates, practices), "list_size_norm")
 
 

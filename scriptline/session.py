@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A broadcast side of keys and flags with up to this many rows takes some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 _FALLBACK_FOLDER: dict[str, str] = {}
 _JOB_FOLDER: ContextVar[str | None] = ContextVar("job_folder", default=None)
@@ -68,8 +72,7 @@ def job_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _JOB_FOLDER.reset(token)
-        system, path = _file_system(spark, folder)
-        system.delete(path, True)
+        delete_path(spark, folder)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -82,9 +85,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def plain_path(spark: SparkSession, path: str) -> str:
+    """The absolute path without file system and host."""
+    system, found = _file_system(spark, path)
+    return system.makeQualified(found).toUri().getPath()
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    system, found = _file_system(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(found)] if system.exists(found) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, found = _file_system(spark, path)
+    system.delete(found, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, short lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast ``df`` only when its number of rows is known to be small."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df

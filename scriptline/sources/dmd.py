@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptline.session import new_path, written
+from scriptline.sources.blocks import count_before, pieces
+
 # Per XML file the item tags with their fields, in file order.
 ENTITIES = {
     "ampp": {
@@ -43,8 +46,9 @@ ENTITIES = {
     },
 }
 
-# Groups of the look-up file (all have CD and DESC), and those with more fields.
+# Groups of the look-up file (items have CD and DESC), and those with more fields.
 LOOKUP_GROUPS = ("COMBINATION_PACK_IND", "COMBINATION_PROD_IND", "BASIS_OF_NAME", "NAMECHANGE_REASON", "VIRTUAL_PRODUCT_PRES_STATUS", "CONTROL_DRUG_CATEGORY", "LICENSING_AUTHORITY", "UNIT_OF_MEASURE", "FORM", "ONT_FORM_ROUTE", "ROUTE", "DT_PAYMENT_CATEGORY", "SUPPLIER", "FLAVOUR", "COLOUR", "BASIS_OF_STRNTH", "REIMBURSEMENT_STATUS", "SPEC_CONT", "DND", "VIRTUAL_PRODUCT_NON_AVAIL", "DISCONTINUED_IND", "DF_INDICATOR", "PRICE_BASIS", "LEGAL_CATEGORY", "AVAILABILITY_RESTRICTION", "LICENSING_AUTHORITY_CHANGE_REASON")
+_LOOKUP_ITEM = "INFO"
 DATED_LOOKUPS = ("UNIT_OF_MEASURE", "FORM", "ROUTE", "SUPPLIER")
 
 # Fields whose type does not follow from the ending of their name.
@@ -65,33 +69,70 @@ def lookup_fields(group: str) -> list[str]:
     return ["CD", *dated, *(["INVALID"] if group == "SUPPLIER" else []), "DESC"]
 
 
-def xml_entity(spark: SparkSession, path: str, file_id: str, item_tag: str) -> DataFrame:
-    """One entity group of an XML file as text columns with lower-case names, blanks trimmed."""
-    return _trimmed(spark, path, item_tag, list(ENTITIES[file_id][item_tag]))
-
+def table_fields(file_id: str) -> dict[str, tuple[str, ...]]:
+    """The groups of a file and their fields; in the look-up file a group holds items of one tag."""
+    return {g: tuple(lookup_fields(g)) for g in LOOKUP_GROUPS} if file_id == "lookup" else ENTITIES[file_id]
 
-def xml_lookup(spark: SparkSession, path: str, group: str) -> DataFrame:
-    """One group of the look-up file. A group is a short code list, so it is read as one row and unnested."""
-    fields = lookup_fields(group)
-    info = "INFO ARRAY<STRUCT<" + ", ".join(f"`{f}`: STRING" for f in fields) + ">>"
-    items = spark.read.format("xml").option("rowTag", group).schema(info).load(path).select(F.inline("INFO"))
-    return items.select(*(F.trim(f).alias(f.lower()) for f in fields))
 
+def xml_items(spark: SparkSession, path: str, file_id: str) -> DataFrame:
+    """(group, fields): every item of every group of an XML file, in one pass; fields are a list of (tag, text).
 
-def _trimmed(spark: SparkSession, path: str, tag: str, fields: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{f}` STRING" for f in fields)
-    rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    return rows.select(*(F.trim(F.col(f"`{f}`")).alias(f.lower()) for f in fields))
+    A file is cut at every "<" and read in blocks. An item is the opening tags from its own up to the next item's,
+    counted from the start of the file, so it may lie in two blocks. The items are written by group.
+    """
+    groups = table_fields(file_id)
+    in_group = file_id == "lookup"
+    piece, tag = F.col("text"), F.col("tag")
+    comment = piece.startswith("!--")
+    trailing = F.regexp_replace(F.regexp_replace(piece, "(?s)^!--.*?-->", ""), r"\s+", "") != ""
+    unknown = F.when(comment & (~piece.contains("-->") | trailing), "a comment with a tag, or in a text").when(piece.startswith("![CDATA["), "a CDATA section")
+    checked = F.when(unknown.isNotNull(), F.raise_error(F.concat(F.lit("cannot read "), unknown)).cast("string")).otherwise(piece)
+    opened = pieces(spark, path, "<").select("file", "block", "at", checked.alias("text")).where(~F.substring("text", 1, 1).isin("/", "!", "?", ""))
+    # No tag's name is as long as a name with blanks, so the first piece of a file, if it is no tag, has none.
+    form = r"(?s)^([A-Za-z_][\w.:-]*)(?:\s[^>]*)?>(.*)$"
+    named = opened.select("file", "block", "at", F.regexp_extract("text", form, 1).alias("tag"), _plain(F.regexp_extract(piece, form, 2)).alias("value")).where(tag != "")
+    named = written(named, "xml_tags")
+    starts = (tag == _LOOKUP_ITEM) if in_group else tag.isin(*groups)
+    items = count_before(named, starts.cast("int"), "item").withColumn("item", F.col("item") + starts.cast("int"))
+    if in_group:
+        # An item's group is the last one opened before it.
+        opens = named.where(tag.isin(*groups))
+        spans = count_before(opens, F.lit(1), "number").select("file", "number", F.col("tag").alias("group"))
+        items = count_before(items, tag.isin(*groups).cast("int"), "number").withColumn("number", F.col("number") - 1)
+        items = items.join(spans, ["file", "number"], "left")
+    else:
+        items = items.withColumn("group", F.when(starts, tag))
+    is_field = F.col("item").isNotNull() & ~starts & tag.isin(*sorted({f for fields in groups.values() for f in fields}))
+    found = items.where((F.col("item") > 0) & (starts | is_field)).groupBy("file", "item")
+    field = F.when(~starts, F.struct("block", "at", "tag", "value"))
+    found = found.agg(F.max_by("group", F.when(starts, 1)).alias("group"), F.sort_array(F.collect_list(field)).alias("fields"))
+    target = new_path(spark, f"xml_items_{file_id}")
+    found.where(F.col("group").isNotNull()).select("group", F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), f["value"].alias("value"))).alias("fields")).write.partitionBy("group").parquet(target)
+    return spark.read.schema("fields array<struct<tag:string, value:string>>, group string").parquet(target)
+
+
+def _plain(text: Column) -> Column:
+    """Text between tags without white space around it and with its entities resolved; an empty one is missing."""
+    resolved = F.when(text.contains("&"), F.xpath_string(F.concat(F.lit("<x>"), text, F.lit("</x>")), F.lit("/x"))).otherwise(text)
+    return F.nullif(F.regexp_replace(resolved, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def xml_table(items: DataFrame, file_id: str, group: str) -> DataFrame:
+    """One group of a file's items as text columns with lower-case names; of a field that is there twice the last counts."""
+    rows = items.where(F.col("group") == group)
+    return rows.select(*(_last_value(f).alias(f.lower()) for f in table_fields(file_id)[group]))
+
+
+def _last_value(tag: str) -> Column:
+    return F.try_element_at(F.filter("fields", lambda f: f["tag"] == tag), F.lit(-1))["value"]
 
 
 def xml_entities(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """All groups of the given XML files by table name (file and tag, as one tag occurs in two files)."""
+    """All groups of the given XML files by table name (file and group, as one tag occurs in two files)."""
     tables = {}
     for file_id, path in paths.items():
-        if file_id == "lookup":
-            tables |= {f"lookup_{g.lower()}": xml_lookup(spark, path, g) for g in LOOKUP_GROUPS}
-        else:
-            tables |= {f"{file_id}_{tag.lower()}": xml_entity(spark, path, file_id, tag) for tag in ENTITIES[file_id]}
+        items = xml_items(spark, path, file_id)
+        tables |= {f"{file_id}_{group.lower()}": xml_table(items, file_id, group) for group in table_fields(file_id)}
     return tables
 
 

@@ -31,6 +31,11 @@ def _all_text(columns: tuple[str, ...]) -> str:
 RAW_PRESCRIBING = _all_text(PRESCRIBING_COLUMNS)
 
 
+PRESCRIBING_ROW = (
+    "bnf_code string, snomed_code bigint, practice_code string, quantity_value float, items int, quantity float, net_cost bigint, actual_cost bigint"
+)
+
+
 def _pence(pounds: str):
     return F.bround(F.col(pounds).cast("double") * 100).cast("bigint")
 

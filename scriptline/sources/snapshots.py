@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,10 @@ from scriptline.session import path_exists
 
 CLUSTER_KEYS = ("presentation_id", "date_id", "practice_id")
 
+# About the bytes of a fact in a shuffle, what a range should have of them, and how many ranges a shuffle can have.
+# Beyond that ranges are larger; their sort spills.
+ROW_BYTES, RANGE_BYTES, MOST_RANGES = 64, 256 << 20, 50_000
+
 
 def write_clustered(norm: DataFrame, path: str, keys: tuple[str, ...] = CLUSTER_KEYS) -> None:
     """Write the fact ordered by presentation, month and practice, so scans skip row groups by their min/max.
@@ -22,29 +27,40 @@ def write_clustered(norm: DataFrame, path: str, keys: tuple[str, ...] = CLUSTER_
     norm.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
 
 
+def range_number(rows: int, cores: int, range_bytes: int = RANGE_BYTES) -> int:
+    """Ranges for so many facts: by size, but no fewer than keep the cores busy with at least a megabyte each."""
+    size = rows * ROW_BYTES
+    return max(1, min(MOST_RANGES, max(math.ceil(size / range_bytes), min(cores, math.ceil(size / (1 << 20))))))
+
+
 def cell_ranges(cells: DataFrame, number: int) -> DataFrame:
-    """(presentation_id, date_id, range, parts) of cells (presentation_id, date_id, n): about equal ranges in order.
+    """(presentation_id, steps) of cells (presentation_id, date_id, n): about equal ranges in order.
 
-    A cell that is larger than a range is dealt to ``parts`` of them.
+    A presentation's rows of month d belong to the last of its ``steps`` (date_id, range, parts) that begins at d or
+    before. A month that is larger than a range is dealt to ``parts`` of them. All steps together are no more than
+    presentations and ranges, with two for each month that is dealt.
     """
     totals = running_totals(cells.groupBy("presentation_id").agg(F.sum("n").alias("total")), [F.col("presentation_id")], "total", "start")
     size = F.greatest(F.lit(1), F.ceil(cells.agg(F.sum("n")).scalar() / F.lit(number)))
-    earlier = Window.partitionBy("presentation_id").orderBy("date_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("start") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    by_month = Window.partitionBy("presentation_id").orderBy("date_id")
+    start = F.col("start") + F.coalesce(F.sum("n").over(by_month.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cells.join(totals.select("presentation_id", "start"), "presentation_id").withColumn("start", start)
-    return placed.select("presentation_id", "date_id", F.floor(F.col("start") / size).cast("int").alias("range"), F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    step = F.struct(F.floor(F.col("start") / size).cast("int").alias("range"), F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    steps = placed.select("presentation_id", "date_id", step.alias("step")).withColumn("last", F.lag("step").over(by_month))
+    kept = steps.where(F.col("last").isNull() | (F.col("last") != F.col("step")))
+    return kept.groupBy("presentation_id").agg(F.sort_array(F.collect_list(F.struct("date_id", "step.range", "step.parts"))).alias("steps"))
 
 
-def write_in_ranges(norm: DataFrame, cells: DataFrame, path: str, number: int | None = None, keys: tuple[str, ...] = CLUSTER_KEYS) -> None:
-    """``write_clustered`` in one evaluation of ``norm``: the rows per presentation and month are known already.
+def write_in_ranges(norm: DataFrame, path: str, number: int, keys: tuple[str, ...] = CLUSTER_KEYS) -> None:
+    """``write_clustered`` in one evaluation and one shuffle of ``norm``, which has the steps of each row's presentation.
 
     A presentation with a large share of the rows is cut by month, and a month of it by practice.
     """
-    number = number or int(norm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = cell_ranges(cells, number)
-    part = F.pmod(F.xxhash64("practice_id"), F.col("parts")).cast("int")
-    dealt = norm.join(ranges, ["presentation_id", "date_id"]).withColumn("range", F.least(F.col("range") + part, F.lit(number - 1)))
-    dealt.repartitionById(number, F.col("range")).sortWithinPartitions(*keys).drop("range", "parts").write.parquet(path)
+    month = F.col("date_id")
+    step = F.element_at(F.filter("steps", lambda s: s["date_id"] <= month), -1)
+    part = F.pmod(F.xxhash64("practice_id"), step["parts"]).cast("int")
+    dealt = norm.withColumn("range", F.least(step["range"] + part, F.lit(number - 1))).drop("steps")
+    dealt.repartitionById(number, F.col("range")).sortWithinPartitions(*keys).drop("range").write.parquet(path)
 
 
 def ingest_manifest(current: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -57,9 +73,27 @@ def ingest_manifest(current: DataFrame, recorded: DataFrame) -> DataFrame:
     return new.unionByName(gone)
 
 
+def file_manifest(current: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(path, status): how the files at hand (name, path, size, modified) differ from those already ingested.
+
+    status is "new", "gone" or "changed" (another size or time).
+    """
+    facts = [F.struct("size", "modified").alias(side) for side in ("now", "then")]
+    now, then = current.select("path", facts[0]), recorded.select("path", facts[1])
+    status = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("then"), "changed")
+    return now.join(then, "path", "full").select("path", status.alias("status")).where(F.col("status").isNotNull())
+
+
 def needs_ingest(current: DataFrame, recorded: DataFrame | None, force: bool = False) -> bool:
-    """Whether to rebuild: the set of file names changed, nothing was ingested yet, or it is forced."""
-    return force or recorded is None or not ingest_manifest(current, recorded).isEmpty()
+    """Whether to rebuild: the files changed, nothing was ingested yet, or it is forced.
+
+    Files that are known by name alone are compared by name.
+    """
+    if force or recorded is None:
+        return True
+    whole = {"path", "size", "modified"}
+    compare = file_manifest if whole <= set(current.columns) & set(recorded.columns) else ingest_manifest
+    return not compare(current, recorded).isEmpty()
 
 
 def snapshot_high_water_mark(files: DataFrame, marks: DataFrame) -> DataFrame:
@@ -92,15 +126,25 @@ class SnapshotFolder:
         row = pointers.agg(F.max_by("version", "at")).first()
         return row[0]
 
-    def publish(self, version: str, names: DataFrame) -> None:
-        """Record the ingested file names, then switch to the version."""
-        names.select("name").write.parquet(f"{self.version_path(version)}/ingested_file")
+    def record(self, version: str, files: DataFrame) -> None:
+        """Write the list of a version's files; readers don't use it before ``switch``."""
+        files.write.parquet(f"{self.version_path(version)}/ingested_file")
+
+    def files(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.version_path(version)}/ingested_file")
+
+    def switch(self, version: str) -> None:
         pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
         pointer.write.mode("append").parquet(f"{self.root}/current")
 
+    def publish(self, version: str, files: DataFrame) -> None:
+        """Record the ingested files, then switch to the version."""
+        self.record(version, files)
+        self.switch(version)
+
     def recorded(self) -> DataFrame | None:
         version = self.current()
-        return None if version is None else self.spark.read.parquet(f"{self.version_path(version)}/ingested_file")
+        return None if version is None else self.files(version)
 
     def _pointers(self) -> DataFrame | None:
         if not path_exists(self.spark, f"{self.root}/current"):

@@ -275,6 +275,30 @@ def test_each_analysis_pushes_its_ids(spark, model):
         assert scans and all("presentation_id" in s.split("PushedFilters")[1] for s in scans)
 
 
+def test_a_new_month_of_the_panel_reads_its_own_facts(spark, model, tmp_path):
+    """Sums of all months but the newest, then of the newest alone: the panel is that of a full run."""
+    measures = [Measure("generic", MedicineFilter(bnf_codes=("1001030U0AA",)), MedicineFilter.from_dict(ALL)), Measure("patients", MedicineFilter.from_dict(ALL), output_value="cost")]
+    months = sorted(str(r["date"]) for r in model.dates.collect())
+    path = str(tmp_path / "sums")
+    analysis.write_org_sums(model, path, months=months[:-1])
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    read = []
+    original = analysis.org_sums
+
+    def watched(model, org_type, facts, columns):
+        read.append({str(r["date"]) for r in facts.select("date").distinct().collect()})
+        return original(model, org_type, facts, columns)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(analysis, "org_sums", watched)
+        analysis.write_org_sums(model, path, months=months[-1:])
+    assert read == [{months[-1]}] and all(f.stat().st_mtime_ns == t for f, t in before.items())
+    kept = analysis.measure_panel(model, measures, sums_path=path)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, analysis.measure_panel(model, measures).collect()))
+    if model.clustered:
+        assert not fact_scans(spark, kept)
+
+
 def test_id_ranges_leave_gaps_out(spark):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 50, 51, 900, 250_000, 250_001)], "presentation_id long")
     assert analysis.id_ranges(ids) == [(1, 3), (50, 51), (900, 900), (250_000, 250_001)]

@@ -1,7 +1,10 @@
 import datetime
 import math
 
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -112,3 +115,38 @@ def test_dense_ids_follow_the_order(spark):
     assert all(r.k == r.id - 1 for r in dense_ids(df, [F.col("k")], start=1).collect())
     down = dense_ids(df, [F.col("k").desc()]).collect()
     assert len(down) == 5000 and all(r.k == 4999 - r.id for r in down)
+
+
+def test_an_outlier_leaves_the_brackets_small(spark):
+    """40,000 values close together and one far away, of many ties: exact, with few rows to sort."""
+    rng = np.random.default_rng(1)
+    values = np.concatenate([np.round(5 + rng.random(39_999) / 1000, 7), [1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"date": [day(1)] * len(values), "value": values})).repartition(7)
+    found = {r.centile: r.value for r in dense.centiles(df).collect()}
+    assert found == {c: pytest.approx(np.percentile(values, c), abs=1e-12) for c in dense.CENTILES}
+    sizes = dense.bracketed(df, ["date"]).groupBy("centile").count().collect()
+    assert len(sizes) == 9 and max(r["count"] for r in sizes) < 0.01 * len(values)
+
+
+@pytest.mark.parametrize("size", [1, 2, 99, 100, 101, 999, 1000, 1001, 9_999, 10_001, 60_000])
+def test_centiles_of_all_sizes(spark, size):
+    rng = np.random.default_rng(size)
+    values = np.round(np.exp(rng.standard_normal(size) * 3), rng.integers(0, 4))
+    df = spark.createDataFrame(pd.DataFrame({"date": [day(1)] * size, "value": values})).repartition(9)
+    for groups in (None, 1):
+        found = {r.centile: r.value for r in dense.centiles(df, groups=groups).collect()}
+        assert found == {c: pytest.approx(np.percentile(values, c), rel=1e-12) for c in dense.CENTILES}
+
+
+def test_sums_have_the_same_bits_for_every_partitioning(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.standard_normal(3000) * 10.0 ** rng.integers(-6, 9, 3000), [0.1] * 1000]).tolist()
+    found = set()
+    for i in range(20):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(1, v) for v in values], "k int, v double").repartition(1 + i)
+        found.add(dense.grouped_sum(df, ["k"], ["v"]).first().v)
+    assert len(found) == 1 and found.pop() == pytest.approx(math.fsum(values), rel=1e-12)
+    odd = [(1, None), (1, 2.5), (2, float("nan")), (2, 1.0), (3, float("inf")), (3, 1.0), (4, None), (5, -0.75), (5, -1e15)]
+    sums = {r.k: r.v for r in dense.grouped_sum(spark.createDataFrame(odd, "k int, v double"), ["k"], ["v"]).collect()}
+    assert sums[1] == 2.5 and math.isnan(sums[2]) and sums[3] == math.inf and sums[4] is None and sums[5] == -1e15 - 0.75

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from scriptline.operators import facets
 from scriptline.operators.facets import Selection
 
@@ -71,3 +75,38 @@ def test_grouped(catalogue):
         ("No VTM", "Strips", "Prestige strips", facets.CHILD_INCLUDED),
     ]
     assert {r.vtm_status for r in rows} == {"not_included"}
+
+
+def test_one_index_answers_every_selection(spark, catalogue):
+    """Against the definition, on rows over several buckets; a product has two codes."""
+    rng = random.Random(2)
+    codes, forms = ["0101010A0AAABAB", "0101010A0BBAAAB", "0102030B0AAAAAA", "0201000C0AAACAC", None], ["a.x", "b.y", "c.z"]
+    meds = [(i * 5000, rng.choice(codes), rng.choice([7, 8, None]), rng.sample(forms, rng.randint(0, 2)), rng.sample([1, 2, 3], rng.randint(0, 2))) for i in range(60)]
+    meds += [(0, "0201000C0AAACAC", 7, ["a.x"], [1])]
+    table = spark.createDataFrame(meds, "id bigint, bnf_code string, vtm_id bigint, form_routes array<string>, ingredient_ids array<bigint>")
+    options = [("bnf", c[:n]) for c in codes if c for n in (2, 4, 6, 7, 9, 11)] + [("ingredient", str(i)) for i in (1, 2, 3, 4)] + [("vtm", "7"), ("vtm", "8"), ("vtm", "9")] + [("form_route", f) for f in [*forms, "d.w"]]
+    known = spark.createDataFrame(sorted(set(options)), "facet string, value string").selectExpr("facet", "value", "value AS label", "0 AS sort_level")
+    index = facets.bitmap_index(table, known)
+
+    def has(row, facet, value):
+        _, code, vtm, form, ingredients = row
+        return {"bnf": code is not None and code.startswith(str(value)), "vtm": vtm == value, "form_route": value in form, "ingredient": value in ingredients}[facet]
+
+    def expected(selection, facet, excluded):
+        others = selection.without(facet, excluded)
+        names = {v for f, v in options if f == facet}
+        if others.is_empty():
+            return names
+        left = [r for r in meds if all(any(has(r, f, v) for v in vs) for f, vs in others.active().items()) and not any(has(r, f, v) for f, vs in others.exclude.items() for v in vs)]
+        typed = int if facet in ("vtm", "ingredient") else str
+        return {v for v in names if any(has(r, facet, typed(v)) for r in left)}
+
+    chosen = {"bnf": ["01", "0201"], "vtm": [7], "form_route": ["a.x", "b.y"], "ingredient": [1, 3]}
+    for include, exclude in (((), ("form_route",)), (("bnf",), ()), (("bnf", "form_route"), ("ingredient",)), (("vtm", "ingredient"), ("bnf", "form_route")), (("form_route",), ("form_route", "vtm"))):
+        selection = Selection({f: chosen[f] for f in include}, {f: chosen[f][:1] for f in exclude})
+        for facet in facets.FACETS:
+            for excluded in (False, True):
+                found = {r.value for r in index.options(selection, facet, excluded).collect()}
+                assert found == expected(selection, facet, excluded), (include, exclude, facet, excluded)
+    with pytest.raises(ValueError, match="codes of no level"):
+        index.options(Selection({"bnf": ["010"]}), "vtm")

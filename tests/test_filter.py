@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from conftest import rows
 from scriptline.operators import medicine_filter
+from scriptline.operators.measures import Measure, measure_code_bridge
 from scriptline.operators.medicine_filter import LIST_FIELDS, MedicineFilter, matching_codes
 
 GENERIC_2, GENERIC_10 = "1001030U0AAABAB", "1001030U0AAACAC"
@@ -100,3 +103,33 @@ def test_unknown_fields_fail():
 def test_validation_lists_a_wrong_product_type(catalogue):
     found = medicine_filter.query_validate({"product_type": "cheap", "bnf_codes": ["99"]}, catalogue)
     assert rows(found) == [("bnf_codes", "99"), ("product_type", "cheap")]
+
+
+def test_all_filters_at_once(catalogue):
+    """Filters as rows select what each selects by itself."""
+    queries = {f"{i}": MedicineFilter.from_dict(q) for i, (q, _) in enumerate(CASES)}
+    values = {
+        "bnf_codes": ["06", "1001030U0BD", "1001030U0_AB", ""], "form_routes": ["tablet.oral", "solution.intravenous"], "forms": ["tablet", "solution", "none"],
+        "routes": ["oral", "intravenous"], "ingredient_ids": [100, 101, 7], "vtm_ids": [10, 11],
+    }
+    rng = random.Random(4)
+    for i in range(150):
+        fields = {f + suffix: rng.sample(v, rng.randint(1, 2)) for f, v in values.items() for suffix in ("", "_excluded") if rng.random() < 0.2}
+        queries[f"r{i}"] = MedicineFilter.from_dict(fields | {"product_type": rng.choice(["all", "all", "generic", "branded"])})
+    found = sorted(tuple(r) for r in medicine_filter.filter_hits(queries, catalogue).collect())
+    flags = medicine_filter.filter_flags(queries, catalogue).collect()
+    assert found == sorted((r.code, n) for r in flags for n in queries if r[n])
+    for i, (_, expected) in enumerate(CASES):
+        assert {c for c, n in found if n == f"{i}"} == expected
+
+
+def test_the_plan_does_not_grow_with_the_measures(catalogue):
+    def plan(number):
+        measures = [Measure(f"m{i}", MedicineFilter(bnf_codes=("1001", f"{i:02d}"), forms=("tablet",), ingredient_ids_excluded=(i,)), MedicineFilter()) for i in range(number)]
+        bridge = measure_code_bridge(measures, catalogue)
+        return bridge, len(bridge._jdf.queryExecution().optimizedPlan().toString())
+
+    few, size = plan(2)
+    many, larger = plan(1000)
+    assert larger < 1.05 * size + 200
+    assert few.where("side = 'denominator'").count() == 2 * len(EVERYTHING) and many.count() > 1000 * len(EVERYTHING)

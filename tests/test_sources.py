@@ -1,5 +1,8 @@
+import csv
 import datetime
+import html
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from scriptline import session
 from scriptline.functions import filenames
-from scriptline.sources import archive, catalogues, dmd, files, monthly, snapshots
+from scriptline.operators import star
+from scriptline.sources import archive, blocks, catalogues, dmd, files, monthly, snapshots
 
 DAY = datetime.date(2025, 1, 1)
 
@@ -30,6 +34,28 @@ def test_file_names(spark, tmp_path):
     assert {r.name for r in files.latest_file_per_month(found).collect()} == {p.name for p in tmp_path.iterdir()}
 
 
+def test_many_files_plan_a_scan_for_each_layout(spark, tmp_path):
+    expected = []
+    for i in range(60):
+        name = str(tmp_path / f"a {i}+.csv")
+        with open(name, "w") as f:
+            f.write(("x,y\n1,2\n", "x,z\n1,3\n", "y,x\n2,1\n")[i % 3])
+        expected.append(("1", None if i % 3 == 1 else "2", "3" if i % 3 == 1 else None, name))
+    found = files.union_files_with_name(spark, [e[-1] for e in expected])
+    assert rows(found.select("x", "y", "z", "_filename")) == sorted(expected, key=repr)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+    for i in range(4):
+        spark.createDataFrame([(i,)], "x int").write.parquet(str(tmp_path / f"p{i}.parquet"))
+    paths = [str(tmp_path / f"p{i}.parquet") for i in range(4)]
+    found = files.union_files_with_name(spark, paths)
+    assert rows(found) == [(i, p) for i, p in enumerate(paths)] and found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    spark.createDataFrame([("q",)], "x string").write.parquet(str(tmp_path / "q.parquet"))
+    found = files.union_files_with_name(spark, [*paths, str(tmp_path / "q.parquet")])
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2 and {r.x for r in found.collect()} == {"0", "1", "2", "3", "q"}
+    with pytest.raises(ValueError, match="Unknown kind"):
+        files.union_files_with_name(spark, ["a.xlsx"])
+
+
 def test_csv_with_preamble_and_encoding(spark, tmp_path):
     lines = ["Drug Tariff", "", "Medicine,VMPP Snomed Code,Drug Tariff Category,Basic Price", 'Caf\xe9 "x",001,A,10', '"Two, three",2,C,', "", "Last,3,,5"]
     source = tmp_path / "t.csv"
@@ -46,8 +72,8 @@ def test_preamble_of_a_file_in_many_splits(spark, tmp_path):
     source.write_text("skip me\nskip me too\nid,text\n" + "".join(f"{i},{'x' * 50}\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
+        assert blocks.pieces(spark, str(source), "\n").select("block").distinct().count() > 4
         lines = archive.read_csv_strings(spark, str(source), skip=2)
-        assert lines.rdd.getNumPartitions() > 4
         assert lines.count() == 20000 and lines.select(F.sum(F.col("id").cast("bigint"))).first()[0] == 19999 * 10000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -184,20 +210,52 @@ def test_high_water_mark(spark):
     assert rows(snapshots.files_after_mark(dated, "2025-01-01")) == [(datetime.date(2025, 2, 1),)]
 
 
-def test_ranges_from_counts_are_in_order(spark, tmp_path):
-    norm = spark.range(4000).select(
+def ranged_fact(spark, path, rows, number):
+    """A fact whose presentation 7 holds half of the rows, written in ranges; returns the span of every file."""
+    norm = spark.range(rows).select(
         F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 20).alias("presentation_id"), (F.col("id") % 12).alias("date_id"), (F.col("id") % 97).alias("practice_id")
     )
-    path = str(tmp_path / "fact")
-    snapshots.write_in_ranges(norm, norm.groupBy("presentation_id", "date_id").agg(F.count("*").alias("n")), path, number=16)
-    spans = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(
+    steps = snapshots.cell_ranges(norm.groupBy("presentation_id", "date_id").agg(F.count("*").alias("n")), number)
+    snapshots.write_in_ranges(norm.join(F.broadcast(steps), "presentation_id"), path, number)
+    return spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(
         F.min(F.struct("presentation_id", "date_id")).alias("low"), F.max(F.struct("presentation_id", "date_id")).alias("high"), F.count("*").alias("n")
     ).orderBy("low", "high").collect()
+
+
+def test_ranges_from_counts_are_in_order(spark, tmp_path):
+    spans = ranged_fact(spark, str(tmp_path / "fact"), 4000, 16)
     assert len(spans) > 8 and sum(s.n for s in spans) == 4000 and max(s.n for s in spans) < 800
     assert all(tuple(a.high) <= tuple(b.low) for a, b in zip(spans, spans[1:]))
     assert sum(s.low.presentation_id == 7 or s.high.presentation_id == 7 for s in spans) > 4
 
 
+def test_files_grow_in_number_with_the_rows(spark, tmp_path):
+    made = []
+    for rows_ in (6000, 24000):
+        number = snapshots.range_number(rows_, 1, range_bytes=100 * snapshots.ROW_BYTES * 10)
+        spans = ranged_fact(spark, str(tmp_path / f"fact{rows_}"), rows_, number)
+        made.append((number, len(spans), max(s.n for s in spans)))
+    assert made[1][0] == 4 * made[0][0] and 3 <= made[1][1] / made[0][1] <= 5
+    assert max(m for *_, m in made) < 3000  # hot months are dealt
+
+
+def test_number_of_ranges():
+    assert snapshots.range_number(0, 8) == 1 and snapshots.range_number(10**6, 8) == 8
+    assert snapshots.range_number(10**9, 8) == 239 and snapshots.range_number(10**13, 8) == snapshots.MOST_RANGES
+
+
+def test_star_shuffles_the_fact_once(spark):
+    """Dimensions of a known size are broadcast, the range comes with the presentation: one exchange, by range."""
+    source = spark.range(1000).selectExpr("'0101' AS bnf_code", "id % 5 AS snomed_code", "DATE'2025-01-01' AS date", "'P1' AS practice_code", *(f"id AS {c}" for c in star.MEASURED))
+    dates = spark.createDataFrame([(0, DAY)], "id int, date date")
+    practices = spark.createDataFrame([(0, "P1")], "id int, code string")
+    steps = spark.range(5).selectExpr("id", "'0101' AS bnf_code", "id AS snomed_code", "array(named_struct('date_id', 0, 'range', 0, 'parts', 2)) AS steps")
+    norm = star.prescribing_norm(source, dates, practices, steps, ("steps",), (1, 1, 5))
+    plan = norm.repartitionById(4, F.element_at("steps", 1)["range"])._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("Exchange") == 1 + physical.count("BroadcastExchange") and "SortMergeJoin" not in physical
+
+
 def test_dates_come_from_the_files_own_name(spark):
     paths = ["/d/backup_2024-06-01_full/prescribing_2023-01-01_v3.parquet", "/d/x_2024-06-01_y/file=list_2023-02-01_v2/part-0.parquet", "/d/list_2023-03-01_v2.parquet/part-1.snappy.parquet"]
     table = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -214,14 +272,109 @@ def test_two_names_fail_whatever_is_read(spark):
         codes.select("code").collect()
 
 
-def test_preambles_need_one_file(spark, tmp_path):
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of two kilobytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_preambles_of_several_files(spark, tmp_path):
     for name in "ab":
-        (tmp_path / f"{name}.csv").write_text("title\nx,y\n1,2\n")
-    assert rows(archive.read_csv_strings(spark, str(tmp_path / "a.csv"), skip=1)) == [("1", "2")]
-    with pytest.raises(ValueError, match="one file"):
+        (tmp_path / f"{name}.csv").write_text(f"title\nx,y\n1,{name}\n")
+    assert rows(archive.read_csv_strings(spark, str(tmp_path), skip=1)) == [("1", "a"), ("1", "b")]
+    (tmp_path / "b.csv").write_text("title\ny,x\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
         archive.read_csv_strings(spark, str(tmp_path), skip=1)
     (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n')
     assert rows(archive.read_csv_strings(spark, str(tmp_path / "a.csv"), multi_line=True)) == [("1", "two\nlines")]
+    (tmp_path / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        archive.read_csv_strings(spark, str(tmp_path / "a.csv"), multi_line=True)
+    (tmp_path / "a.csv").write_text("x,y\n1\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        archive.read_csv_strings(spark, str(tmp_path / "a.csv"), multi_line=True).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quoted_line_breaks_in_blocks(spark, tmp_path, small_blocks, seed):
+    """Several files of several blocks behind preambles, against the csv module."""
+    rng, parts = random.Random(seed), ['"', ",", "\n", "\r\n", "a", "é", " ", "long words " * 9, '""', "\\"]
+    expected = []
+    for name in "abc":
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write('one "odd quote\nand another line\n')
+            out = csv.writer(f, lineterminator="\r\n" if seed else "\n")
+            out.writerow(["id", "te\nxt", "rest"])
+            for i in range(150):
+                row = [f"{name}{i}", "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))), 'in"ches']
+                out.writerow(row)
+                expected.append(tuple(row))
+    found = archive.read_csv_strings(spark, str(tmp_path), skip=2, multi_line=True)
+    assert found.columns == ["id", "te\nxt", "rest"]
+    assert blocks.pieces(spark, str(tmp_path), "\n").select("file", "block").distinct().count() > 12
+    got = {r[0]: tuple(r) for r in found.collect()}
+    assert len(got) == len(expected)
+    for row in expected:
+        assert got[row[0]][2] == row[2]
+        assert norm_space(got[row[0]][1]) == norm_space(row[1])
+
+
+def norm_space(text):
+    """White space around an unquoted value, and the form of a line break, are the parser's."""
+    return (text or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+
+
+def nested(rng, depth=0):
+    text = "".join(rng.choice(['"', "\\", "{", "}", "[", "]", ",", "x", "é", "\n", " "]) for _ in range(rng.randint(0, 12)))
+    inner = [nested(rng, depth + 1) for _ in range(rng.randint(0, 2))] if depth < 3 else []
+    return {"name": text, "n": rng.randint(0, 9), "inner": inner, "deep": {"text": text[::-1]}}
+
+
+@pytest.mark.parametrize(("seed", "indent"), [(1, None), (2, 2), (3, "\t")])
+def test_array_files_in_blocks(spark, tmp_path, small_blocks, seed, indent):
+    rng = random.Random(seed)
+    objects = [nested(rng) | {"id": i} for i in range(200)]
+    (tmp_path / "o.json").write_text(json.dumps(objects, indent=indent, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "empty.json").write_text("[ ]")
+    assert blocks.pieces(spark, str(tmp_path / "o.json"), "}").select("block").distinct().count() > 10
+    archive.json_archive(spark, str(tmp_path / "*.json"), str(tmp_path / "o.parquet"))
+    whole = spark.read.option("multiLine", True).option("samplingRatio", 1.0).json(str(tmp_path / "o.json"))
+    found = spark.read.parquet(str(tmp_path / "o.parquet"))
+    assert found.schema == whole.schema and rows(found) == rows(whole)
+
+
+def test_arrays_of_something_else(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": {"b": "}"}}\n{"a": {"b": "{"}}\n')  # one after another
+    archive.json_archive(spark, str(tmp_path / "a.json"), str(tmp_path / "a.parquet"))
+    assert rows(spark.read.parquet(str(tmp_path / "a.parquet")).select("a.b")) == [("{",), ("}",)]
+    for text in ('[1, {"a": 1}]', "[[1], [2]]", '[{"a": 1}, 2]'):
+        (tmp_path / "b.json").write_text(text)
+        with pytest.raises(Exception, match="not an object of a JSON array"):
+            archive.json_elements(spark, str(tmp_path / "b.json"))
+
+
+def test_dictionary_xml_in_blocks(spark, tmp_path, small_blocks):
+    """Items, fields and groups that begin in one block and end in another, entities, empty and repeated fields."""
+    names = [f"Name {i} &lt;{'long ' * (i % 40)}&#233;&amp;&gt;" for i in range(300)]
+    items = "".join(f"<VMP><VPID>{i}</VPID>\n<NM> {n}\n</NM><ABBREVNM/><VTMID></VTMID></VMP>" for i, n in enumerate(names))
+    forms = "".join(f"<ONT><VPID>{i}</VPID><FORMCD>1</FORMCD><FORMCD>{i % 7}</FORMCD></ONT>" for i in range(300))
+    (tmp_path / "vmp.xml").write_text(f'<?xml version="1.0"?><A x="1"><!-- made --><VMPS>{items}</VMPS><FORMS>{forms}</FORMS></A>')
+    lookups = "".join(f"<{g}>{''.join(f'<INFO><CD>{i}</CD><DESC>{g} {i}</DESC></INFO>' for i in range(40))}</{g}>" for g in dmd.LOOKUP_GROUPS)
+    (tmp_path / "lookup.xml").write_text(f"<LOOKUP>{lookups}</LOOKUP>")
+    tables = dmd.xml_entities(spark, {"vmp": str(tmp_path / "vmp.xml"), "lookup": str(tmp_path / "lookup.xml")})
+    found = {int(r.vpid): (r.nm, r.abbrevnm, r.vtmid) for r in tables["vmp_vmp"].collect()}
+    assert found == {i: (html.unescape(n).strip(), None, None) for i, n in enumerate(names)}
+    assert rows(tables["vmp_ont"]) == sorted([(str(i), str(i % 7)) for i in range(300)], key=repr)
+    for g in dmd.LOOKUP_GROUPS:
+        assert sorted((r.cd, r.descr if "descr" in r else r.desc) for r in tables[f"lookup_{g.lower()}"].collect()) == sorted((str(i), f"{g} {i}") for i in range(40))
+    (tmp_path / "odd.xml").write_text("<A><!-- <VMP> --></A>")
+    with pytest.raises(Exception, match="a comment with a tag"):
+        dmd.xml_items(spark, str(tmp_path / "odd.xml"), "vmp")
 
 
 def test_job_folder_is_deleted(spark):
