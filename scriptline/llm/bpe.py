@@ -85,6 +85,17 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return place[start]
 
 
+def _unlike(data: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The ranges whose bytes are not those of the range ``to``."""
+    bad = length != length[to]
+    check = np.flatnonzero(~bad & (to != np.arange(len(to))))
+    if len(check):
+        size = length[check]
+        differs = gather(data, start[check], size) != gather(data, start[to[check]], size)
+        bad[check] = np.logical_or.reduceat(differs, np.cumsum(size) - size)
+    return np.flatnonzero(bad)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (JSON, byte-level BPE, one merge per token)."""
 
@@ -206,6 +217,9 @@ class Codec:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
         _, one, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        other = _unlike(data, start, end - start, one[which])  # an equal hash doesn't make equal bytes
+        which[other] = len(one) + np.arange(len(other))
+        one = np.concatenate([one, other])
         count, tokens = self._backtrack(data, start[one], end[one])
         place = np.cumsum(count) - count
         flat = gather(self._ids[tokens], place[which], count[which])

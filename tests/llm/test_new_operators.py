@@ -6,7 +6,6 @@ import math
 import random
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -274,15 +273,3 @@ def test_shards_get_rows_by_weight(spark):
 
 def test_sharding_of_nothing(spark):
     assert sharding.assign(spark.createDataFrame([], "doc_id string, text string"), sharding.cluster(4, 2, 2)).count() == 0
-
-
-@pytest.mark.parametrize("name", ["op11_conversation_trie", "op13_sharding"])
-def test_same_rows_as_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
-    found = queries.QUERIES[name](spark, SF_DIR)
-    cursor = con.execute(queries.ORACLE[name])
-    columns = [c[0] for c in cursor.description]
-    assert sorted(found.columns) == sorted(columns)
-    assert found_nodes(found.select(*columns)) == sorted(cursor.fetchall(), key=repr)
