@@ -30,6 +30,8 @@ WIDTH, GRAM = 50, 4
 LAST = (1 << 63) - 1
 #: Passages of one anchor that one automaton takes: some 50,000 words.
 HOT = 512
+#: Symbols hashed together; only memory depends on it.
+HASHED_AT_ONCE = 1 << 18
 
 _PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("hot", pa.binary()), ("done", pa.binary())])
 _MARKS = pa.schema([("chunk", pa.int32()), ("windows", pa.binary()), ("everywhere", pa.binary())])
@@ -89,12 +91,21 @@ class SuffixAutomaton:
         return out
 
 
-def contents(symbols: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of each range of symbols."""
+def contents(symbols: np.ndarray, first: np.ndarray, length: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each range of symbols (of their ``values``, if there is a table of those)."""
     if len(first) == 0:
         return np.zeros(0, np.uint64)
-    terms = gather(symbols, first, length) * powers(int(length.max()))[ramp(length)]
-    return mix(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
+    factors, out, begin = powers(int(length.max())), np.empty(len(first), np.uint64), 0
+    until = np.cumsum(length)
+    while begin < len(first):  # a block of ranges at a time
+        done = until[begin] - length[begin]
+        end = max(begin + 1, int(np.searchsorted(until, done + HASHED_AT_ONCE, side="right")))
+        size = length[begin:end]
+        terms = gather(symbols, first[begin:end], size)
+        terms = (terms if values is None else values[terms]) * factors[ramp(size)]
+        out[begin:end] = np.add.reduceat(terms, np.cumsum(size) - size)
+        begin = end
+    return mix(out + length.astype(np.uint64))
 
 
 def earlier(keys: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +148,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         chunk, rows = chunk_of(rows), ordered(rows)
         symbols, offsets = word_hashes(rows.column("text"))
         found = windows(symbols, offsets, width, gram)
-        chosen, many = repeating(found, told, number)
+        chosen, many = repeating(found, told)
         first, count = found.first[chosen], found.count[chosen]
         own_keys = order_keys(rows.column("key"))[found.texts()]
         keys = own_keys[chosen]
@@ -228,7 +239,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         ]
         return pa.table([rows.column("key"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
-    told = repeated_anchors(chunks, number, read, per_text=True, most=hot)
+    told = repeated_anchors(chunks, read, per_text=True, most=hot)
     found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, hot binary, done binary")
     marks = found.groupBy("shard").applyInArrow(stream, "chunk int, windows binary, everywhere binary")
     out = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, "key long, n_words long, n_removed long, kept string")

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from scriptline.llm.chunked import chunk_of, ordered, pack, ranges, table, unpack
+from scriptline.llm.chunked import chunk_of, ordered
 from scriptline.llm.text import mix, ramp
 
 _STEP = 0x9E3779B97F4A7C15
@@ -86,52 +87,32 @@ def windows(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return Windows(offsets, window[at], np.diff(np.append(at, len(window))), hashes[place[at]])
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("often", pa.binary()), ("times", pa.binary())])
-_TOLD = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("repeats", pa.binary()), ("hot", pa.binary())])
-
-
-def repeated_anchors(chunks: DataFrame, number: int, read: Callable[[pa.Table], Windows], per_text: bool, most: int) -> DataFrame:
-    """(chunk, bucket, repeats, hot): which anchors of the chunk there are twice (``per_text``: in two texts) in the corpus,
-    and which have more than ``most`` (less than 2**16) passages."""
+def repeated_anchors(chunks: DataFrame, read: Callable[[pa.Table], Windows], per_text: bool, most: int) -> DataFrame:
+    """(chunk, anchor, hot): which anchors of the chunk there are twice (``per_text``: in two texts) in the corpus,
+    and which have more than ``most`` passages. One row per chunk and distinct anchor meets by the anchor."""
 
     def ask(rows: pa.Table) -> pa.Table:
         chunk, rows = chunk_of(rows), ordered(rows)
         found = read(rows)
-        anchors = found.anchor
-        distinct, passages = np.unique(anchors, return_counts=True)
-        if per_text:
-            pairs = np.unique(np.stack([anchors, found.texts().astype(np.uint64)], axis=1), axis=0) if len(anchors) else np.zeros((0, 2), np.uint64)
-            anchors = pairs[:, 0]
-        counts = np.unique(anchors, return_counts=True)[1]
-        times = np.minimum(passages, (1 << 16) - 1).astype("<u2")
-        return table(_ASKED, [(b, chunk, pack(distinct[s]), np.packbits(counts[s] > 1).tobytes(), times[s].tobytes()) for b, s in ranges(distinct, number)])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in rows.column("hashes")]
-        often = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(rows.column("often"), parts, strict=True)]
-        _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        repeats = np.bincount(which, weights=1 + np.concatenate(often))[which] > 1
-        times = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in rows.column("times")])
-        hot = np.bincount(which, weights=times)[which] > most
-        borders = np.cumsum([0, *map(len, parts)])
-        told = [pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary()) for x in (repeats, hot)]
-        return pa.table([rows.column("chunk"), rows.column("bucket"), *told], schema=_TOLD)
-
-    asked = chunks.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, hashes binary, often binary, times binary")
-    return asked.groupBy("bucket").applyInArrow(meet, "chunk int, bucket int, repeats binary, hot binary")
-
-
-def repeating(found: Windows, told: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+        anchors, passages = np.unique(found.anchor, return_counts=True)
+        often = passages > 1
+        if per_text and len(anchors):
+            pairs = np.unique(np.stack([found.anchor, found.texts().astype(np.uint64)], axis=1), axis=0)
+            often = np.unique(pairs[:, 0], return_counts=True)[1] > 1
+        columns = [anchors.view(np.int64), np.full(len(anchors), chunk, np.int32), often, passages]
+        return pa.table([pa.array(c) for c in columns], names=["anchor", "chunk", "often", "passages"])
+
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "anchor long, chunk int, often boolean, passages long")
+    same = Window.partitionBy("anchor")
+    there = F.count(F.lit(1)).over(same) + F.max(F.col("often").cast("int")).over(same)
+    counted = asked.select("chunk", "anchor", there.alias("there"), (F.sum("passages").over(same) > most).alias("hot"))
+    return counted.where(F.col("there") > 1).select("chunk", "anchor", "hot")
+
+
+def repeating(found: Windows, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(indices of the passages whose anchors repeat and are not hot, those whose anchors repeat and are hot)."""
-    distinct, which = np.unique(found.anchor, return_inverse=True)
-
-    def bits(column: str) -> np.ndarray:
-        answers = dict(zip(told.column("bucket").to_pylist(), told.column(column).to_pylist(), strict=True))
-        parts = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start) for b, s in ranges(distinct, number)]
-        return np.concatenate(parts)[which].astype(bool) if parts else np.zeros(0, bool)
-
-    repeats, hot = bits("repeats"), bits("hot")
-    return np.flatnonzero(repeats & ~hot), np.flatnonzero(repeats & hot)
+    anchors, hot = told.column("anchor").to_numpy().view(np.uint64), told.column("hot").to_numpy()
+    return np.flatnonzero(np.isin(found.anchor, anchors[~hot])), np.flatnonzero(np.isin(found.anchor, anchors[hot]))
 
 
 def window_ids(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +131,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard(anchors: np.ndarray, number: int) -> np.ndarray:
-    """Shard of each passage, from other bits than the anchors' ranges."""
+    """Shard of each passage; least hashes of windows are small numbers, so they are mixed again."""
     return (mix(anchors) % np.uint64(number)).astype(np.int64)
 
 

@@ -21,20 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.llm.automata import contents
+from scriptline.llm.automata import HASHED_AT_ONCE, contents
 from scriptline.llm.chunked import chunk_of, chunked, ordered, table
 from scriptline.llm.repeats import Windows, alike, covering, repeated_anchors, repeating, rolling, runs, shard, window_ids, windows
 from scriptline.llm.text import gather, mix, ramp, release, utf8
 
 WIDTH, GRAM = 200, 32
-#: Text of a chunk, and about what a shard gets; a sort needs some sixty bytes for each.
-SHARD_BYTES = 2 << 20
+#: Text of a chunk, and about what a shard gets; a sort needs some thirty bytes for each.
+SHARD_BYTES = 1 << 20
 #: Suffixes that the queues of one sort keep in memory.
 IN_MEMORY = 8 << 20
 #: Passages of one anchor that are sorted together: less text than a shard gets.
 HOT = 4096
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SENTINEL_FIRST = np.append(np.uint64(0), _VALUES)
 _PASSAGES = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("symbols", pa.binary()), ("hot", pa.binary()), ("done", pa.binary())])
 _MARKS = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
 
@@ -77,13 +78,13 @@ class Queues:
             block = self._blocks[queue][i]
             if not isinstance(block, np.ndarray):
                 self._file.seek(block[0])
-                block = np.frombuffer(self._file.read(8 * block[1]), np.int64)
+                block = np.frombuffer(self._file.read(4 * block[1]), np.int32)
             yield block
             i += 1
 
     def all(self, queue: int) -> np.ndarray:
         found = list(self.blocks(queue))
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return np.concatenate(found) if found else np.zeros(0, np.int32)
 
     def close(self) -> None:
         if self._file:
@@ -111,21 +112,21 @@ def refine(group: np.ndarray, active: np.ndarray, words: np.ndarray) -> np.ndarr
 
 def sort_s_stars(symbols: np.ndarray, kinds: np.ndarray, stars: np.ndarray, width: int) -> np.ndarray:
     """The S*-suffixes in order of at least their first ``width`` bytes; sentinels (symbol 0) first."""
-    packed = symbols.astype(np.uint64) * np.uint64(2) + kinds.astype(np.uint64)
-    padded = np.concatenate([packed, np.zeros(8, np.uint64)])
+    padded = np.concatenate([symbols * np.uint16(2) + kinds, np.zeros(8, np.uint16)])
     length = np.diff(np.append(stars, stars[-1])) + 1
     length[symbols[stars] == 0] = 1
-    group, active, done = np.zeros(len(stars), np.int64), np.arange(len(stars)), 0
+    group, active, done = np.zeros(len(stars), np.int32), np.arange(len(stars), dtype=np.int32), 0
     while active.size:
         words = np.zeros(len(active), np.uint64)
         for i in range(done, done + 6):
             at = np.minimum(stars[active] + i, len(symbols))
-            words = words << np.uint64(10) | np.where(i < length[active], padded[at], np.uint64(0))
+            words = words << np.uint64(10) | np.where(i < length[active], padded[at], np.uint16(0)).astype(np.uint64)
         done += 6
         active = refine(group, active, words)
         active = active[length[active] > done]
-    index = np.arange(len(stars))
-    closing = np.where(symbols[stars] == 0, index, len(stars))
+    del padded, length
+    index = np.arange(len(stars), dtype=np.int32)
+    closing = np.where(symbols[stars] == 0, index, np.int32(len(stars)))
     closing = np.minimum.accumulate(closing[::-1])[::-1]  # the sentinel that ends each one's passage
     size = np.bincount(group, minlength=len(stars))
     active, step = index[size[group] > 1], 1
@@ -141,15 +142,16 @@ def induced_order(symbols: np.ndarray, width: int, in_memory: int = IN_MEMORY):
 
     Yields one array per first symbol. Suffixes shorter than that come in some order of the sentinels.
     """
-    n = len(symbols)
-    rises = np.flatnonzero(symbols[1:] != symbols[:-1])
-    after = rises[np.minimum(np.searchsorted(rises, np.arange(n)), len(rises) - 1)]
-    kinds = symbols[after] < symbols[np.minimum(after + 1, n - 1)]
-    kinds[-1] = True  # S: less than the suffix after it
+    starts = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1])
+    of_run = symbols[starts]
+    # S: less than the suffix after it. Equal symbols in a row are of one kind.
+    kinds = np.repeat(np.append(of_run[1:] > of_run[:-1], True), np.diff(np.append(starts, len(symbols))))
+    del starts, of_run
     star = kinds.copy()
     star[0] = False
     star[1:] &= ~kinds[:-1]
-    stars = sort_s_stars(symbols, kinds, np.flatnonzero(star), width)
+    stars = sort_s_stars(symbols, kinds, np.flatnonzero(star).astype(np.int32), width)
+    del star
     larger, smaller, seeds = Queues(257, in_memory), Queues(257, in_memory), Queues(257, in_memory)
     seeds.put(stars, symbols[stars])
 
@@ -178,18 +180,16 @@ def induced_order(symbols: np.ndarray, width: int, in_memory: int = IN_MEMORY):
 
 def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int, in_memory: int = IN_MEMORY) -> np.ndarray:
     """For each byte of the concatenated passages: whether the ``width`` bytes from it on start twice."""
-    passage = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(data)) + passage
-    symbols = np.zeros(len(data) + len(lengths), np.int64)
-    symbols[place] = data.astype(np.int64) + 1
-    ends = np.cumsum(lengths + 1) - 1
-    room = np.zeros(len(symbols), np.int64)
-    room[place] = ends[passage] - place
+    place = np.arange(len(data), dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    symbols = np.zeros(len(data) + len(lengths), np.uint16)
+    symbols[place] = data.astype(np.uint16) + 1
+    ends = (np.cumsum(lengths + 1) - 1).astype(np.int32)
+    room = np.zeros(len(symbols), np.int32)
+    room[place] = np.repeat(ends, lengths) - place
     hashes = np.zeros(len(symbols), np.uint64)
-    values = np.append(_VALUES, np.uint64(0))[np.where(symbols > 0, symbols - 1, 256)]
-    if len(values) >= width:
-        found = mix(rolling(values, width))
-        hashes[: len(found)] = found
+    for begin in range(0, len(symbols) - width + 1, HASHED_AT_ONCE):
+        values = _SENTINEL_FIRST[symbols[begin : begin + HASHED_AT_ONCE + width - 1]]
+        hashes[begin : begin + len(values) - width + 1] = mix(rolling(values, width))
     repeat = np.zeros(len(symbols), bool)
     for suffixes in induced_order(symbols, width, in_memory):
         suffixes = suffixes[room[suffixes] >= width]
@@ -212,9 +212,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         chunk, rows = chunk_of(rows), ordered(rows)
         data, _ = utf8(rows.column("text"))
         found = read(rows)
-        chosen, many = repeating(found, told, number)
+        chosen, many = repeating(found, told)
         first, count = found.first[chosen], found.count[chosen]
-        content = contents(_VALUES[data], first, count + width - 1)
+        content = contents(data, first, count + width - 1, _VALUES)
         _, one, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
         twice = times[which] > 1
         out = [(chunk % number, chunk, b"", b"", b"", np.stack([first[twice], count[twice]], axis=1).tobytes())]
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         if len(first):
             length = count + width - 1
             begin = np.cumsum(length) - length
-            content = contents(_VALUES[data], begin, length)
+            content = contents(data, begin, length, _VALUES)
             _, one, which, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
             everywhere = (times > 1)[which]
             repeat = repeated_windows(gather(data, begin[one], length[one]), length[one], width)
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return pa.table([rows.column("key"), *columns, *(rows.column(n) for n in names)], names=["key", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     kind = chunks.schema["key"].dataType.simpleString()
-    told = repeated_anchors(chunks, number, read, per_text=False, most=hot)
+    told = repeated_anchors(chunks, read, per_text=False, most=hot)
     found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(passages, "shard int, chunk int, places binary, symbols binary, hot binary, done binary")
     marks = found.groupBy("shard").applyInArrow(sort, "chunk int, windows binary")
     kinds = "".join(f", {n} {chunks.schema[n].dataType.simpleString()}" for n in names)
