@@ -1,7 +1,7 @@
 """Best-fit packing of documents into token sequences of one capacity.
 
-Pattern packing by non-negative least squares: all patterns of one to three lengths that fill a sequence exactly are
-enumerated, their repeat counts are fitted to the histogram of lengths (longer lengths weigh more), rounded, and what
+Pattern packing by non-negative least squares: patterns of one to three lengths that fill a sequence exactly, short ones
+as often as they go in, are enumerated from the lengths that are there, their repeat counts are fitted to the histogram of lengths (longer lengths weigh more), rounded, and what
 is left over is packed by best fit decreasing, also on the histogram. The plan knows lengths and counts only, so it
 has at most ``capacity`` bins whatever the size of the corpus; the rows find their place by their rank within their
 length. Ranks come from random salts that are written with the pieces, so that a length with most of the rows is
@@ -70,30 +70,52 @@ def pieces(
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def patterns(capacity: int) -> np.ndarray:
-    """All ways to fill a sequence with two or three lengths, as rows of three (0: none)."""
-    pairs = [(a, capacity - a, 0) for a in range(1, capacity // 2 + 1)]
-    first = np.arange(1, capacity // 3 + 1)
-    count = (capacity - first) // 2 - first + 1
-    a = np.repeat(first, count)
-    b = a + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    triples = np.stack([a, b, capacity - a - b], axis=1)
-    return np.concatenate([np.array(pairs, np.int64).reshape(-1, 3), triples])
+def patterns(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): ways to fill a sequence exactly with lengths that are there, in rows of up to three lengths.
 
-
-def fit(counts: np.ndarray, shapes: np.ndarray, rounds: int = 20, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    All pairs and triples, and one length as often as it goes in with one or two others.
+    """
+    capacity, there = len(counts) - 1, np.flatnonzero(counts)
+    there = there[there > 0]
+    known = np.zeros(capacity + 1, bool)
+    known[0] = True
+    known[there] = True
+    short = there[there <= capacity // 2]
+    pairs = np.stack([short, capacity - short, np.zeros_like(short)], axis=1)
+    first = np.repeat(there, len(there))
+    second = np.tile(there, len(there))
+    third = capacity - first - second
+    kept = (first <= second) & (second <= third)
+    triples = np.stack([first[kept], second[kept], third[kept]], axis=1)
+    often = (capacity - second) // first
+    rest = capacity - second - often * first
+    kept = (often > 2) & (first != second) & (rest != first) & (rest != second)
+    repeats = np.stack([first[kept], second[kept], rest[kept]], axis=1)
+    times = np.concatenate([np.ones((len(pairs) + len(triples), 3), np.int64), np.stack([often[kept], np.ones_like(rest[kept]), np.ones_like(rest[kept])], axis=1)])
+    whole = capacity // there
+    alone = (whole > 3) & (whole * there == capacity)
+    shapes = np.concatenate([pairs, triples, repeats, np.stack([there[alone], 0 * there[alone], 0 * there[alone]], axis=1)])
+    times = np.concatenate([times, np.stack([whole[alone], 0 * whole[alone], 0 * whole[alone]], axis=1)])
+    kept = known[shapes].all(axis=1)
+    return shapes[kept], np.where(shapes[kept] > 0, times[kept], 0)
+
+
+def fit(counts: np.ndarray, shapes: np.ndarray, times: np.ndarray, rounds: int = 20, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative least squares by an active set: (indices of the patterns used, their repeat counts).
 
-    A round lets in the patterns of steepest descent that share no length, solves for all in the set, and takes out
-    those whose count would be negative until none is.
+    A round lets in up to ``at_once`` of the patterns of steepest descent that share no length, solves for all in the
+    set, and takes out those whose count would be negative until none is. It ends after ``rounds``: what the patterns
+    leave over is packed in another way, so both bound the time of the fit and no row is lost.
     """
+    if not len(shapes):
+        return np.zeros(0, np.int64), np.zeros(0)
     size = len(counts) - 1
     weight = np.arange(size + 1) / size
     weight[0] = 0
     goal = counts * weight
     used, columns, gram, x = np.zeros(0, np.int64), np.zeros((size + 1, 0)), np.zeros((0, 0)), np.zeros(0)
     for _ in range(rounds):
-        slope = (weight * (goal - columns @ x))[shapes].sum(axis=1)
+        slope = ((weight * (goal - columns @ x))[shapes] * times).sum(axis=1)
         slope[used] = 0
         new: list[int] = []
         taken: set[int] = set()
@@ -108,7 +130,7 @@ def fit(counts: np.ndarray, shapes: np.ndarray, rounds: int = 20, at_once: int =
             break
         added = np.zeros((size + 1, len(new)))
         for j, p in enumerate(new):
-            np.add.at(added[:, j], shapes[p][shapes[p] > 0], 1.0)
+            np.add.at(added[:, j], shapes[p], times[p].astype(float))
         added *= weight[:, None]
         across = columns.T @ added
         gram = np.block([[gram, across], [across.T, added.T @ added]])
@@ -143,7 +165,14 @@ class Plan:
 
 
 def plan(counts: np.ndarray) -> Plan:
-    """Place for every row of a histogram (``counts[n]`` rows of length n, up to the capacity)."""
+    """Place for every row of a histogram (``counts[n]`` rows of length n, up to the capacity).
+
+    That of fitted patterns with best fit for what they leave, or of best fit alone where that makes fewer sequences.
+    """
+    return min((fitted_plan(counts, by_patterns) for by_patterns in (True, False)), key=lambda p: p.sequences)
+
+
+def fitted_plan(counts: np.ndarray, by_patterns: bool) -> Plan:
     counts = np.asarray(counts, np.int64)
     capacity = len(counts) - 1
     left, used = counts.copy(), np.zeros(len(counts), np.int64)
@@ -163,11 +192,15 @@ def plan(counts: np.ndarray) -> Plan:
 
     if left[capacity]:
         put([(capacity, 1)], int(left[capacity]))
-    if left.any() and capacity > 1:
-        shapes = patterns(capacity)
-        chosen, repeats = fit(left, shapes)
+    if by_patterns and left.any() and capacity > 1:
+        shapes, often = patterns(left)
+        chosen, repeats = fit(left, shapes, often)
         for p in np.argsort(-repeats, kind="stable"):
-            shape = [(int(n), int(c)) for n, c in zip(*np.unique(shapes[chosen[p]][shapes[chosen[p]] > 0], return_counts=True), strict=True)]
+            content: dict[int, int] = {}
+            for n, c in zip(shapes[chosen[p]].tolist(), often[chosen[p]].tolist(), strict=True):
+                if n:
+                    content[n] = content.get(n, 0) + c
+            shape = sorted(content.items())
             times = min([int(round(repeats[p])), *(int(left[n]) // c for n, c in shape)])
             if times > 0:
                 put(shape, times)
