@@ -71,7 +71,8 @@ _ODD = frozenset(CHARACTERS)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _AT, _DOT = "at|arroba|chez", "dot|punto|punkt|point"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKETS = re.compile(rf"[ \t]*{_OPEN}[ \t]*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]*{_CLOSE}[ \t]*", re.I)
+# Blanks before a bracket are looked at from their first one only, so that a run of them costs no more than its length.
+_BRACKETS = re.compile(rf"(?:(?<![ \t])[ \t]++)?{_OPEN}[ \t]*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]*{_CLOSE}[ \t]*", re.I)
 _SPELLED_RUN = re.compile(rf"\b(?:plus[ \t-]+)?(?:{_WORD})(?:[ \t,.-]+(?:{_WORD}|[0-9]+|{_DOT}))*[ \t,-]+(?:{_WORD}|[0-9]+)\b", re.I)
 _RUN_PART = re.compile(rf"plus[ \t-]+|{_DOT}|{_WORD}|[0-9]+|[ \t,.-]+", re.I)
 _PROSE_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_AT})[ \t]+(?=[A-Za-z0-9-]{{1,63}}[ \t]+(?:{_DOT})[ \t]+[A-Za-z0-9])", re.I)
