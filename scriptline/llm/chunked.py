@@ -43,13 +43,20 @@ def chunk_of(table: pa.Table) -> int:
 
 def pack(hashes: np.ndarray) -> bytes:
     """Ascending 64-bit integers as differences, by byte of significance (the high bytes compress to nothing)."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64))
+    return np.cumsum(numbers(raw))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers by byte of significance."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
 
 
 def ranges(hashes: np.ndarray, number: int) -> Iterator[tuple[int, slice]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.llm.chunked import chunk_of, chunked, ordered, pack, ranges, table, unpack
+from scriptline.llm.chunked import chunk_of, chunked, numbers, ordered, pack, planes, ranges, table, unpack
 from scriptline.llm.text import ngram_hashes, word_hashes
 from scriptline.session import written
 
@@ -42,22 +42,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         for n in range(1, order + 1):
             found, counts = np.unique(ngram_hashes(hashes, offsets, n)[0], return_counts=True)
             for bucket, part in ranges(found, tables):
-                out.append((bucket, n, chunk, pack(found[part]), counts[part].astype("<u4").tobytes()))
+                out.append((bucket, n, chunk, pack(found[part]), planes(counts[part])))
         return table(_ASKED, out)
 
     def total(rows: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in rows.column("hashes")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("counts")])
+        counts = np.concatenate([numbers(x.as_py()) for x in rows.column("counts")])
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(which, weights=counts).astype(np.uint64)[which]
+        sums = np.bincount(which, weights=counts).astype(np.uint64)[which]  # exact up to 2**53
         borders = np.cumsum([0, *map(len, parts)])
-        told = [np.minimum(sums[a:b], 0xFFFFFFFF).astype("<u4").tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+        told = [planes(sums[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
         return pa.table([rows.column("chunk"), rows.column("n"), rows.column("bucket"), pa.array(told, pa.binary())], schema=_TOLD)
 
     def sum_up(rows: pa.Table, told: pa.Table) -> pa.Table:
         rows = ordered(rows)
         hashes, offsets = word_hashes(rows.column("text"))
-        answers = {(n, b): np.frombuffer(c, "<u4") for n, b, c in zip(*(told.column(c).to_pylist() for c in ("n", "bucket", "counts")), strict=True)}
+        answers = {(n, b): numbers(c) for n, b, c in zip(*(told.column(c).to_pylist() for c in ("n", "bucket", "counts")), strict=True)}
         value = np.zeros(len(hashes))
         ended = np.ones(len(hashes), np.int64)  # order that the word's score ended at
         shorter = np.zeros(0)  # counts of the n-grams one shorter, by first word
