@@ -136,6 +136,7 @@ class Sample:
             self.catalogue,
             presentation_rows=presentation.count(),
             practice_rows=practices.count(),
+            org_rows=self.stored("orgs", lambda: self.orgs).count(),
         )
 
     def _current_codes(self) -> DataFrame:

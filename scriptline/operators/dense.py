@@ -14,6 +14,9 @@ from scriptline.session import checked_broadcast
 
 CENTILES = (10, 20, 30, 40, 50, 60, 70, 80, 90)
 
+# Values of a group that are counted in the memory of one task, some megabytes, if there are known to be no more.
+COUNTED_ROWS = 50_000
+
 # Accuracy of the sketch of a group's values: it knows ranks to one in so many rows.
 SKETCH_ACCURACY = 10_000
 
@@ -155,15 +158,20 @@ def drop_zero_rows(matrix: DataFrame, row: str) -> DataFrame:
     return matrix.join(kept, row, "left_semi")
 
 
-def centiles(matrix: DataFrame, by: tuple[str, ...] = ("date",), groups: int | None = None) -> DataFrame:
+def centiles(matrix: DataFrame, by: tuple[str, ...] = ("date",), groups: int | None = None, rows: int | None = None) -> DataFrame:
     """(centile, *by, value): p10 .. p90 per month, linear interpolation, missing values ignored.
 
     Exact at any size, by refinement: one pass makes a mergeable sketch of each group's ranks, which gives two values
     around each centile. Values below a bracket are only counted, those above left out; of each group some
     thousandths of the rows are inside a bracket and sorted, equal ones as one. Brackets go by rank, so an outlier
     changes none. ``groups`` is an upper bound of the number of groups where it is known: brackets are broadcast then.
+    ``rows`` is one of the rows in a group: where so few values are known to fit in a task, one pass is enough.
     """
     by = list(by)
+    if rows is not None and rows <= COUNTED_ROWS:
+        exact = matrix.groupBy(*by).agg(F.percentile(F.col("value").cast("double"), [c / 100 for c in CENTILES]).alias("_found"))
+        each = F.array(*(F.struct(F.lit(c).alias("centile"), F.get("_found", F.lit(i)).alias("value")) for i, c in enumerate(CENTILES)))
+        return exact.select(*by, F.explode(each).alias("_c")).select("_c.centile", *by, "_c.value")
     counted = bracketed(matrix.select(*by, F.col("value").cast("double").alias("value")), by, groups)
     until = Window.partitionBy(*by, "centile").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     at = (F.col("_rows") - 1) * F.col("centile") / F.lit(100.0)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_hits, refuse_unknown
+from scriptline.operators.medicine_filter import Catalogue, MedicineFilter, filter_flags, filter_hits, refuse_unknown
+from scriptline.session import local_rows
 
+# Filters that are columns of one plan; only its form depends on it.
+FLAGGED = 32
 NUMERATOR, DENOMINATOR = "numerator", "denominator"
 OUTPUT_VALUES = {"items": "items", "quantity": "quantity", "cost": "actual_cost"}
 # The keys of a measure's definition.
@@ -66,19 +70,33 @@ class Measure:
         return [(NUMERATOR, self.numerator), *below]
 
 
-def measure_sides(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
-    """(code, sides): per catalogued code the (measure, side) pairs that select it, if any. Names are unique."""
+def _labelled_sides(measures: list[Measure]) -> dict[str, tuple[str, str, MedicineFilter]]:
     names = [m.name for m in measures]
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"measures of one name: {', '.join(twice)}")
-    sides = {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
-    hits = filter_hits({key: query for key, (_, _, query) in sides.items()}, catalogue)
-    labels = [(key, name, side) for key, (name, side, _) in sides.items()]
-    labels = catalogue.codes.sparkSession.createDataFrame(labels, "filter string, measure string, side string")
-    return hits.join(F.broadcast(labels), "filter").groupBy("code").agg(F.collect_list(F.struct("measure", "side")).alias("sides"))
+    return {f"{i}:{side}": (measure.name, side, query) for i, measure in enumerate(measures) for side, query in measure.sides()}
+
+
+def measure_sides(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
+    """(code, sides): per catalogued code the (measure, side) pairs that select it, if any. Names are unique.
+
+    Up to ``FLAGGED`` filters are flag columns of one pass over the codes; more are rows, so that the plan keeps its size.
+    """
+    sides = _labelled_sides(measures)
+    if len(sides) > FLAGGED:
+        return measure_code_bridge(measures, catalogue).groupBy(F.col("bnf_code").alias("code")).agg(F.collect_list(F.struct("measure", "side")).alias("sides"))
+    flags = filter_flags({key: query for key, (_, _, query) in sides.items()}, catalogue)
+    hits = [
+        F.when(F.col(f"`{key}`"), F.struct(F.lit(name).alias("measure"), F.lit(side).alias("side")))
+        for key, (name, side, _) in sides.items()
+    ]
+    return flags.select("code", F.array_compact(F.array(*hits)).alias("sides")).where(F.size("sides") > 0)
 
 
 def measure_code_bridge(measures: list[Measure], catalogue: Catalogue) -> DataFrame:
-    """(measure, side, bnf_code) of all filters of all measures, from one pass over codes and medications."""
-    # No flag columns: the plan doesn't grow with the measures.
-    return measure_sides(measures, catalogue).select(F.inline("sides"), F.col("code").alias("bnf_code"))
+    """(measure, side, bnf_code) of all filters of all measures, which are rows: the plan is the same for any number."""
+    sides = _labelled_sides(measures)
+    hits = filter_hits({key: query for key, (_, _, query) in sides.items()}, catalogue)
+    labels = [(key, name, side) for key, (name, side, _) in sides.items()]
+    labels = local_rows(catalogue.codes.sparkSession, labels, filter=pa.string(), measure=pa.string(), side=pa.string())
+    return hits.join(F.broadcast(labels), "filter").select("measure", "side", F.col("code").alias("bnf_code"))

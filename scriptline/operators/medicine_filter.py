@@ -6,10 +6,12 @@ from dataclasses import asdict, dataclass, fields
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptline.functions import bnf
+from scriptline.session import local_rows
 
 ALL, GENERIC, BRANDED = PRODUCT_TYPES = ("all", "generic", "branded")
 ID_FIELDS = ("ingredient_ids", "vtm_ids")
@@ -211,18 +213,30 @@ def filter_hits(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> Dat
         has_forms = bool(q.form_routes or q.forms or q.routes)
         need = sum(_BITS[f] for f in _BITS if (has_forms if f == "form_routes" else getattr(q, f)))
         needs.append((n, need, q.product_type, bool(q.forms or q.routes) and not q.form_routes))
-    rule = F.broadcast(spark.createDataFrame(rules, "filter string, bit int, kind string, value string, excluded boolean"))
-    half = F.broadcast(spark.createDataFrame(halves, "filter string, kind string, value string, excluded boolean, wanted int"))
-    filters = spark.createDataFrame(needs, "filter string, need int, product_type string, by_parts boolean")
+    if not halves:  # then what a filter needs doesn't depend on the catalogue
+        rules += [(n, 0, "bnf_codes", "", False) for n, need, _, _ in needs if need == 0]
+    text, number, flag = pa.string(), pa.int32(), pa.bool_()
+    rule = local_rows(spark, rules, filter=text, bit=number, kind=text, value=text, excluded=flag)
+    filters = local_rows(spark, needs, filter=text, need=number, product_type=text, by_parts=flag)
 
     presentations = catalogue.presentations().select("code")
-    keys = presentations.select("code", F.lit("bnf_codes").alias("kind"), F.explode(F.array_distinct(bnf.match_keys(F.col("code")))).alias("value"))
+    # The keys of a code that rules can have: its prefixes of their lengths, and its strength code.
+    codes = [value for _, _, kind, value, _ in rules if kind == "bnf_codes"]
+    lengths = sorted({len(c) for c in codes if "_" not in c} | {0})
+    own = [F.when(F.length("code") >= n, F.substring("code", 1, n)) for n in lengths]
+    own += [F.when(F.length("code") >= 9, bnf.strength_code(F.col("code")))] if any("_" in c for c in codes) else []
+    keys = presentations.select("code", F.lit("bnf_codes").alias("kind"), F.explode(F.array_compact(F.array(*own))).alias("value"))
     held = F.concat(*(
         labelled_values("kind", field, values)
         for field, values in (("form_routes", F.col("form_routes")), ("ingredient_ids", F.col("ingredient_ids")), ("vtm_ids", F.array("vtm_id")))
     ))
     medication = catalogue.medications.where(F.col("bnf_code").isNotNull()).select(F.col("bnf_code").alias("code"), F.explode(held).alias("x")).select("code", "x.*")
 
+    if not halves:
+        values = keys.unionByName(medication) if any(kind != "bnf_codes" for _, _, kind, _, _ in rules) else keys
+        hits = values.join(F.broadcast(rule), ["kind", "value"]).select("code", "filter", "bit", "excluded")
+        return _selected(hits, filters.drop("by_parts"), presentations)
+
     # Form/routes that begin with every form and end with every route a filter gives: few, whatever the filters.
     known = catalogue.form_routes.select(F.col("descr").alias("value")).distinct()
     used = medication.where(F.col("kind") == "form_routes").select("value").distinct().unionByName(known).distinct()
@@ -232,7 +246,8 @@ def filter_hits(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> Dat
         F.struct(F.lit("forms").alias("kind"), F.array_join(F.slice(words, F.lit(1), i), ".").alias("value")),
         F.struct(F.lit("routes").alias("kind"), F.array_join(F.slice(words, i + 1, F.size(words)), ".").alias("value")),
     )))).alias("x")).select("descr", "x.*").distinct()
-    fits = cut.join(half, ["kind", "value"]).groupBy("descr", "filter", "excluded").agg(F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
+    half = local_rows(spark, halves, filter=text, kind=text, value=text, excluded=flag, wanted=number)
+    fits = cut.join(F.broadcast(half), ["kind", "value"]).groupBy("descr", "filter", "excluded").agg(F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
     fits = fits.where(F.col("met") == F.col("wanted")).select(F.col("descr").alias("value"), "filter", "excluded")
     by_parts = medication.where(F.col("kind") == "form_routes").join(fits, "value").select("code", "filter", F.lit(_BITS["form_routes"]).alias("bit"), "excluded")
 
@@ -244,6 +259,11 @@ def filter_hits(queries: dict[str, MedicineFilter], catalogue: Catalogue) -> Dat
 
     rule = rule.unionByName(every)
     hits = keys.unionByName(medication).join(F.broadcast(rule), ["kind", "value"]).select("code", "filter", "bit", "excluded").unionByName(by_parts)
+    return _selected(hits, filters, presentations)
+
+
+def _selected(hits: DataFrame, filters: DataFrame, presentations: DataFrame) -> DataFrame:
+    """(code, filter) of the codes that meet what a filter needs and nothing it excludes."""
     met = hits.groupBy("code", "filter").agg(F.bit_or(F.when(F.col("excluded"), 0).otherwise(F.col("bit"))).alias("met"), F.bool_or("excluded").alias("out"), F.bool_or(~F.col("excluded")).alias("there"))
     generic = bnf.is_generic(F.col("code"))
     of_type = (F.col("product_type") == ALL) | F.when(F.col("product_type") == GENERIC, generic).otherwise(~generic)

@@ -199,7 +199,7 @@ def org_series(model: Model, analysis: Analysis, date_count: int | None = DATE_C
 
 def deciles(model: Model, analysis: Analysis, date_count: int | None = DATE_COUNT) -> DataFrame:
     """(centile, month, value) over the organisations of the chosen type."""
-    return dense.records(dense.centiles(org_date_ratio(model, analysis, date_count), groups=date_count), "centile", "centile", "month")
+    return dense.records(dense.centiles(org_date_ratio(model, analysis, date_count), groups=date_count, rows=model.org_rows), "centile", "centile", "month")
 
 
 def top_medications_other(
@@ -329,7 +329,7 @@ def measure_deciles(
     """(measure, centile, date, value) of every measure over the organisations of a type."""
     panel = measure_panel(model, measures, org_type, date_count)
     groups = date_count and date_count * len(measures)
-    return dense.centiles(panel, ("measure", "date"), groups).select("measure", "centile", "date", "value")
+    return dense.centiles(panel, ("measure", "date"), groups, model.org_rows).select("measure", "centile", "date", "value")
 
 
 def measure_flags(measures: list[Measure]) -> dict[str, list[str]]:

@@ -36,6 +36,7 @@ class Model:
     clustered: bool = False
     presentation_rows: int | None = None
     practice_rows: int | None = None
+    org_rows: int | None = None
 
 
 def model_from_sources(
@@ -113,6 +114,7 @@ def read_star(spark: SparkSession, path: str, orgs: DataFrame, members: DataFram
         clustered=True,
         presentation_rows=presentation.count(),
         practice_rows=practice_rows,
+        org_rows=orgs.count(),
     )
 
 

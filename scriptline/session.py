@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few rows of the plan's own, as a local relation: no job is needed to send them."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, kinds.items(), strict=True)}))
+
+
 def checked_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
     """Broadcast ``df`` only when its number of rows is known to be small."""
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df

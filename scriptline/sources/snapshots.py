@@ -57,7 +57,8 @@ def write_in_ranges(norm: DataFrame, path: str, number: int, keys: tuple[str, ..
     A presentation with a large share of the rows is cut by month, and a month of it by practice.
     """
     month = F.col("date_id")
-    step = F.element_at(F.filter("steps", lambda s: s["date_id"] <= month), -1)
+    # Nearly all presentations lie in one range.
+    step = F.when(F.size("steps") == 1, F.get("steps", F.lit(0))).otherwise(F.element_at(F.filter("steps", lambda s: s["date_id"] <= month), -1))
     part = F.pmod(F.xxhash64("practice_id"), step["parts"]).cast("int")
     dealt = norm.withColumn("range", F.least(step["range"] + part, F.lit(number - 1))).drop("steps")
     dealt.repartitionById(number, F.col("range")).sortWithinPartitions(*keys).drop("range").write.parquet(path)

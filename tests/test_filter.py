@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from conftest import rows
-from scriptline.operators import medicine_filter
+from scriptline.operators import measures, medicine_filter
 from scriptline.operators.measures import Measure, measure_code_bridge
 from scriptline.operators.medicine_filter import LIST_FIELDS, MedicineFilter, matching_codes
 
@@ -125,11 +125,22 @@ def test_all_filters_at_once(catalogue):
 
 def test_the_plan_does_not_grow_with_the_measures(catalogue):
     def plan(number):
-        measures = [Measure(f"m{i}", MedicineFilter(bnf_codes=("1001", f"{i:02d}"), forms=("tablet",), ingredient_ids_excluded=(i,)), MedicineFilter()) for i in range(number)]
-        bridge = measure_code_bridge(measures, catalogue)
+        many = [Measure(f"m{i}", MedicineFilter(bnf_codes=("1001", f"{i:02d}"), forms=("tablet",), ingredient_ids_excluded=(i,)), MedicineFilter()) for i in range(number)]
+        bridge = measure_code_bridge(many, catalogue)
         return bridge, len(bridge._jdf.queryExecution().optimizedPlan().toString())
 
     few, size = plan(2)
     many, larger = plan(1000)
     assert larger < 1.05 * size + 200
     assert few.where("side = 'denominator'").count() == 2 * len(EVERYTHING) and many.count() > 1000 * len(EVERYTHING)
+
+
+def test_few_and_many_measures_have_the_same_sides(catalogue, monkeypatch):
+    chosen = [Measure(f"m{i}", MedicineFilter.from_dict(q), MedicineFilter.from_dict(CASES[-1 - i][0])) for i, (q, _) in enumerate(CASES)][:10]
+
+    def found():
+        return {r.code: sorted(map(tuple, r.sides)) for r in measures.measure_sides(chosen, catalogue).collect()}
+
+    few = found()
+    monkeypatch.setattr(measures, "FLAGGED", 0)
+    assert few and found() == few
