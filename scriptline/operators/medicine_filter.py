@@ -322,7 +322,9 @@ def query_validate(query: MedicineFilter | dict, catalogue: Catalogue) -> DataFr
             query = {k: v for k, v in query.items() if k != "product_type"}
         query = MedicineFilter.from_dict(query)
     given = field_values(spark, query).withColumn("kind", F.regexp_replace("field", f"{EXCLUDED}$", ""))
-    unmatched = given.join(_valid_values(catalogue), ["kind", "value"], "left_anti").select("field", "value")
+    # The catalogue streams past the few values of the filter; what is met of them is as small as they are.
+    met = _valid_values(catalogue).join(F.broadcast(given.select("kind", "value")), ["kind", "value"], "left_semi").distinct()
+    unmatched = given.join(F.broadcast(met), ["kind", "value"], "left_anti").select("field", "value")
     return unmatched.unionByName(spark.createDataFrame(wrong, "field string, value string")) if wrong else unmatched
 
 

@@ -73,6 +73,16 @@ def test_validate(catalogue):
     assert medicine_filter.query_validate(MedicineFilter(bnf_codes=("10",)), catalogue).isEmpty()
 
 
+def test_validation_broadcasts_the_filter_not_the_catalogue(spark, catalogue):
+    """Only what the filter gives, and what is met of it, is broadcast; the keys of all codes are streamed."""
+    query = MedicineFilter(bnf_codes=("1001", "99", "99"))
+    found = medicine_filter.query_validate(query, catalogue)
+    assert rows(found) == [("bnf_codes", "99"), ("bnf_codes", "99")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    semi = plan[plan.index("LeftSemi") :]
+    assert "rightHint=(strategy=broadcast)" in semi.splitlines()[0] and plan.index("LeftAnti") < plan.index("Aggregate") < plan.index("LeftSemi")
+
+
 def test_describe(catalogue):
     def described(**values):
         return {(r.field, r.position): r.description for r in medicine_filter.query_describe(MedicineFilter(**values), catalogue).collect()}
