@@ -146,26 +146,28 @@ def facet_index(medications: DataFrame, lookup: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FacetIndex:
-    """Bitmaps over numbered medications: ``bits`` (facet, value, bucket, bits) and the ``lookup`` of the options.
+    """Bitmaps over numbered medications: ``bits`` (facet, value, word, bits) and the ``lookup`` of the options.
 
-    A bucket holds the bits of 32,768 medications in four kilobytes. Codes are indexed by every level of theirs.
+    A word holds the bits of 64 medications, and only words with a bit are there: the index has no more rows than there
+    are values of medications, however many values differ. Codes are indexed by every level of theirs.
     """
 
     bits: DataFrame
     lookup: DataFrame
 
     def any_of(self, facet: str, values: list) -> DataFrame:
-        """(bucket, bits): medications with any of the values."""
+        """(word, bits): medications with any of the values."""
         if facet == BNF and (odd := [v for v in values if len(v) not in INDEXED_LENGTHS]):
             raise ValueError(f"codes of no level: {', '.join(odd)}")
         hits = self.bits.where((F.col("facet") == facet) & F.col("value").isin([str(v) for v in values]))
-        return hits.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        return hits.groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
     def options(self, selection: Selection, facet: str, excluded: bool = False) -> DataFrame:
         """(value): options of one control that still leave a medication under all other selections.
 
-        An option stays if more of its medications are in all included facets than are excluded there, too: counts of
-        bits of two intersections. Nothing but bitmaps is read, and one index serves every selection.
+        An option stays if one of its medications is in all included facets and not excluded. The selections meet by
+        word first, then the options' own words meet what they leave. Nothing but bitmaps is read, and one index serves
+        every selection.
         """
         options = self.lookup.where(F.col("facet") == facet).select("value").distinct()
         others = selection.without(facet, excluded)
@@ -173,33 +175,30 @@ class FacetIndex:
             return options
         included = [self.any_of(f, v) for f, v in others.active().items()]
         out = [self.any_of(f, v) for f, v in others.exclude.items() if v]
-        own = self.bits.where(F.col("facet") == facet).select("value", "bucket", "bits")
-        sets = [own.withColumn("wanted", F.lit(1 + len(included)))]
-        buckets = own.select("value", "bucket")
-        sets += [buckets.join(F.broadcast(found), "bucket").withColumn("wanted", F.lit(1 + len(included))) for found in included]
-        possible = _intersection(sets)
-        if not out:
-            return options.join(possible.where("n > 0").select("value").distinct(), "value", "left_semi")
-        removed = reduce(DataFrame.unionByName, out).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        gone = _intersection([*(s.withColumn("wanted", F.col("wanted") + 1) for s in sets), buckets.join(F.broadcast(removed), "bucket").withColumn("wanted", F.lit(2 + len(included)))])
-        left = possible.join(gone.withColumnRenamed("n", "out"), ["value", "bucket"], "left").where(F.col("n") > F.coalesce("out", F.lit(0)))
-        return options.join(left.select("value").distinct(), "value", "left_semi")
+        own = self.bits.where(F.col("facet") == facet).select("value", "word", "bits")
+        if included:
+            met = reduce(DataFrame.unionByName, included).groupBy("word").agg(F.bit_and("bits").alias("_in"), F.count(F.lit(1)).alias("_there"))
+            own = own.join(met.where(F.col("_there") == len(included)), "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("_in")))
+        if out:
+            removed = reduce(DataFrame.unionByName, out).groupBy("word").agg(F.bit_or("bits").alias("_out"))
+            kept = F.bitwise_not(F.coalesce("_out", F.lit(0).cast("bigint")))
+            own = own.join(removed, "word", "left").withColumn("bits", F.col("bits").bitwiseAND(kept))
+        return options.join(own.where(F.col("bits") != 0).select("value").distinct(), "value", "left_semi")
 
 
 # Lengths of the codes of all levels.
 INDEXED_LENGTHS = (*bnf.ANCESTOR_LENGTHS, 11, 15)
 
-
-def _intersection(sets: list[DataFrame]) -> DataFrame:
-    """(value, bucket, n): how many medications of a bucket are in all the sets of a value."""
-    met = reduce(DataFrame.unionByName, sets).groupBy("value", "bucket")
-    met = met.agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"), F.count(F.lit(1)).alias("there"), F.max("wanted").alias("wanted"))
-    return met.where(F.col("there") == F.col("wanted")).select("value", "bucket", "n")
+# A word is a bigint.
+_WORD_BITS = 64
 
 
 def bitmap_index(medications: DataFrame, lookup: DataFrame) -> FacetIndex:
-    """Build the index once; every row of the medications is a bit (a product with several codes has several)."""
-    numbered = dense_ids(medications.select("id", "bnf_code", "vtm_id", "form_routes", "ingredient_ids"), [F.col("id"), F.col("bnf_code")], "row")
+    """Build the index once; every row of the medications is a bit (a product with several codes has several).
+
+    Rows are numbered in order of their codes, so those of a code or a prefix share words.
+    """
+    numbered = dense_ids(medications.select("id", "bnf_code", "vtm_id", "form_routes", "ingredient_ids"), [F.col("bnf_code"), F.col("id")], "row")
     levels = F.array_compact(F.array(*(F.when(F.length("bnf_code") >= n, F.substring("bnf_code", 1, n)) for n in INDEXED_LENGTHS)))
     entry = [
         (INGREDIENT, F.col("ingredient_ids").cast("array<string>")),
@@ -209,7 +208,8 @@ def bitmap_index(medications: DataFrame, lookup: DataFrame) -> FacetIndex:
     ]
     values = F.flatten(F.array(*(labelled_values("facet", facet, v) for facet, v in entry)))
     entries = numbered.select("row", F.explode(F.array_distinct(values)).alias("x")).select("row", "x.*").where(F.col("value").isNotNull())
-    bits = entries.groupBy("facet", "value", F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("row", F.lit(_WORD_BITS)).cast("int"))
+    bits = entries.groupBy("facet", "value", F.floor(F.col("row") / _WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
     return FacetIndex(written(bits, "facet_bits"), written(lookup.select("facet", "value"), "facet_lookup"))
 
 

@@ -110,3 +110,16 @@ def test_one_index_answers_every_selection(spark, catalogue):
                 assert found == expected(selection, facet, excluded), (include, exclude, facet, excluded)
     with pytest.raises(ValueError, match="codes of no level"):
         index.options(Selection({"bnf": ["010"]}), "vtm")
+
+
+def test_index_has_no_more_than_the_values_there_are(spark):
+    """Every code is a value of its own: its words hold its few rows, not all rows of a bucket."""
+    number = 3000
+    made = f"id, concat(lpad(cast(id % {number} AS string), 4, '0'), '010A0AAABAB') AS bnf_code, id % 2 AS vtm_id, array('a.x') AS form_routes, array(id % 5) AS ingredient_ids"
+    meds = spark.sql(f"SELECT {made} FROM range({2 * number})")
+    known = meds.selectExpr("'bnf' AS facet", "bnf_code AS value").distinct()
+    index = facets.bitmap_index(meds, known)
+    whole = index.bits.where("facet = 'bnf' AND length(value) = 15")
+    assert number <= whole.count() <= 2 * number and whole.schema["bits"].dataType.simpleString() == "bigint"
+    found = index.options(Selection({"vtm": [1], "ingredient": [3]}, {"form_route": ["b.y"]}), "bnf")
+    assert {r.value for r in found.collect()} == {r.bnf_code for r in meds.where("vtm_id = 1 AND ingredient_ids[0] = 3").collect()}
