@@ -119,6 +119,14 @@ class Sample:
     def org_edges(self) -> DataFrame:
         return orgs.org_parents(self.ods, AS_OF)
 
+    @property
+    def stored_orgs(self) -> DataFrame:
+        return self.stored("orgs", lambda: self.orgs)
+
+    @property
+    def stored_members(self) -> DataFrame:
+        return self.stored("members", lambda: orgs.org_practices(self.orgs, self.org_edges))
+
     @cached_property
     def model(self) -> Model:
         """Facts keyed by part; medicines under their current code."""
@@ -131,12 +139,12 @@ class Sample:
             self.stored("list_sizes", lambda: self._known_list_sizes(practices)),
             self.stored("dates", lambda: facts.select("date").distinct()),
             practices,
-            self.stored("orgs", lambda: self.orgs),
-            self.stored("members", lambda: orgs.org_practices(self.orgs, self.org_edges)),
+            self.stored_orgs,
+            self.stored_members,
             self.catalogue,
             presentation_rows=presentation.count(),
             practice_rows=practices.count(),
-            org_rows=self.stored("orgs", lambda: self.orgs).count(),
+            org_rows=self.stored_orgs.count(),
         )
 
     def _current_codes(self) -> DataFrame:
@@ -161,4 +169,4 @@ def star_model(sample: Sample) -> Model:
     key = (sample.spark.sparkContext.applicationId, sample.sf_dir)
     if key not in _STARS:
         _STARS[key] = build_star(sample)
-    return read_star(sample.spark, _STARS[key], sample.model.orgs, sample.model.members, sample.catalogue)
+    return read_star(sample.spark, _STARS[key], sample.stored_orgs, sample.stored_members, sample.catalogue)

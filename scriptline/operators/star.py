@@ -42,18 +42,16 @@ def practice_dim(source: DataFrame) -> DataFrame:
 def source_keys(source: DataFrame) -> DataFrame:
     """Keys of all dimensions in one pass over the source, with their latest month and number of rows.
 
-    Rows (bnf_code, snomed_code, month, n) per presentation and month, n counting those of a known practice, and
-    (practice_code, latest) per practice; ``kind`` tells them apart.
+    Rows (bnf_code, snomed_code, latest, n) per presentation, n counting those of a known practice, (practice_code, latest)
+    per practice and (month) per month; ``kind`` tells them apart.
     """
     known = F.col("practice_code") != NO_PRACTICE
     keys = source.select("bnf_code", "snomed_code", "practice_code", F.col("date").alias("month"), "date", known.cast("int").alias("known"))
-    sets = keys.groupingSets(
-        [["bnf_code", "snomed_code", "month"], ["practice_code"]], "bnf_code", "snomed_code", "practice_code", "month"
-    )
+    sets = keys.groupingSets([["bnf_code", "snomed_code"], ["practice_code"], ["month"]], "bnf_code", "snomed_code", "practice_code", "month")
     return sets.agg(F.max("date").alias("latest"), F.sum("known").alias("n"), F.grouping_id().alias("kind"))
 
 
-BY_CELL, BY_PRACTICE = 0b0010, 0b1101
+BY_PRESENTATION, BY_PRACTICE, BY_MONTH = 0b0011, 0b1101, 0b1110
 
 
 def presentations(source: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,20 +55,20 @@ def write_star(
 ) -> None:
     """Build the star schema and write it under ``path``; dimensions first, then the facts that use their ids.
 
-    The source is evaluated twice: once for all keys with their rows, and once for the facts.
+    The source is evaluated twice: once for all keys with their rows, and once for the facts. Presentations with more
+    rows than a range, which are no more than there are ranges, are counted by month in one more look at their own rows.
     """
     spark = source.sparkSession
     keys = written(star.source_keys(source), "source_keys")
-    cells = keys.where(F.col("kind") == star.BY_CELL)
+    used = keys.where(F.col("kind") == star.BY_PRESENTATION).select("bnf_code", "snomed_code", F.col("latest").alias("date"), "n")
     known = keys.where((F.col("kind") == star.BY_PRACTICE) & (F.col("practice_code") != star.NO_PRACTICE))
-    used = cells.select("bnf_code", "snomed_code", F.col("month").alias("date"))
     practice = known.select("practice_code", F.col("latest").alias("date"))
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    dates = stored(star.date_dim(used), "date")
+    dates = stored(star.date_dim(keys.where(F.col("kind") == star.BY_MONTH).select(F.col("month").alias("date"))), "date")
     practices = stored(star.practice_dim(practice), "practice")
     presentation = stored(
         star.presentation_current_codes(star.presentation_dim(used), bnf_changes, vmp_changes), "presentation"
@@ -75,11 +76,18 @@ def write_star(
     original = presentation.select(
         "id", F.col("original_bnf_code").alias("bnf_code"), F.col("original_snomed_code").alias("snomed_code")
     )
-    by_date = dates.select(F.col("id").alias("date_id"), F.col("date").alias("month"))
-    numbered = cells.where("n > 0").join(by_date, "month").join(original.withColumnRenamed("id", "presentation_id"), ["bnf_code", "snomed_code"])
-    counted = numbered.agg(F.sum("n")).first()[0] or 0
+    numbered = used.where("n > 0").join(original.withColumnRenamed("id", "presentation_id"), ["bnf_code", "snomed_code"])
+    counted = used.agg(F.sum("n")).first()[0] or 0
     number = range_number(counted, spark.sparkContext.defaultParallelism)
-    steps = cell_ranges(numbered.select("presentation_id", "date_id", "n"), number)
+    is_large = F.col("n") > math.ceil(counted / number)
+    cells = numbered.select("presentation_id", F.lit(0).alias("date_id"), "n")
+    if not used.where(is_large).isEmpty():
+        by_date = dates.select(F.col("id").alias("date_id"), "date")
+        large = F.broadcast(numbered.where(is_large).select("presentation_id", "bnf_code", "snomed_code"))  # at most ``number`` rows
+        rows_of = source.where(F.col("practice_code") != star.NO_PRACTICE).join(large, ["bnf_code", "snomed_code"])
+        months = rows_of.groupBy("presentation_id", "date").agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.where(~is_large).unionByName(months.join(by_date, "date").select("presentation_id", "date_id", "n"))
+    steps = cell_ranges(written(cells, "cells"), number)
     ranged = written(original.join(steps.withColumnRenamed("presentation_id", "id"), "id"), "ranged")
     rows = (dates.count(), practices.count(), ranged.agg(F.sum(F.size("steps"))).first()[0] or 0)
     norm = star.prescribing_norm(source, dates, practices, ranged, ("steps",), rows)

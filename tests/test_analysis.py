@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from scriptline.operators import orgs
+from scriptline.operators import orgs, star
 from scriptline.operators.measures import Measure, measure_sides
 from scriptline.operators.medicine_filter import MedicineFilter
 from scriptline.plans import analysis
@@ -323,3 +323,24 @@ def test_star_reads_its_source_twice(spark, tmp_path):
     write_star(watched.mapInArrow(counted, source.schema), sizes, no_codes, no_vmps, f"{tmp_path}/star")
     assert seen.value == 2 * rows_there
     assert spark.read.parquet(f"{tmp_path}/star/prescribing_norm").count() == rows_there
+
+
+def test_star_counts_months_of_large_presentations_only(spark, tmp_path, monkeypatch):
+    """Keys are rows per presentation, practice and month; one that is larger than a range is still cut by month."""
+    code = F.when(F.col("id") % 2 == 0, "0101010A0AAABAB").otherwise(F.format_string("02%05d0AAABAB", F.col("id") % 40))
+    source = spark.range(4000).select(
+        code.alias("bnf_code"), F.lit(0).cast("bigint").alias("snomed_code"), F.expr("add_months(date'2024-01-01', cast(id % 12 AS int))").alias("date"),
+        F.format_string("P%03d", F.col("id") % 97).alias("practice_code"), F.lit(1.0).cast("float").alias("quantity_value"), F.lit(1).alias("items"),
+        F.lit(1.0).cast("float").alias("quantity"), F.lit(1).cast("bigint").alias("net_cost"), F.lit(1).cast("bigint").alias("actual_cost"),
+    )
+    assert star.source_keys(source).count() == 21 + 97 + 12
+    monkeypatch.setattr("scriptline.plans.model.range_number", lambda rows, cores: 16)
+    sizes = source.select("date", "practice_code", F.lit(5).cast("bigint").alias("total")).distinct()
+    write_star(source, sizes, spark.createDataFrame([], "old_code string, new_code string"), spark.createDataFrame([], "old_vpid bigint, new_vpid bigint"), f"{tmp_path}/star")
+    fact = spark.read.parquet(f"{tmp_path}/star/prescribing_norm")
+    spans = fact.groupBy(F.input_file_name().alias("f")).agg(
+        F.min(F.struct("presentation_id", "date_id")).alias("low"), F.max(F.struct("presentation_id", "date_id")).alias("high"), F.count("*").alias("n")
+    ).orderBy("low", "high").collect()
+    assert sum(s.n for s in spans) == 4000 and max(s.n for s in spans) < 800 and len(spans) > 8
+    assert all(tuple(a.high) <= tuple(b.low) for a, b in zip(spans, spans[1:]))
+    assert sum(s.low.presentation_id == 1 for s in spans) > 4
