@@ -19,6 +19,9 @@ from scriptline.session import written
 #: A text with less of its n-grams in the likeliest language is in none of the languages.
 LEAST_COVERAGE = 0.2
 
+#: Bytes of a shard of the third stage: half of the operator's own, since executors still hold memory of the stages before.
+SHARD_BYTES = 1 << 20
+
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled documents have."""
@@ -34,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of passages of 200 bytes that also start elsewhere."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = suffixes.remove_repeats(docs, keep=others)
+    left = suffixes.remove_repeats(docs, keep=others, size=SHARD_BYTES)
 
     def decoded(batches):
         for batch in batches:

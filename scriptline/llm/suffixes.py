@@ -199,9 +199,12 @@ def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int, in_memor
     return repeat[place]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept, columns to keep): ``kept`` holds the bytes that stay; a character may have lost some of its own."""
-    chunks, number = chunked(docs, key, text, keep, size=SHARD_BYTES)
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep: tuple[str, ...] = (), hot: int = HOT, size: int | None = None) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, columns to keep): ``kept`` holds the bytes that stay; a character may have lost some of its own.
+
+    ``size`` is the text of a chunk and a shard (``SHARD_BYTES`` if None): smaller ones take less memory and more seconds.
+    """
+    chunks, number = chunked(docs, key, text, keep, size=size or SHARD_BYTES)
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def read(rows: pa.Table) -> Windows:
