@@ -99,8 +99,8 @@ def _store(rows, base: str, prefix: str, suffix: str) -> None:
     rows.withColumn("file", name).drop("date").hint("rebalance", "file").write.partitionBy("file").parquet(base)
 
 
-def _monthly_files(s, base: str) -> None:
-    """Files of all months below a folder that carries a date, with earlier issues, other versions and hidden files."""
+def _prescribing_files(s, base: str) -> None:
+    """Files of all months below a folder that carries a date, with earlier issues and hidden files."""
     rx = s.source.select(
         "date",
         F.col("bnf_code").alias("BNF_CODE"),
@@ -116,6 +116,10 @@ def _monthly_files(s, base: str) -> None:
     _store(rx, f"{base}/rx/new", "prescribing", "_v3_final.parquet")
     _store(wrong, f"{base}/rx/old", "prescribing", "_v2_first.parquet")
     _store(wrong, f"{base}/rx/hidden", ".prescribing", "_v9_partial.parquet")
+
+
+def _list_size_files(s, base: str) -> None:
+    """Patient lists of all months and some later ones, with files of another version."""
     lists = s.table("list_raw")
     _store(lists, f"{base}/lists/new", "list_size", "_v2_final.parquet")
     _store(lists.withColumn("NUMBER_OF_PATIENTS", F.lit("1")), f"{base}/lists/other", "list_size", "_v3_other.parquet")
@@ -133,7 +137,8 @@ def _monthly_files(s, base: str) -> None:
 )
 def _(s):
     base = new_path(s.spark, "backup_2024-06-01_full")
-    _monthly_files(s, base)
+    _prescribing_files(s, base)
+    _list_size_files(s, base)
     root = new_path(s.spark, "star")
     args = (f"{base}/rx/*/*", f"{base}/lists/*/*", s.table("bnf_changes"), chains.vmp_code_change_chain(s.table("vmp")))
     if not ingest.ingest_folders(s.spark, root, "first", *args) or ingest.ingest_folders(s.spark, root, "second", *args):
@@ -158,7 +163,7 @@ def _(s):
 )
 def _(s):
     base = new_path(s.spark, "night")
-    _monthly_files(s, base)
+    _prescribing_files(s, base)
     table = new_path(s.spark, "monthly")
     # The first night brings the final issues, the second the superseded and hidden ones.
     nightly.ingest_new_files(s.spark, f"{base}/rx/new/*", table, f"{base}/state-1")
