@@ -395,3 +395,17 @@ def test_snapshot_errors_are_not_swallowed(spark, tmp_path):
     (tmp_path / "current" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):
         folder.current()
+
+
+def test_states_cross_runs_of_pieces(spark, tmp_path, monkeypatch):
+    """What a task holds at once is a run of pieces, not a block; quotes and items cross runs."""
+    monkeypatch.setattr("scriptline.sources.blocks._RUN_BITS", 2)
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"x\n""{i}\n\n,y"\n{i},z\n' for i in range(50)))
+    found = archive.read_csv_strings(spark, str(path), multi_line=True)
+    assert rows(found) == sorted([(str(i), f'x\n"{i}\n\n,y') for i in range(50)] + [(str(i), "z") for i in range(50)], key=repr)
+    one_block = spark.range(100, numPartitions=1).selectExpr("'f' AS file", "0L AS block", "id AS at")
+    counted = blocks.count_before(one_block, F.lit(1), "n")
+    assert counted.where("n <> at").isEmpty() and counted.columns == ["file", "block", "at", "n"]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_run" in x for x in plan.splitlines() if "Window" in x)
