@@ -72,3 +72,22 @@ def test_run_and_odd_rows(spark, tmp_path):
         spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert sorted({r.doc_id for r in found}, key=repr) == ([4, 5, None] if given else [])
+
+
+def test_third_stage_has_shards_of_a_megabyte(monkeypatch):
+    """Executors hold memory of the stages before it; the operator's own shards are twice as large."""
+    from types import SimpleNamespace
+
+    import corpus_pipeline
+    from scriptline.llm import suffixes
+
+    class Seen(Exception):
+        pass
+
+    def remove_repeats(docs, keep, size=None):
+        raise Seen(size)
+
+    monkeypatch.setattr(suffixes, "remove_repeats", remove_repeats)
+    with pytest.raises(Seen) as seen:
+        corpus_pipeline.without_repeats(None, SimpleNamespace(columns=["doc_id", "text", "n_chars", "lang"]), "")
+    assert seen.value.args == (1 << 20,) and 2 * seen.value.args[0] == suffixes.SHARD_BYTES
