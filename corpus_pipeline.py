@@ -8,6 +8,9 @@ identifier in its place; the last one gives the place of every piece of every do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ LEAST_COVERAGE = 0.2
 #: Bytes of a shard of the third stage: half of the operator's own, since executors still hold memory of the stages before.
 SHARD_BYTES = 1 << 20
 
+#: Rows that a Python worker is sent at once: some MB of text, since JVM and worker hold a batch more than once.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled documents have."""
@@ -61,12 +68,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, VOCABULARY))[0]
 
 
+def in_small_batches(stage: Callable) -> Callable:
+    """The stage with no more than ``BATCH_ROWS`` rows in a batch; the setting stays, since its rows are read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = int(spark.conf.get(BATCH_SETTING))
+        spark.conf.set(BATCH_SETTING, min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", in_a_language),
-    ("near_dedup", one_of_each),
-    ("suffix_array_dedup", without_repeats),
-    ("personal_data", without_personal_data),
-    ("best_fit_packing", packed),
+    ("language_id", in_small_batches(in_a_language)),
+    ("near_dedup", in_small_batches(one_of_each)),
+    ("suffix_array_dedup", in_small_batches(without_repeats)),
+    ("personal_data", in_small_batches(without_personal_data)),
+    ("best_fit_packing", in_small_batches(packed)),
 ]
 
 #: SQL can express neither the filters of the first stage nor token ids.
@@ -76,8 +95,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's result is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
     return docs
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptline.llm.text import IntTable, gather, slices, span_hashes, utf8
+from scriptline.llm.text import IntTable, gather, release, slices, span_hashes, utf8
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 #: Code points with the White_Space property.
@@ -269,7 +269,9 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One per worker process and vocabulary."""
-    return Codec(path)
+    made = Codec(path)
+    release()
+    return made
 
 
 def binary_column(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -28,6 +28,9 @@ from scriptline.session import written
 #: Rows ranked together; the number of salts follows from it.
 RANKED_TOGETHER = 100_000
 
+#: Bytes of text encoded at once: an encoder's arrays take some 50 times as much, beside what a worker kept from stages before.
+ENCODED_TOGETHER = 512 << 10
+
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: all full but the first."""
@@ -43,7 +46,7 @@ def pieces(
     def run(batches):
         coder = codec(vocabulary)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODED_TOGETHER):
                 ids, offsets = coder.encode(part.column("text"))
                 row, number, start, length, check, kept = [], [], [], [], [], []
                 end = np.array([end_id], "<u4").tobytes()

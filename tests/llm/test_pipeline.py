@@ -91,3 +91,60 @@ def test_third_stage_has_shards_of_a_megabyte(monkeypatch):
     with pytest.raises(Seen) as seen:
         corpus_pipeline.without_repeats(None, SimpleNamespace(columns=["doc_id", "text", "n_chars", "lang"]), "")
     assert seen.value.args == (1 << 20,) and 2 * seen.value.args[0] == suffixes.SHARD_BYTES
+
+
+def test_stages_send_small_batches(spark, monkeypatch, tmp_path):
+    """An executor holds a batch several times, in the JVM and in the worker, and all stages share its memory."""
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+    def sizes(session, docs, sf_dir):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+        return docs.mapInArrow(run, "n long")
+
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    spark.range(2500).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", corpus_pipeline.in_small_batches(sizes))])
+    assert sorted(r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [500, 1000, 1000]
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == before
+
+
+def test_packing_encodes_little_at_once(spark, monkeypatch):
+    """Arrays of an encoder are many times its text; how much it takes at once changes no piece."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptline.llm import bpe, packing
+    from scriptline.llm.queries import VOCABULARY
+
+    class Docs:
+        schema = spark.createDataFrame([], "key long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, *names):
+            return self
+
+    class Coder:
+        seen: list = []
+
+        def encode(self, column):
+            self.seen.append(sum(len(x) for x in column.to_pylist()))
+            return bpe.codec(VOCABULARY).encode(column)
+
+    monkeypatch.setattr(packing, "codec", lambda path: Coder())
+    texts = [f"text {i} " * 10_000 for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], ["key", "text"])
+    found = [r for b in packing.pieces(Docs(), VOCABULARY).run([batch]) for r in b.to_pylist()]
+    assert max(Coder.seen) <= 1 << 19 and sum(Coder.seen) == sum(map(len, texts))
+    ids, offsets = bpe.codec(VOCABULARY).encode(batch.column("text"))
+    assert np.array_equal(np.bincount([r["key"] for r in found], [r["length"] for r in found]), np.diff(offsets) + 1)
