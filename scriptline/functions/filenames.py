@@ -15,10 +15,10 @@ def is_hidden(name: Column) -> Column:
 
 def name_date(name: Column) -> Column:
     """Date in a file name; names of another form fail."""
-    found = F.regexp_extract(name, DATED_NAME, 1)
-    return F.when(found != "", F.to_date(found)).otherwise(
-        F.raise_error(F.concat(F.lit("Expecting a filename containing an ISO date: "), name)).cast("date")
-    )
+    wrong = F.raise_error(F.concat(F.lit("Expecting a filename containing an ISO date: "), name)).cast("date")
+    # The name is looked at once for each row, also in the filters that joins on the date push to the scan.
+    found = F.array(F.regexp_extract(name, DATED_NAME, 1))
+    return F.get(F.transform(found, lambda date: F.when(date != "", F.to_date(date)).otherwise(wrong)), F.lit(0))
 
 
 def path_name(path: Column) -> Column:
@@ -26,7 +26,9 @@ def path_name(path: Column) -> Column:
 
     In a partition folder (``file=<name>``) the name is what follows the sign.
     """
-    last, above = (F.element_at(F.split(path, "/"), i) for i in (-1, -2))
+    # Evaluated for every row of a scan: looked for from the end, where splitting takes many times as long.
+    last = F.substring_index(path, "/", -1)
+    above = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     own = F.when(last.startswith("part-"), above).otherwise(last)
     return F.regexp_replace(own, "^[A-Za-z_]+=", "")
 

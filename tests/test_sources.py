@@ -409,3 +409,18 @@ def test_states_cross_runs_of_pieces(spark, tmp_path, monkeypatch):
     assert counted.where("n <> at").isEmpty() and counted.columns == ["file", "block", "at", "n"]
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert all("_run" in x for x in plan.splitlines() if "Window" in x)
+
+
+def test_a_filter_on_the_date_looks_at_the_name_once(spark, tmp_path):
+    """A join on the date pushes such a filter to the scan, where no expression is shared."""
+    from pyspark.sql import functions as F
+
+    from scriptline.functions.filenames import path_date
+
+    path = f"{tmp_path}/prescribing_2024-02-01_v3.parquet"
+    spark.range(3).write.parquet(path)
+    dated = spark.read.parquet(path).select("id", path_date(F.col("_metadata.file_path")).alias("date")).where("date is not null")
+    plan = dated._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Filter" in line]
+    assert len(kept) == 1 and kept[0].count("regexp_extract") == 1 and "split(" not in plan
+    assert [str(r.date) for r in dated.collect()] == ["2024-02-01"] * 3
