@@ -180,6 +180,8 @@ def _(s):
     return found.select("vpid", "vpidprev", "vtmid", "invalid", "nm")
 
 
+# Keys whose items one task writes.
+XML_KEYS = 5_000
 FILES = ("ampp", "amp", "ingredient", "vmpp", "vmp", "vtm", "lookup")
 # Every field of a group holds its name, the group's number and a key; it is missing in every third row.
 _GROUPS = [(i, x, g, f) for i, (x, g, fields) in enumerate((x, g, fields) for x in FILES for g, fields in dmd.table_fields(x).items()) for f in fields]
@@ -199,6 +201,9 @@ def _text_sums(value: F.Column) -> F.Column:
 def _(s):
     """All groups of all seven files, each with an item per part."""
     base, key = new_path(s.spark, "xml"), F.col("p_partkey")
+    # A key makes some kilobytes of text, so a table that is read in one task is dealt to several.
+    keys = s.table("part").select(key)
+    keys = keys.repartition(max(1, keys.count() // XML_KEYS))
     counts = []
     for file_id in FILES:
         items = []
@@ -208,7 +213,7 @@ def _(s):
             item = "INFO" if file_id == "lookup" else group
             wrapped = [F.lit(f"<{item}>"), *cells, F.lit(f"</{item}>")]
             items.append(F.concat(F.lit(f"<{group}>"), *wrapped, F.lit(f"</{group}>")) if file_id == "lookup" else F.concat(*wrapped))
-        rows = s.table("part").select(F.explode(F.array(*items)).alias("value"))
+        rows = keys.select(F.explode(F.array(*items)).alias("value"))
         rows.write.text(f"{base}/{file_id}")
         tables = dmd.xml_entities(s.spark, {file_id: f"{base}/{file_id}"})
         for name, table in tables.items():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptline.session import new_path, written
-from scriptline.sources.blocks import count_before, pieces
+from scriptline.session import new_path
+from scriptline.sources import items
+from scriptline.sources.blocks import pieces
 
 # Per XML file the item tags with their fields, in file order.
 ENTITIES = {
@@ -75,64 +76,93 @@ def table_fields(file_id: str) -> dict[str, tuple[str, ...]]:
 
 
 def xml_items(spark: SparkSession, path: str, file_id: str) -> DataFrame:
-    """(group, fields): every item of every group of an XML file, in one pass; fields are a list of (tag, text).
+    """(group, texts): every item of every group of an XML file, in one pass; texts are in the order of its group's fields.
 
     A file is cut at every "<" and read in blocks. An item is the opening tags from its own up to the next item's,
-    counted from the start of the file, so it may lie in two blocks. The items are written by group.
+    counted from the start of the file, so it may lie in two blocks. Of a field that is there twice the last counts. A
+    task puts the items of its blocks together while it reads them, and the items are written by group. Only what a
+    block cannot know alone, mostly a few rows each, is looked at again.
     """
-    groups = table_fields(file_id)
-    in_group = file_id == "lookup"
-    piece, tag = F.col("text"), F.col("tag")
+    groups, item = table_fields(file_id), _LOOKUP_ITEM if file_id == "lookup" else None
+    target = new_path(spark, f"xml_items_{file_id}")
+    tags = _tags(pieces(spark, path, "<"), (*groups, *items.all_fields(groups), _LOOKUP_ITEM))
+    tags.mapInArrow(items.assembled(groups, item), items.SCHEMA).write.partitionBy("group").parquet(target)
+    parts = spark.read.schema(items.SCHEMA).parquet(target).where(F.col("group").isNull()).drop("group")
+    _joined_parts(parts, groups, item).write.mode("append").partitionBy("group").parquet(target)
+    return spark.read.schema("texts array<string>, group string").parquet(target).where(F.col("group").isNotNull())
+
+
+def _tags(cut: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """(file, block, tag, value): opening tags and the texts behind them, in the order of the pieces."""
+    piece = F.col("text")
     comment = piece.startswith("!--")
     trailing = F.regexp_replace(F.regexp_replace(piece, "(?s)^!--.*?-->", ""), r"\s+", "") != ""
     unknown = F.when(comment & (~piece.contains("-->") | trailing), "a comment with a tag, or in a text").when(piece.startswith("![CDATA["), "a CDATA section")
-    checked = F.when(unknown.isNotNull(), F.raise_error(F.concat(F.lit("cannot read "), unknown)).cast("string")).otherwise(piece)
-    opened = pieces(spark, path, "<").select("file", "block", "at", checked.alias("text")).where(~F.substring("text", 1, 1).isin("/", "!", "?", ""))
+    opens = ~F.substring(piece, 1, 1).isin("/", "!", "?", "")
+    opened = cut.where(F.when(unknown.isNotNull(), F.raise_error(F.concat(F.lit("cannot read "), unknown)).cast("boolean")).otherwise(opens))
     # No tag's name is as long as a name with blanks, so the first piece of a file, if it is no tag, has none.
     form = r"(?s)^([A-Za-z_][\w.:-]*)(?:\s[^>]*)?>(.*)$"
-    named = opened.select("file", "block", "at", F.regexp_extract("text", form, 1).alias("tag"), _plain(F.regexp_extract(piece, form, 2)).alias("value")).where(tag != "")
-    named = written(named, "xml_tags")
-    starts = (tag == _LOOKUP_ITEM) if in_group else tag.isin(*groups)
-    items = count_before(named, starts.cast("int"), "item").withColumn("item", F.col("item") + starts.cast("int"))
-    if in_group:
-        # An item's group is the last one opened before it.
-        opens = named.where(tag.isin(*groups))
-        spans = count_before(opens, F.lit(1), "number").select("file", "number", F.col("tag").alias("group"))
-        items = count_before(items, tag.isin(*groups).cast("int"), "number").withColumn("number", F.col("number") - 1)
-        items = items.join(spans, ["file", "number"], "left")
-    else:
-        items = items.withColumn("group", F.when(starts, tag))
-    is_field = F.col("item").isNotNull() & ~starts & tag.isin(*sorted({f for fields in groups.values() for f in fields}))
-    found = items.where((F.col("item") > 0) & (starts | is_field)).groupBy("file", "item")
-    field = F.when(~starts, F.struct("block", "at", "tag", "value"))
-    found = found.agg(F.max_by("group", F.when(starts, 1)).alias("group"), F.sort_array(F.collect_list(field)).alias("fields"))
-    target = new_path(spark, f"xml_items_{file_id}")
-    found.where(F.col("group").isNotNull()).select("group", F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), f["value"].alias("value"))).alias("fields")).write.partitionBy("group").parquet(target)
-    return spark.read.schema("fields array<struct<tag:string, value:string>>, group string").parquet(target)
-
-
-def _plain(text: Column) -> Column:
-    """Text between tags without white space around it and with its entities resolved; an empty one is missing."""
-    resolved = F.when(text.contains("&"), F.xpath_string(F.concat(F.lit("<x>"), text, F.lit("</x>")), F.lit("/x"))).otherwise(text)
-    return F.nullif(F.regexp_replace(resolved, r"^\s+|\s+$", ""), F.lit(""))
-
-
-def xml_table(items: DataFrame, file_id: str, group: str) -> DataFrame:
-    """One group of a file's items as text columns with lower-case names; of a field that is there twice the last counts."""
-    rows = items.where(F.col("group") == group)
-    return rows.select(*(_last_value(f).alias(f.lower()) for f in table_fields(file_id)[group]))
+    headed = opened.select("file", "block", "text", F.substring_index(piece, ">", 1).alias("head")).where(~F.col("head").isin(*(f"{n}/" for n in known)))
+    # Known names without attributes, which are most, need no pattern.
+    plain = F.col("head").isin(*known) & (F.octet_length("head") < F.octet_length(piece))
+    behind = piece.substr(F.octet_length("head") + 2, F.octet_length(piece))
+    named = headed.select("file", "block", F.when(plain, F.col("head")).otherwise(F.regexp_extract(piece, form, 1)).alias("tag"), F.when(plain, behind).otherwise(F.regexp_extract(piece, form, 2)).alias("value"))
+    return _plain(named, "value")
+
+
+def _joined_parts(parts: DataFrame, groups: dict[str, tuple[str, ...]], item: str | None) -> DataFrame:
+    """Items that lie in several blocks, and items whose group was opened in an earlier block."""
+    kind, fields = F.col("part"), items.all_fields(groups)
+    if item:
+        ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        before = parts.where(kind == items.END).select("file", "block", F.last("opened", ignorenulls=True).over(ahead).alias("before"))
+        parts = parts.where(kind != items.END).join(before, ["file", "block"]).withColumn("opened", F.coalesce("opened", "before"))
+    begins = (kind == items.TAIL).cast("int")
+    until = Window.partitionBy("file").orderBy("block", begins).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = parts.where(kind.isin(items.HEAD, items.TAIL)).withColumn("item", F.sum(begins).over(until)).where("item > 0")
+    place, text = F.struct("block", begins.alias("begins")), [F.col("texts")[i] for i in range(len(fields))]
+    last = F.array(*(F.nullif(F.max_by(t, F.when(t.isNotNull(), place)), F.lit("")) for t in text))
+    found = numbered.groupBy("file", "item").agg(last.alias("texts"), F.max_by("opened", begins).alias("group")).select("texts", "group")
+    if item:
+        found = found.unionByName(parts.where(kind == items.NO_GROUP).select("texts", F.col("opened").alias("group")))
+    texts = F.coalesce(*(F.when(F.col("group") == g, F.array(*(text[fields.index(f)] for f in own))) for g, own in groups.items()))
+    return found.select(texts.alias("texts"), "group").where(F.col("group").isNotNull())
+
+
+# Characters and references that a parser changes or refuses.
+_NOT_PLAIN, _OTHER_REFERENCE = r"[^\t\n -~]", "&(?!(?:amp|lt|gt|quot|apos);)"
+
+
+def _plain(rows: DataFrame, name: str) -> DataFrame:
+    """The texts of a column without white space around them and with their entities resolved; an empty one is missing.
+
+    A parser for each text takes far longer than all the rest, so only an unusual text gets one. It is done in steps,
+    since what is named twice within one is worked out twice.
+    """
+    text, simple = F.col(name), F.col("_simple")
+    replaced = text
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):  # what the last one leaves is no entity
+        replaced = F.replace(replaced, F.lit(f"&{entity};"), F.lit(sign))
+    to_parse = text.rlike(_NOT_PLAIN) | text.contains("]]>") | text.rlike(_OTHER_REFERENCE)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    rows = rows.withColumn("_simple", F.when(text.contains("&"), F.when(~to_parse, replaced)).when(ascii_only, text))
+    parsed = F.when(text.contains("&"), F.xpath_string(F.concat(F.lit("<x>"), text, F.lit("</x>")), F.lit("/x"))).otherwise(text)
+    trimmed = F.when(simple.isNotNull(), F.btrim(simple, F.lit(" \t\n\x0b\f\r"))).otherwise(F.regexp_replace(parsed, r"^\s+|\s+$", ""))
+    return rows.withColumn(name, trimmed).withColumn(name, F.when(text != "", text)).drop("_simple")
 
 
-def _last_value(tag: str) -> Column:
-    return F.try_element_at(F.filter("fields", lambda f: f["tag"] == tag), F.lit(-1))["value"]
+def xml_table(rows: DataFrame, file_id: str, group: str) -> DataFrame:
+    """One group of a file's items as text columns with lower-case names."""
+    fields = table_fields(file_id)[group]
+    return rows.where(F.col("group") == group).select(*(F.col("texts")[i].alias(f.lower()) for i, f in enumerate(fields)))
 
 
 def xml_entities(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """All groups of the given XML files by table name (file and group, as one tag occurs in two files)."""
     tables = {}
     for file_id, path in paths.items():
-        items = xml_items(spark, path, file_id)
-        tables |= {f"{file_id}_{group.lower()}": xml_table(items, file_id, group) for group in table_fields(file_id)}
+        rows = xml_items(spark, path, file_id)
+        tables |= {f"{file_id}_{group.lower()}": xml_table(rows, file_id, group) for group in table_fields(file_id)}
     return tables
 
 

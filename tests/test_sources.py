@@ -3,6 +3,8 @@ import datetime
 import html
 import json
 import random
+import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -377,6 +379,61 @@ def test_dictionary_xml_in_blocks(spark, tmp_path, small_blocks):
         dmd.xml_items(spark, str(tmp_path / "odd.xml"), "vmp")
 
 
+def xml_items_of(text, file_id):
+    """(group, texts of its fields) of a file, a tag at a time."""
+    groups = dmd.table_fields(file_id)
+    fields, found, opened = {f for own in groups.values() for f in own}, [], None
+    for piece in text.split("<"):
+        named = re.match(r"(?s)([A-Za-z_][\w.:-]*)(?:\s[^>]*)?>(.*)$", piece)
+        if named is None:
+            continue
+        tag, value = named.groups()
+        if tag == "INFO" if file_id == "lookup" else tag in groups:
+            found.append((opened if file_id == "lookup" else tag, {}))
+        elif tag in groups:
+            opened = tag
+        elif tag in fields and found:
+            found[-1][1][tag] = html.unescape(value).strip(" \t\n\r\f\v") or None
+    return [(g, tuple(told.get(f) for f in groups[g])) for g, told in found if g]
+
+
+@pytest.mark.parametrize(("seed", "file_id", "batch"), [(1, "vmp", 3), (2, "lookup", 2), (3, "lookup", 10_000), (4, "ampp", 50)])
+def test_xml_items_against_a_tag_at_a_time(spark, tmp_path, small_blocks, seed, file_id, batch):
+    """Items, fields and groups cut by batches and blocks; fields twice, empty, closed at once, with attributes, unknown."""
+    rng, groups = random.Random(seed), dmd.table_fields(file_id)
+    fields = sorted({f for own in groups.values() for f in own})
+    texts = ["", " \n", "x", " a b\n", "&amp;lt; &quot;", "&#65;&amp;", "\u00e9 &gt;\r", "]]", "\u00a0x ", "a\u2028", "&apos;]]&gt;", "word " * 60]
+
+    def some_fields():
+        return "".join(rng.choice([f"<{f}>{{}}</{f}>\n", f"<{f} a='1'>{{}}</{f}>", f"<{f}/>", f"<X{f}>{{}}</X{f}>", f"<{f}\n/>{{}}"]).format(rng.choice(texts)) for f in rng.choices(fields, k=rng.randrange(12)))
+
+    wanted = []
+    for i in range(3):
+        begun = ["INFO"] * 4 + rng.sample([*groups], 2) if file_id == "lookup" else [*groups]
+        text = "<?xml version='1.0'?>\n<ALL><!-- made -->" + some_fields() + "".join(f"<{g}>{some_fields()}</{g}>" for g in rng.choices(begun, k=150 if i else 0)) + "</ALL>"
+        (tmp_path / f"{i}.xml").write_text(text, encoding="utf-8", newline="")
+        wanted += xml_items_of(text, file_id)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        tables = dmd.xml_entities(spark, {file_id: str(tmp_path / "*.xml")})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = reduce(lambda a, b: a.unionByName(b), (tables[f"{file_id}_{g.lower()}"].select(F.lit(g).alias("g"), F.array(*(F.col(f"`{f.lower()}`") for f in own)).alias("texts")) for g, own in groups.items()))
+    assert sorted(((r.g, tuple(r.texts)) for r in found.collect()), key=repr) == sorted(wanted, key=repr) and len(wanted) > 100
+
+
+def test_xml_texts_with_usual_entities_need_no_parser(spark, tmp_path, monkeypatch):
+    """A parser for each text took most of the time of a dictionary's load."""
+    monkeypatch.setattr(F, "xpath_string", lambda *_: F.raise_error(F.lit("parsed")).cast("string"))
+    (tmp_path / "v.xml").write_text("<A><VTM><VTMID>1</VTMID><NM> a &amp; b &amp;lt; &lt;c&gt; &quot;d&apos; </NM></VTM><VTM><VTMID>2</VTMID><NM>\u00e9 </NM></VTM></A>", encoding="utf-8")
+    found = dmd.xml_entities(spark, {"vtm": str(tmp_path / "v.xml")})["vtm_vtm"]
+    assert rows(found.select("vtmid", "nm")) == [("1", "a & b &lt; <c> \"d'"), ("2", "\u00e9")]
+    (tmp_path / "odd.xml").write_text("<A><VTM><NM>a &unknown; b</NM></VTM></A>")
+    with pytest.raises(Exception, match="parsed"):
+        dmd.xml_items(spark, str(tmp_path / "odd.xml"), "vtm")
+
+
 def test_job_folder_is_deleted(spark):
     with session.job_folder(spark) as folder:
         held = session.written(spark.range(3), "numbers")
